@@ -409,8 +409,8 @@ def signal_profile_table(spark: SparkSession) -> DataFrame:
               "phys_hi double, negative_is_anomaly boolean, expect string")
 
 
-def physical_limit_table(spark: SparkSession, config: VesselConfig | None = None) -> DataFrame:
-    """Global profile limits, each bound overridden by the vessel's own where it has one."""
+def physical_limits(config: VesselConfig | None = None) -> dict:
+    """signal -> (lo, hi): the global profile limits, each bound overridden by the vessel's own."""
     limits = {}
     for signal, _, _, lo, hi, _, aliases, _ in SIGNAL_PROFILES:
         for name in aliases:
@@ -419,8 +419,12 @@ def physical_limit_table(spark: SparkSession, config: VesselConfig | None = None
     for signal, (lo, hi) in (config.physical_limits if config else {}).items():
         base = limits.get(signal, (None, None))
         limits[signal] = (base[0] if lo is None else lo, base[1] if hi is None else hi)
-    return local_table(spark, [(s, lo, hi) for s, (lo, hi) in limits.items()],
-                                 "signal string, phys_lo double, phys_hi double")
+    return limits
+
+
+def physical_limit_table(spark: SparkSession, config: VesselConfig | None = None) -> DataFrame:
+    return local_table(spark, [(s, lo, hi) for s, (lo, hi) in physical_limits(config).items()],
+                       "signal string, phys_lo double, phys_hi double")
 
 
 def signal_role_table(spark: SparkSession) -> DataFrame:
