@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import count_where, half_even, month_key, null_safe_join, wrap_angle
+from .ordered import attach, settled
 from .normalize import thin_every_kth
 from .profile import box_stats
 from .quantiles import quantile, quantiles, with_quantiles
@@ -22,6 +23,7 @@ def linear_fit(df: DataFrame, x=POWER, y=FUEL, keys=KEYS, more_than: int = 50) -
     rows = df.where((F.col(x) >= 0) & (F.col(y) >= 0))
     fit = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"),
                                   F.regr_intercept(y, x).alias("intercept")).where(F.col("n") > more_than)
+    fit = settled(fit)
     resid = null_safe_join(rows, fit, keys, "inner").withColumn(
         "r", F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept")))
     return null_safe_join(fit, with_quantiles(resid, keys, {"residual": "r"}, [0.05, 0.95], ["p05", "p95"]), keys)
@@ -30,28 +32,26 @@ def linear_fit(df: DataFrame, x=POWER, y=FUEL, keys=KEYS, more_than: int = 50) -
 def monthly_slopes(df: DataFrame, x=POWER, y=FUEL, keys=KEYS, time="Date", at_least: int = 50) -> DataFrame:
     """Slope per month with enough rows; flagged when 15 % above the median month."""
     rows = df.where((F.col(x) >= 0) & (F.col(y) >= 0) & F.col(time).isNotNull())
-    months = rows.groupBy(*keys, month_key(time).alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), half_even(F.regr_slope(y, x), 6).alias("slope")).where(F.col("n") >= at_least)
+    months = settled(rows.groupBy(*keys, month_key(time).alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), half_even(F.regr_slope(y, x), 6).alias("slope")).where(F.col("n") >= at_least))
     mid = quantile(months, keys, "slope", 0.5, "median_slope")
-    return null_safe_join(months, mid, keys).withColumn("above_median", F.col("slope") > F.col("median_slope") * 1.15)
+    return attach(months, mid, keys).withColumn("above_median", F.col("slope") > F.col("median_slope") * 1.15)
 
 
-def _determinant(m: list[list[Column]]) -> Column:
-    total = F.lit(0.0)
-    for p in permutations(range(len(m))):
-        sign = (-1) ** sum(p[i] > p[j] for i in range(len(p)) for j in range(i + 1, len(p)))
-        term = F.lit(float(sign))
-        for i, j in enumerate(p):
-            term = term * m[i][j]
-        total = total + term
-    return total
+@F.pandas_udf("array<double>")
+def _cubic_coefficients(sums: pd.Series) -> pd.Series:
+    """Coefficients from the moment sums s0..s6, t0..t3 of one key (one row per key reaches this)."""
+    def solve(m):
+        gram = np.array([[m[i + j] for j in range(4)] for i in range(4)])
+        return np.linalg.lstsq(gram, np.asarray(m[7:11]), rcond=None)[0]
+    return sums.map(solve)
 
 
 def cubic_fit(df: DataFrame, x=SPEED, y=POWER, keys=KEYS, more_than: int = 100) -> DataFrame:
     """Least-squares cubic y ~ c0 + c1 u + c2 u² + c3 u³ with u = x / max|x|.
 
-    One pass finds the scale, one pass the ten power sums; the 4x4 normal equations of each key are
-    solved in the plan (Cramer's rule on scaled sums), so nothing is collected.
+    One pass finds the scale, one pass the eleven power sums; the 4x4 system of each key is solved from
+    those sums on the executors, so no readings leave the JVM and nothing is collected.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     scale = rows.groupBy(*keys).agg(F.coalesce(F.nullif(F.max(F.abs(x)), F.lit(0.0)), F.lit(1.0)).alias("x_scale"),
@@ -64,15 +64,12 @@ def cubic_fit(df: DataFrame, x=SPEED, y=POWER, keys=KEYS, more_than: int = 100)
             out = out * u
         return out
 
-    sums = null_safe_join(rows, scale, keys).groupBy(*keys).agg(
+    sums = attach(rows, scale, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.first("x_scale").alias("x_scale"), F.first("x_max").alias("x_max"),
         *[F.avg(power(k)).alias(f"s{k}") for k in range(7)], *[F.avg(power(k) * F.col(y)).alias(f"t{k}") for k in range(4)])
-    base = [[F.col(f"s{i + j}") for j in range(4)] for i in range(4)]
-    solved = sums.withColumn("_det", _determinant(base))
-    for k in range(4):
-        swapped = [[F.col(f"t{i}") if j == k else base[i][j] for j in range(4)] for i in range(4)]
-        solved = solved.withColumn(f"c{k}", _determinant(swapped) / F.nullif(F.col("_det"), F.lit(0.0)))
-    return solved.where(F.col("n") > more_than).select(*keys, "n", "x_scale", "x_max", "c0", "c1", "c2", "c3")
+    moments = F.array(*[F.col(f"s{k}") for k in range(7)], *[F.col(f"t{k}") for k in range(4)])
+    solved = sums.where(F.col("n") > more_than).withColumn("_c", _cubic_coefficients(moments))
+    return solved.select(*keys, "n", "x_scale", "x_max", *[F.col("_c")[k].alias(f"c{k}") for k in range(4)])
 
 
 def cubic_value(x: Column) -> Column:
@@ -92,7 +89,7 @@ def detrended_residuals(df: DataFrame, y=POWER, x=SPEED, keys=KEYS, more_than: i
     """Underway rows (x > 1) with y ≥ 0 and a wind reading: `residual` = y - cubic(x)."""
     rows = df.where((F.col(y) >= 0) & (F.col(x) > 1) & (F.col(WIND) >= 0))
     fit = cubic_fit(rows, x, y, keys, more_than)
-    return (null_safe_join(rows, fit, keys, "inner").withColumn("residual", F.col(y) - cubic_value(F.col(x)))
+    return (attach(rows, fit, keys, "inner").withColumn("residual", F.col(y) - cubic_value(F.col(x)))
             .drop("n", "x_scale", "x_max", "c0", "c1", "c2", "c3"))
 
 
@@ -120,9 +117,9 @@ def draft_quartile_bands(df: DataFrame, keys=KEYS, at_least: int = 20) -> DataFr
     bands = F.array_compact(F.array(*[
         F.when((d >= e[i]) & (d < e[i + 1] + 0.01), F.struct(
             F.lit(i + 1).alias("band"), e[i].alias("band_lo"), e[i + 1].alias("band_hi"))) for i in range(4)]))
-    placed = null_safe_join(rows, q, keys).select(*keys, SPEED, POWER, DRAFT, F.inline(bands))
+    placed = attach(rows, q, keys).select(*keys, SPEED, POWER, DRAFT, F.inline(bands))
     sizes = placed.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("band_n")).where(F.col("band_n") >= at_least)
-    return null_safe_join(placed, sizes, [*keys, "band"], "inner")
+    return attach(placed, sizes, [*keys, "band"], "inner")
 
 
 def leg_direction_split(df: DataFrame, lat="GPS_LAT", keys=KEYS, order=("rid",)) -> DataFrame:
@@ -144,7 +141,7 @@ def bivariate_report(df: DataFrame, keys=KEYS, time="Date", fuel=FUEL) -> DataFr
     p, s, d, w, f = (F.col(c) for c in (POWER, SPEED, DRAFT, WIND, fuel))
     a = df.where((p >= 0) & (s >= 0))
     qa = with_quantiles(a, keys, {"s": SPEED, "p": POWER}, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    sec_a = null_safe_join(a, qa, keys).groupBy(*keys).agg(
+    sec_a = attach(a, qa, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_valid"), count_where(s < 0.5).alias("n_at_rest_speed"),
         count_where((p > F.col("p_q75")) & (s < F.col("s_q25"))).alias("n_high_power_low_speed"),
         half_even(F.first("s_q50"), 3).alias("speed_p50"), half_even(F.first("p_q50"), 3).alias("power_p50"))
@@ -192,7 +189,7 @@ def bivariate_point_tables(df: DataFrame, keys=KEYS, rid="rid", tables=POINT_TAB
             ok = ok & {POWER: (F.col(c) >= 0) if x == SPEED else F.lit(True), SPEED: F.col(c) >= 0, DRAFT: F.col(c) > 0,
                        WIND: F.col(c) >= 0, FUEL: F.col(c) >= 0}.get(c, F.lit(True))
         rows = df.where(ok)
-        part = null_safe_join(rows, with_quantiles(rows, keys, {"z": z}, [lo, hi], ["lo", "hi"]), keys).select(
+        part = attach(rows, with_quantiles(rows, keys, {"z": z}, [lo, hi], ["lo", "hi"]), keys).select(
             F.lit(name).alias("point_table"), *keys, rid, F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"), "z_lo", "z_hi")
         out = part if out is None else out.unionByName(part)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as cfg
 from ..functions.columns import all_of, any_of, count_where, half_even, null_safe_join, share
+from .ordered import attach
 from .quantiles import with_quantiles
 
 
@@ -108,7 +109,7 @@ def high_power_low_speed(df: DataFrame, keys=("vessel_id",), power="Main_Engine_
     valid = df.where((F.col(power) >= 0) & (F.col(speed) >= 0))
     q = with_quantiles(valid, keys, {"p": power, "s": speed}, [0.25, 0.75], ["q25", "q75"])
     hit = (F.col(power) > F.col("p_q75")) & (F.col(speed) < F.col("s_q25"))
-    return null_safe_join(valid, q, keys).groupBy(*keys).agg(
+    return attach(valid, q, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_valid"), count_where(hit).alias("n_high_power_low_speed"))
 
 

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from .. import config as cfg
 from ..functions.columns import (blank_to_null, col, nan_to_null, null_safe_join, parse_timestamp, scaled,
                                  strict_timestamp, to_numeric)
-from .ordered import Ordered
+from .ordered import Ordered, attach
 from .quantiles import quantile, with_quantiles
 
 TEXT_COLUMNS = ("source_file", "vessel_id")
@@ -94,7 +94,7 @@ def radians_to_degrees(df: DataFrame, keys=("vessel_id",), lat="GPS_LAT", lon="G
     """Positions whose median latitude is below 2 are taken to be radians and converted."""
     mid = quantile(df, keys, lat, 0.5, "_mid")
     radians = F.abs(F.col("_mid")) < 2
-    return (null_safe_join(df, mid, keys)
+    return (attach(df, mid, keys)
             .withColumns({c: F.when(radians, F.degrees(c)).otherwise(F.col(c)) for c in (lat, lon)}).drop("_mid"))
 
 
@@ -114,7 +114,7 @@ def fit_minmax(df: DataFrame, features, keys=()) -> DataFrame:
 def minmax_scale(df: DataFrame, features, keys=(), fitted: DataFrame | None = None, suffix: str = "") -> DataFrame:
     """Scale with a fitted table (or fit on `df`). Constant columns give 0; inference never clips."""
     fitted = fit_minmax(df, features, keys) if fitted is None else fitted
-    out = null_safe_join(df, fitted, keys).withColumns(
+    out = attach(df, fitted, keys).withColumns(
         {f + suffix: scaled(F.col(f), F.col(f"{f}_lo"), F.col(f"{f}_hi")) for f in features})
     return out.drop(*[f"{f}_{s}" for f in features for s in ("lo", "hi")])
 
@@ -130,7 +130,7 @@ def thin_every_kth(df: DataFrame, keys, order, cap: int) -> DataFrame:
     """Rows 0, k, 2k, … of each key with k = rows // cap (all rows when there are at most `cap`)."""
     size = df.groupBy(*keys).agg(F.greatest(F.floor(F.count(F.lit(1)) / cap), F.lit(1)).alias("_k"))
     numbered = Ordered(df, keys, order).position("_i").result()
-    return null_safe_join(numbered, size, keys).where(F.col("_i") % F.col("_k") == 0).drop("_i", "_k")
+    return attach(numbered, size, keys).where(F.col("_i") % F.col("_k") == 0).drop("_i", "_k")
 
 
 def sample_n(df: DataFrame, n: int, rid: str = "rid", seed: int = 42) -> DataFrame:
@@ -144,7 +144,7 @@ def winsorize(df: DataFrame, keys, signals, lo: float, hi: float) -> DataFrame:
     edges = with_quantiles(df, keys, {s: s for s in signals}, [lo, hi], ["_qlo", "_qhi"])
     clipped = {s: F.when(F.col(s).isNotNull(), F.least(F.greatest(F.col(s), F.col(f"{s}__qlo")), F.col(f"{s}__qhi")))
                for s in signals}
-    return (null_safe_join(df, edges, keys).withColumns(clipped)
+    return (attach(df, edges, keys).withColumns(clipped)
             .drop(*[f"{s}__q{e}" for s in signals for e in ("lo", "hi")]))
 
 

@@ -28,10 +28,22 @@ SMALL_CONF = "spark.keelson.smallInputBytes"
 SLICE_CONF = "spark.keelson.rowsPerSlice"
 
 
+_stored_bytes: dict = {}         # RDD id of a stored table -> bytes read to make it
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (no job); unknown sizes come back as very large."""
+    """Bytes the plan reads, from the optimizer's statistics of its leaves (no job runs).
+
+    Leaves are summed because join estimates multiply. Unknown sizes come back as very large.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            known = _stored_bytes.get(leaf.rdd().id()) if leaf.nodeName() == "LogicalRDD" else None
+            total += int(leaf.stats().sizeInBytes()) if known is None else known
+        return total
     except AttributeError:
         return 1 << 62
 
@@ -49,10 +61,39 @@ def use_checkpoints(spark: SparkSession) -> None:
                             or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
 
 
+def _record_size(stored: DataFrame, size: int) -> DataFrame:
+    try:
+        _stored_bytes[stored._jdf.queryExecution().logical().collectLeaves().apply(0).rdd().id()] = size
+    except AttributeError:
+        pass
+    return stored
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage into replicated storage, so a lost executor cannot change what was computed."""
     use_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    size = estimated_bytes(df)
+    return _record_size(df.checkpoint(), size)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """Compute a per-group table once and hand it on for joining back to the rows.
+
+    The table is stored, so later passes do not repeat the scan behind it. Its rows are counted: up to
+    BROADCAST_ROWS it is broadcast, which spares the row side a shuffle; beyond that it joins as usual.
+    """
+    table = durable(table)
+    if table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return table
+    return F.broadcast(_record_size(table, 0))
+
+
+def attach(rows: DataFrame, table: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Join a per-group table back to its rows (NULL keys match each other)."""
+    return null_safe_join(rows, settled(table), keys, how)
 
 
 def with_position(df: DataFrame, keys, order, name: str = "_pos") -> DataFrame:
@@ -70,7 +111,7 @@ def with_position(df: DataFrame, keys, order, name: str = "_pos") -> DataFrame:
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*keys, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first"))
                        .alias("_shift"))
-    return (null_safe_join(ranged, runs, [*keys, "_part"], "inner")
+    return (attach(ranged, runs, [*keys, "_part"], "inner")
             .withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift"))
 
 
@@ -185,7 +226,7 @@ def trailing_range(df: DataFrame, keys, time_col: str, span_us: int, columns) ->
     width = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max("_us") - F.min("_us") + 1).alias("_len"))
              .select(*keys, F.greatest(F.lit(2 * span_us), F.ceil(F.col("_len") * target / F.col("_n")))
                      .cast("bigint").alias("_width")))
-    rows = null_safe_join(rows, width, keys)
+    rows = attach(rows, width, keys)
     own = F.floor(F.col("_us") / F.col("_width"))
     targets = F.array_compact(F.array(
         own, F.when(F.pmod(F.col("_us"), F.col("_width")) >= F.col("_width") - span_us, own + 1)))

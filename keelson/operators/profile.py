@@ -11,7 +11,7 @@ from ..functions.columns import (all_of, any_of, col, count_where, half_even, is
                                  null_safe_join, share, unpivot)
 from .flags import aggregate_signals, outside_limits
 from .normalize import signal_profiles
-from .ordered import Ordered
+from .ordered import Ordered, attach, durable
 from .quantiles import quantiles
 from .windows import MAX_STEP_S, signal_steps
 
@@ -120,7 +120,7 @@ def box_stats(long: DataFrame, keys, value: str = "value") -> DataFrame:
     """n, quartiles and 1.5 IQR whiskers (the most extreme readings inside, never inside the box)."""
     long = long.where(F.col(value).isNotNull())
     q = quantiles(long, keys, {"_q": value}, [0.25, 0.5, 0.75])
-    rows = null_safe_join(long, q, keys)
+    rows = attach(long, q, keys)
     q1, med, q3 = (F.col("_q")[i] for i in range(3))
     v, reach = F.col(value), 1.5 * (q3 - q1)
     out = rows.groupBy(*keys).agg(
@@ -153,7 +153,7 @@ def histogram(long: DataFrame, keys, value: str = "value", bins=60, clip: tuple
     size = size.withColumns({"_lo": F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")),
                              "_hi": F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")),
                              "_k": (bins(F.col("_n")) if callable(bins) else F.lit(bins)).cast("int")})
-    rows = null_safe_join(long, size, keys)
+    rows = attach(long, size, keys)
     x = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.col("_k")
     b = F.least(F.floor((x - F.col("_lo")) / width).cast("int"), F.col("_k") - 1)
@@ -184,10 +184,9 @@ def grouped_histogram(df: DataFrame, signals, config: cfg.VesselConfig | None =
 
 def roc_histogram(steps: DataFrame, keys=KEYS) -> DataFrame:
     """Distribution of rates of change, clipped to 0.5-99.5 %, for signals with more than 20 of them."""
-    w = Window.partitionBy(*keys, "signal")
-    rates = steps.where(F.col("roc").isNotNull())
+    rates = durable(steps.where(F.col("roc").isNotNull()).select(*keys, "signal", "roc"))
     enough = rates.groupBy(*keys, "signal").agg(F.count(F.lit(1)).alias("_c")).where("_c > 20").drop("_c")
-    kept = null_safe_join(rates, enough.withColumn("_keep", F.lit(True)), [*keys, "signal"], "inner")
+    kept = attach(rates, enough.withColumn("_keep", F.lit(True)), [*keys, "signal"], "inner")
     return histogram(kept, [*keys, "signal"], "roc", adaptive_roc_bins, (0.005, 0.995))
 
 
@@ -201,7 +200,7 @@ def kde_curve(df: DataFrame, signals, keys=KEYS, points: int = 400, cells: int =
     long = unpivot(df, keys, signals).where(F.col("value").isNotNull())
     q = quantiles(long, on, {"_q": "value"}, [0.001, 0.999]).select(
         *on, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi")).where("_hi > _lo + 1e-12")
-    rows = null_safe_join(long, q, on, "inner").withColumn(
+    rows = attach(long, q, on, "inner").withColumn(
         "x", F.least(F.greatest(F.col("value"), F.col("_lo")), F.col("_hi")))
     cell = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells).cast("int"), F.lit(cells - 1))
     binned = rows.groupBy(*on, cell.alias("cell")).agg(
@@ -221,7 +220,7 @@ def ecdf(df: DataFrame, signals, keys=KEYS, rid="rid", points: int = 5000) -> Da
     on = [*keys, "signal"]
     long = unpivot(df, [*keys, rid], signals).where(F.col("value").isNotNull())
     n = long.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    ranked = null_safe_join(Ordered(long, on, ["value", rid]).position("i").result(), n, on)
+    ranked = attach(Ordered(long, on, ["value", rid]).position("i").result(), n, on)
     last = points - 1
     nearest = half_even(F.col("i") * last / (F.col("n") - 1))
     kept = (F.col("n") <= points) | (half_even(nearest * (F.col("n") - 1) / last) == F.col("i"))
@@ -237,7 +236,7 @@ def density_2d(df: DataFrame, x: str = "GPSSpeed_kn", y: str = "Main_Engine_Powe
         width = F.nullif((F.col(f"{c}_hi") - F.col(f"{c}_lo")) / grid, F.lit(0.0))
         return F.coalesce(F.least(F.floor((F.col(c) - F.col(f"{c}_lo")) / width).cast("int"), F.lit(grid - 1)), F.lit(0))
 
-    return null_safe_join(rows, edges, keys).groupBy(*keys, cell("x").alias("x_bin"), cell("y").alias("y_bin")).agg(
+    return attach(rows, edges, keys).groupBy(*keys, cell("x").alias("x_bin"), cell("y").alias("y_bin")).agg(
         F.count(F.lit(1)).alias("count")).withColumn("log_count", F.log10("count"))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import col, null_safe_join, unpivot
-from .ordered import is_small
+from .ordered import attach, is_small, settled
 
 SKETCH_ACCURACY = 50_000
 
@@ -37,6 +37,7 @@ def bracketed_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int =
     sketch = df.groupBy(*keys).agg(
         F.count(value).alias("_cnt"),
         F.percentile_approx(value, F.array(*[F.lit(b) for b in bounds]), accuracy).alias("_b"))
+    sketch = settled(sketch)
     rows = null_safe_join(df.where(F.col(value).isNotNull()), sketch, keys)
     # Open brackets hold the extreme ranks, and whole groups too short for the margin to cover two rows.
     short = F.col("_cnt") * margin < 4
@@ -51,7 +52,7 @@ def bracketed_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int =
         F.when((F.col(value) >= low[j]) & (F.col(value) <= high[j]), F.lit(j)) for j in range(len(probs))]))
     kept = (rows.select(*keys, F.col(value).alias("_v"), F.explode(inside).alias("_j"))
             .groupBy(*keys, "_j", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    kept = null_safe_join(kept, below, keys)
+    kept = attach(kept, below, keys)
     upto = Window.partitionBy(*keys, "_j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     first_rank = F.element_at(F.array(*[F.col(f"_below{j}") for j in range(len(probs))]), F.col("_j") + 1)
     kept = kept.withColumn("_end", F.sum("_c").over(upto) + first_rank)

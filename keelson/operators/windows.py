@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import half_even, null_safe_join, seconds
-from .ordered import Ordered, lagged, runs, trailing_range
+from ..functions.columns import half_even, seconds
+from .ordered import Ordered, attach, lagged, runs, trailing_range
 from .quantiles import quantile
 
 MAX_STEP_S = 300.0
@@ -86,15 +86,19 @@ def rolling_median_by(df: DataFrame, value: str, by: str, keys=("vessel_id",), r
                       at_least: int = 30, name="rolling_median") -> DataFrame:
     """Centred rolling median of `value` in the order of `by`, after clipping it to ± p99 of its size."""
     p99 = quantile(df, keys, F.abs(F.col(value)), 0.99, "_p99")
-    clipped = null_safe_join(df, p99, keys).withColumn(
+    clipped = attach(df, p99, keys).withColumn(
         "clipped", F.least(F.greatest(F.col(value), -F.col("_p99")), F.col("_p99"))).drop("_p99")
     half = rows // 2
 
     def cols(w):
         w = w.rowsBetween(-half, half - 1)
-        return {name: F.when(F.count("clipped").over(w) >= at_least, F.percentile("clipped", F.lit(0.5)).over(w))}
+        return {"_near": F.collect_list("clipped").over(w)}
 
-    return Ordered(clipped, keys, [by, rid]).frame(cols, before=half, after=half).result()
+    # the frame holds at most `rows` values, so each is sorted in place inside the row
+    near, n = F.sort_array("_near"), F.size("_near")
+    middle = (F.get(F.col("_near"), F.floor((n - 1) / 2).cast("int")) + F.get(F.col("_near"), F.floor(n / 2).cast("int"))) / 2
+    framed = Ordered(clipped, keys, [by, rid]).frame(cols, before=half, after=half).result()
+    return (framed.withColumn("_near", near).withColumn(name, F.when(n >= at_least, middle)).drop("_near"))
 
 
 def leg_direction(df: DataFrame, lat="GPS_LAT", keys=("vessel_id",), order=("rid",)) -> DataFrame:
