@@ -82,3 +82,24 @@ def unpivot_sql(signals, source="v", keys="vessel_id") -> str:
     return " UNION ALL ".join(
         f"SELECT {keys}, rid, Date, '{s}' AS signal, CAST({s} AS DOUBLE) AS value FROM {source} WHERE {s} IS NOT NULL"
         for s in signals)
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagged and scored vessel rows: is_anomaly = score above the vessel's p95, or a constraint violation."""
+    from keelson.operators import ensemble, flags
+    lines = [p.strip() for p in _split(VESSEL_SELECT)]
+    v = flags.constraint_flags(table(spark, sf, "events").selectExpr(*lines, "abs(value - 50e0) AS anomaly_score"))
+    keys = ("vessel_id",)
+    hot = ensemble.apply_thresholds(v, ensemble.threshold_by_group(v, "anomaly_score", 95, keys), "anomaly_score", "hot", keys)
+    return (hot.withColumn("is_anomaly", F.col("hot") | F.col("flag_any_constraint"))
+            .withColumn("cluster_name", F.expr("CASE WHEN GPSSpeed_kn < 3 THEN 'SlowSpeed' WHEN GPSSpeed_kn < 10 THEN 'MediumSpeed' ELSE 'HighSpeed' END")))
+
+
+FLAG_SQL = """coalesce(Main_Engine_Power_kW < 0, false) AS flag_negative_power, coalesce(abs(Trim_m) > 5, false) AS flag_extreme_trim,
+  coalesce(Avg_draft_m <= 0, false) AS flag_invalid_draft,
+  coalesce(Main_Engine_Power_kW < 0, false) OR coalesce(abs(Trim_m) > 5, false) OR coalesce(Avg_draft_m <= 0, false) AS flag_any_constraint"""
+VS = f"""WITH v AS MATERIALIZED (SELECT {VESSEL_SELECT}, abs(value - 50e0) AS anomaly_score FROM events),
+thr AS (SELECT vessel_id, quantile_cont(anomaly_score, 0.95) AS thr FROM v GROUP BY 1),
+f AS (SELECT v.*, {FLAG_SQL}, anomaly_score > thr AS hot FROM v JOIN thr USING (vessel_id)),
+a AS MATERIALIZED (SELECT *, hot OR flag_any_constraint AS is_anomaly,
+  CASE WHEN GPSSpeed_kn < 3 THEN 'SlowSpeed' WHEN GPSSpeed_kn < 10 THEN 'MediumSpeed' ELSE 'HighSpeed' END AS cluster_name FROM f)"""
