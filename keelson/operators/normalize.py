@@ -113,8 +113,8 @@ def fit_minmax(df: DataFrame, features, keys=()) -> DataFrame:
 
 def minmax_scale(df: DataFrame, features, keys=(), fitted: DataFrame | None = None, suffix: str = "") -> DataFrame:
     """Scale with a fitted table (or fit on `df`). Constant columns give 0; inference never clips."""
-    fitted = fit_minmax(df, features, keys) if fitted is None else fitted
-    out = attach(df, fitted, keys).withColumns(
+    ranged = attach(df, fit_minmax(df, features, keys), keys) if fitted is None else null_safe_join(df, fitted, keys)
+    out = ranged.withColumns(
         {f + suffix: scaled(F.col(f), F.col(f"{f}_lo"), F.col(f"{f}_hi")) for f in features})
     return out.drop(*[f"{f}_{s}" for f in features for s in ("lo", "hi")])
 

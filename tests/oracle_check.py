@@ -17,7 +17,8 @@ def session(cpus: int = 8):
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("keelson")
              .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.ui.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
-             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
