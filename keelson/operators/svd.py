@@ -29,6 +29,41 @@ def gram(df: DataFrame, columns, keys=CLUSTER) -> DataFrame:
         *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)])
 
 
+NARROW = 16          # beyond this many columns the products are taken by BLAS on Arrow batches
+
+
+def gram_moments(df: DataFrame, columns, keys=CLUSTER) -> DataFrame:
+    """keys, n and `moments` (upper triangle of XᵀX, then the column sums) for any number of columns.
+
+    Narrow tables use built-in sums. For wide ones each task adds up its own d x d products and hands
+    on one block per key, so the shuffle carries blocks and never rows.
+    """
+    d = len(columns)
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    if d <= NARROW:
+        g = gram(df, columns, keys)
+        return g.select(*keys, "n", F.array(*[F.col(f"g_{i}_{j}") for i, j in upper],
+                                            *[F.col(f"m_{i}") * F.col("n") for i in range(d)]).alias("moments"))
+    pick = np.triu_indices(d)
+    key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def blocks(batches):
+        total = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(list(keys), dropna=False):
+                x = part[list(columns)].to_numpy(dtype=float)
+                add = np.concatenate([[len(x)], (x.T @ x)[pick], x.sum(axis=0)])
+                total[key] = total.get(key, 0) + add
+        for key, m in total.items():
+            yield pd.DataFrame({**dict(zip(keys, key)), "at": np.arange(len(m)), "value": m})
+
+    parts = df.select(*keys, *columns).mapInPandas(blocks, f"{key_ddl}, at int, value double")
+    summed = parts.groupBy(*keys, "at").agg(F.sum("value").alias("value"))
+    whole = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_m"))
+    values = F.transform("_m", lambda x: x["value"])
+    return whole.select(*keys, values[0].cast("bigint").alias("n"), F.slice(values, 2, len(upper) + d).alias("moments"))
+
+
 def svd_fit(df: DataFrame, columns, n_components: int = 3, keys=CLUSTER) -> DataFrame:
     """Per key: `v`, the first right singular vectors (k*d numbers, row-wise), and `explained`, their variance shares.
 
@@ -36,15 +71,14 @@ def svd_fit(df: DataFrame, columns, n_components: int = 3, keys=CLUSTER) -> Data
     """
     d = len(columns)
     k = min(n_components, d - 1) if d > 1 else 1
-    upper = [(i, j) for i in range(d) for j in range(i, d)]
 
     @F.pandas_udf("array<double>")
     def solve(moments: pd.Series) -> pd.Series:
         def one(m):
             n, g = m[0], np.zeros((d, d))
-            for (i, j), value in zip(upper, m[1:]):
-                g[i, j] = g[j, i] = value
-            mean = np.asarray(m[1 + len(upper):])
+            g[np.triu_indices(d)] = m[1:1 + d * (d + 1) // 2]
+            g = np.triu(g) + np.triu(g, 1).T
+            mean = np.asarray(m[1 + d * (d + 1) // 2:]) / n
             _, vectors = np.linalg.eigh(g)
             v = vectors[:, ::-1][:, :k].T
             v = v * np.where(v[np.arange(k), np.abs(v).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
@@ -53,8 +87,8 @@ def svd_fit(df: DataFrame, columns, n_components: int = 3, keys=CLUSTER) -> Data
             return [*v.ravel(), *(part / total if total > 0 else np.zeros(k))]
         return moments.map(one)
 
-    stats = gram(df, columns, keys).where(F.col("n") >= n_components + 1)
-    moments = F.array(F.col("n").cast("double"), *[F.col(f"g_{i}_{j}") for i, j in upper], *[F.col(f"m_{i}") for i in range(d)])
+    stats = gram_moments(df, columns, keys).where(F.col("n") >= n_components + 1)
+    moments = F.concat(F.array(F.col("n").cast("double")), F.col("moments"))
     solved = stats.select(*keys, "n", solve(moments).alias("_s"))
     return solved.select(*keys, "n", F.slice("_s", 1, k * d).alias("v"), F.slice("_s", k * d + 1, k).alias("explained"))
 
@@ -62,6 +96,8 @@ def svd_fit(df: DataFrame, columns, n_components: int = 3, keys=CLUSTER) -> Data
 def residual(columns, k: int, v: Column) -> Column:
     """|x|² - Σ (x·v_j)², clamped at 0, with the joined component array `v`."""
     d = len(columns)
+    if d > NARROW:
+        return _wide_residual(F.array(*[F.col(c) for c in columns]), v)
     norm = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in columns])
     for j in range(k):
         dot = reduce(lambda a, b: a + b, [F.col(c) * v[j * d + i] for i, c in enumerate(columns)])
@@ -69,11 +105,21 @@ def residual(columns, k: int, v: Column) -> Column:
     return F.greatest(norm, F.lit(0.0))
 
 
+@F.pandas_udf("double")
+def _wide_residual(x: pd.Series, v: pd.Series) -> pd.Series:
+    """Arrow form of `residual` for wide vectors."""
+    rows = np.stack(x.to_numpy())
+    comps = np.stack(v.to_numpy()).reshape(len(rows), -1, rows.shape[1])
+    dots = np.einsum("nd,nkd->nk", rows, comps)
+    return pd.Series(np.maximum((rows ** 2).sum(axis=1) - (dots ** 2).sum(axis=1), 0.0))
+
+
 def svd_score(df: DataFrame, components: DataFrame, columns, n_components: int = 3, name="score_svd", keys=CLUSTER) -> DataFrame:
     """Score every row; keys without a model score +infinity."""
     k = min(n_components, len(columns) - 1) if len(columns) > 1 else 1
     joined = null_safe_join(df, components.select(*keys, "v"), keys)
-    return joined.withColumn(name, F.when(F.col("v").isNotNull(), residual(columns, k, F.col("v"))).otherwise(F.lit(float("inf")))).drop("v")
+    v = F.col("v") if len(columns) <= NARROW else F.coalesce("v", F.array_repeat(F.lit(0.0), k * len(columns)))
+    return joined.withColumn(name, F.when(F.col("v").isNotNull(), residual(columns, k, v)).otherwise(F.lit(float("inf")))).drop("v")
 
 
 def svd_predict(df: DataFrame, thresholds: DataFrame, score="score_svd", flag="is_svd_anomaly", keys=CLUSTER) -> DataFrame:
