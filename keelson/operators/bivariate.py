@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import count_where, half_even, month_key, null_safe_join, wrap_angle
 from .ordered import attach, settled
@@ -38,7 +38,7 @@ def monthly_slopes(df: DataFrame, x=POWER, y=FUEL, keys=KEYS, time="Date", at_le
     return attach(months, mid, keys).withColumn("above_median", F.col("slope") > F.col("median_slope") * 1.15)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _cubic_coefficients(sums: pd.Series) -> pd.Series:
     """Coefficients from the moment sums s0..s6, t0..t3 of one key (one row per key reaches this)."""
     def solve(m):

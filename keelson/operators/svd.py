@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import null_safe_join
 from .ensemble import apply_thresholds, threshold_by_group
@@ -105,7 +105,7 @@ def residual(columns, k: int, v: Column) -> Column:
     return F.greatest(norm, F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _wide_residual(x: pd.Series, v: pd.Series) -> pd.Series:
     """Arrow form of `residual` for wide vectors."""
     rows = np.stack(x.to_numpy())

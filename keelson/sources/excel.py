@@ -57,6 +57,10 @@ def sheet_rows(content: bytes):
                 yield out
 
 
+def workbooks(spark: SparkSession, paths) -> DataFrame:
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+
+
 def workbook_headers(spark: SparkSession, paths) -> list[tuple]:
     """(path, header names or None, problem) per workbook; one row per file comes back."""
     def read(batches):
@@ -69,13 +73,16 @@ def workbook_headers(spark: SparkSession, paths) -> list[tuple]:
                     names, problem = None, f"{type(error).__name__}: {error}"
                 yield pd.DataFrame({"path": [path], "names": [names], "problem": [problem]})
 
-    rows = spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(
-        read, "path string, names array<string>, problem string").collect()
+    rows = workbooks(spark, paths).mapInPandas(read, "path string, names array<string>, problem string").collect()
     return [(r["path"], tuple(r["names"]) if r["names"] else None, r["problem"]) for r in rows]
 
 
 def scan_excel(spark: SparkSession, paths, header) -> DataFrame:
-    """Workbooks sharing one header as text columns plus source_file, `_path` and `_row`."""
+    return parse_workbooks(workbooks(spark, paths), header)
+
+
+def parse_workbooks(books: DataFrame, header) -> DataFrame:
+    """Workbooks (path, content) sharing one header as text columns plus source_file, `_path` and `_row`."""
     header = list(header)
 
     def read(batches):
@@ -98,4 +105,4 @@ def scan_excel(spark: SparkSession, paths, header) -> DataFrame:
         return out
 
     ddl = ", ".join(f"`{c}` string" for c in header) + ", _row bigint, _path string, source_file string"
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(read, ddl)
+    return books.mapInPandas(read, ddl)

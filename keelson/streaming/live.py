@@ -7,6 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.flags import constraint_flags
 
 
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def event_time(stream: DataFrame, time: str) -> DataFrame:
+    """Watermarks need an instant: a zone-free time is read as UTC, whatever the session's zone is."""
+    if stream.schema[time].dataType.typeName() == "timestamp":
+        return stream
+    return stream.withColumn(time, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, {time}))"))
+
+
+def _zone_free(c):
+    """The UTC wall clock of an instant."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(EPOCH))
+
+
 def stream_score(stream: DataFrame, model) -> DataFrame:
     """Constraint flags and a saved detector on a stream; stateless, parameters joined by broadcast."""
     return model.transform(constraint_flags(stream))
@@ -16,18 +31,18 @@ def stream_rolling_rate(stream: DataFrame, keys=("vessel_id",), time="Date", lat
                         slide: str = "5 minutes", flag="is_anomaly") -> DataFrame:
     """Sliding-window share of flagged rows; partial counts are combined before the state is touched."""
     w = F.window(time, span, slide)
-    return (stream.withWatermark(time, late).groupBy(*keys, w.alias("w"))
+    return (event_time(stream, time).withWatermark(time, late).groupBy(*keys, w.alias("w"))
             .agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col(flag).cast("double")) * 100).alias("rate_pct"))
-            .select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "rate_pct"))
+            .select(*keys, _zone_free(F.col("w.start")).alias("window_start"), _zone_free(F.col("w.end")).alias("window_end"), "n", "rate_pct"))
 
 
 def stream_gap_alert(stream: DataFrame, interval_s: int, keys=("vessel_id",), time="Date", late: str = "10 minutes") -> DataFrame:
     """One alert per silence longer than ten intervals: a session window closes when its key goes quiet."""
     limit = F.expr(f"INTERVAL {10 * interval_s} SECONDS + INTERVAL 1 MICROSECOND")
     session = F.session_window(time, f"{10 * interval_s} seconds 1 microseconds")
-    return (stream.withWatermark(time, late).groupBy(*keys, session.alias("s"))
+    return (event_time(stream, time).withWatermark(time, late).groupBy(*keys, session.alias("s"))
             .agg(F.count(F.lit(1)).alias("n_records"))
-            .select(*keys, F.col("s.start").alias("active_from"), (F.col("s.end") - limit).alias("gap_start"), "n_records"))
+            .select(*keys, _zone_free(F.col("s.start")).alias("active_from"), _zone_free(F.col("s.end") - limit).alias("gap_start"), "n_records"))
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> None:

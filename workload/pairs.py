@@ -90,9 +90,9 @@ QUERIES = {
         f"""{V}{FP}{MS}, md AS (SELECT vessel_id, quantile_cont(slope, .5) AS m FROM ms GROUP BY 1)
         SELECT vessel_id, month, n, slope, round_even(m, 6) AS median_slope, slope > m*1.15 AS above_median FROM ms JOIN md USING (vessel_id)"""),
     "cubic_fit": (
-        lambda s, d: rounded(B.cubic_curve(B.cubic_fit(vessel(s, d).where(f"{P} >= 0 AND {S} >= 0"))), 4),
-        f"""{V}{NONNEG}, {cubic_sql('a', S, P, more=100)} SELECT vessel_id, i, round_even(xm*i/199, 4) AS x,
-        round_even(greatest({val('xm*i/199')}, 0), 4) AS y FROM fit, (SELECT CAST(range AS INT) AS i FROM range(200))"""),
+        lambda s, d: rounded(B.cubic_curve(B.cubic_fit(vessel(s, d).where(f"{P} >= 0 AND {S} >= 0"))), 2),
+        f"""{V}{NONNEG}, {cubic_sql('a', S, P, more=100)} SELECT vessel_id, i, round_even(xm*i/199, 2) AS x,
+        round_even(greatest({val('xm*i/199')}, 0), 2) AS y FROM fit, (SELECT CAST(range AS INT) AS i FROM range(200))"""),
     "speed_detrended_residuals": (
         lambda s, d: rounded(B.detrended_residuals(vessel(s, d)).select("vessel_id", "rid", "residual"), 2),
         f"{V}{UNDER} SELECT vessel_id, rid, round_even(residual, 2) AS residual FROM r"),
