@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,7 @@ from .ensemble import threshold_by_group
 from .flags import complete
 from .modes import ModeModel, kmeans_modes
 from .normalize import fit_minmax, minmax_scale
-from .ordered import settled
+from .ordered import settled, spread
 
 CLUSTER = ("cluster_id",)
 UNIT = "_u"
@@ -131,7 +130,7 @@ class Autoencoder:
         k = len(modes.centres)
         sizes = rows.agg(*[count_where(F.col("cluster_id") == c).alias(str(c)) for c in range(k)]).first()
         clusters = [c for c in range(k) if sizes[str(c)] >= at_least]
-        scaled = minmax_scale(rows, modes.features, CLUSTER, scaler, UNIT).select("cluster_id", *unit).persist(StorageLevel.MEMORY_AND_DISK)
+        scaled = spread(minmax_scale(rows, modes.features, CLUSTER, scaler, UNIT).select("cluster_id", *unit)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             weights = train(scaled, unit, clusters, hidden, encoding, epochs, batch, rate, seed)
         finally:

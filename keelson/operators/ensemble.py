@@ -26,6 +26,14 @@ def apply_thresholds(df: DataFrame, thresholds: DataFrame, score: str, flag: str
     return attach(df, thresholds, keys).withColumn(flag, F.coalesce(F.col(score) > limit, F.lit(False))).drop("threshold")
 
 
+def flag_methods(df: DataFrame, methods, percentile: float = 95.0, keys=CLUSTER) -> DataFrame:
+    """`is_<m>_anomaly` for several scored methods at once: one quantile pass and one join for all of them."""
+    limits = quantiles(df, keys, {f"_t_{m}": f"score_{m}" for m in methods}, [percentile / 100.0])
+    out = attach(df, limits, keys).withColumns({
+        f"is_{m}_anomaly": F.coalesce(F.col(f"score_{m}") > F.col(f"_t_{m}")[0], F.lit(False)) for m in methods})
+    return out.drop(*[f"_t_{m}" for m in methods])
+
+
 def lookup_cluster_names(df: DataFrame, names: DataFrame) -> DataFrame:
     """Names by cluster id, 'Cluster_<id>' where none is known."""
     default = F.concat(F.lit("Cluster_"), F.col("cluster_id").cast("string"))

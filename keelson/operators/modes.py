@@ -17,6 +17,7 @@ from ..config import local_table
 from ..functions.columns import null_safe_join
 from .flags import complete
 from .normalize import fit_minmax
+from .ordered import spread
 
 
 def _find(features, *words) -> str | None:
@@ -91,7 +92,7 @@ def _scaled_vectors(df: DataFrame, features):
     r = fit_minmax(rows, features).first()
     lo, hi = [float(r[f"{f}_lo"]) for f in features], [float(r[f"{f}_hi"]) for f in features]
     unit = rows.select(*[((F.col(f) - lo[i]) / ((hi[i] - lo[i]) or 1.0)).alias(f) for i, f in enumerate(features)])
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(unit).select("features"), lo, hi
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(spread(unit)).select("features"), lo, hi
 
 
 def _original_units(centres, lo, hi):

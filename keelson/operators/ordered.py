@@ -76,6 +76,12 @@ def durable(df: DataFrame) -> DataFrame:
     return _record_size(df.checkpoint(), size)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out rows over the cores before many passes over them; a no-op for inputs with enough partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 BROADCAST_ROWS = 200_000
 
 

@@ -54,9 +54,7 @@ def thresholds(df):
 
 
 def annotated(s, d):
-    df = score_lines(s, d)
-    for m, t in thresholds(df).items():
-        df = EN.apply_thresholds(df, t, f"score_{m}", f"is_{m}_anomaly")
+    df = EN.flag_methods(score_lines(s, d), METHODS)
     names = cfg.local_table(s, [(0, "Quiet"), (1, "Returned")], "cluster_id int, cluster_name string")
     return EN.annotate(EN.lookup_cluster_names(df, names), METHODS)
 
