@@ -7,8 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as cfg
-from ..functions.columns import (all_of, any_of, col, count_where, half_even, iso_week_key, month_key, nan_to_null,
-                                 null_safe_join, share, unpivot)
+from ..functions.columns import (all_of, count_where, half_even, iso_week_key, month_key,
+                                 null_safe_join, pearson, share, unpivot)
 from .flags import aggregate_signals, outside_limits
 from .normalize import signal_profiles
 from .ordered import Ordered, attach, durable
@@ -45,7 +45,7 @@ def numeric_describe_ext(df: DataFrame, signals=cfg.NUMERIC_COLS, keys=KEYS) ->
 def correlation_matrix(df: DataFrame, signals, keys=KEYS) -> DataFrame:
     """Pairwise-complete Pearson for every pair a < b (in list order), all pairs in one aggregate."""
     pairs = list(combinations(signals, 2))
-    wide = df.groupBy(*keys).agg(*[nan_to_null(F.corr(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.groupBy(*keys).agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return wide.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), F.col(f"c{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)])))
@@ -58,7 +58,7 @@ def grouped_correlations(df: DataFrame, signals, config: cfg.VesselConfig | None
     both = {g: list(dict.fromkeys([*m, *[a for a in anchors if a in df.columns]])) for g, m in members.items()}
     pairs = sorted({tuple(sorted(p)) for m in both.values() for p in combinations(m, 2)})
     used = sorted({s for p in pairs for s in p})
-    wide = df.groupBy(*keys).agg(*[nan_to_null(F.corr(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
+    wide = df.groupBy(*keys).agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
                                  *[F.count(s).alias(f"n_{s}") for s in used])
 
     def usable(g, s):
@@ -79,7 +79,7 @@ def top_correlations(matrix: DataFrame, n: int = 15, keys=KEYS) -> DataFrame:
 def target_correlations(df: DataFrame, target: str, signals, keys=KEYS) -> DataFrame:
     """Correlation of every signal with one target, strongest first."""
     others = [s for s in signals if s != target]
-    wide = df.groupBy(*keys).agg(*[nan_to_null(F.corr(s, target)).alias(s) for s in others])
+    wide = df.groupBy(*keys).agg(*[pearson(s, target).alias(s) for s in others])
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(F.abs("corr")), "signal")
     return wide.unpivot(list(keys), others, "signal", "corr").withColumn("rank", F.row_number().over(w))
 
