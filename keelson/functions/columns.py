@@ -60,14 +60,22 @@ def wrap_angle(c) -> Column:
     return F.pmod(col(c), F.lit(360.0))
 
 
+def utc_wall_clock(instant: Column) -> Column:
+    """Zone-free UTC time of an instant."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+
+
 def parse_timestamp(c) -> Column:
-    """Year-first text is read as ISO, everything else day-first; unreadable text becomes NULL."""
-    text = F.regexp_replace(F.trim(col(c)), r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
-    day_first = F.regexp_replace(F.trim(col(c)), "-", "/")
-    shapes = ("d/M/yyyy HH:mm:ss.SSSSSS", "d/M/yyyy HH:mm:ss.SSS", "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm",
-              "d/M/yyyy")
-    return F.when(text.rlike(r"^\d{4}[-T]"), text.try_cast("timestamp_ntz")).otherwise(
-        F.coalesce(*[F.try_to_timestamp(day_first, F.lit(s)).cast("timestamp_ntz") for s in shapes]))
+    """Year-first text is read as ISO, everything else day-first; unreadable text becomes NULL.
+
+    Day-first text is reordered and then cast like ISO text, so no session time zone is involved;
+    text with an offset is taken to UTC.
+    """
+    text = F.trim(col(c))
+    iso = F.when(text.rlike(r"^\d{4}[-/T]"), F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/", "$1-$2-")).otherwise(
+        F.regexp_replace(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", "$3-$2-$1"))
+    with_offset = iso.rlike(r"\d:\d.*(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(with_offset, utc_wall_clock(iso.try_cast("timestamp"))).otherwise(iso.try_cast("timestamp_ntz"))
 
 
 def strict_timestamp(c, fmt: str) -> Column:

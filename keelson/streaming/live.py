@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import utc_wall_clock
 from ..operators.flags import constraint_flags
 
 
@@ -17,11 +18,6 @@ def event_time(stream: DataFrame, time: str) -> DataFrame:
     return stream.withColumn(time, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, {time}))"))
 
 
-def _zone_free(c):
-    """The UTC wall clock of an instant."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(EPOCH))
-
-
 def stream_score(stream: DataFrame, model) -> DataFrame:
     """Constraint flags and a saved detector on a stream; stateless, parameters joined by broadcast."""
     return model.transform(constraint_flags(stream))
@@ -33,7 +29,7 @@ def stream_rolling_rate(stream: DataFrame, keys=("vessel_id",), time="Date", lat
     w = F.window(time, span, slide)
     return (event_time(stream, time).withWatermark(time, late).groupBy(*keys, w.alias("w"))
             .agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col(flag).cast("double")) * 100).alias("rate_pct"))
-            .select(*keys, _zone_free(F.col("w.start")).alias("window_start"), _zone_free(F.col("w.end")).alias("window_end"), "n", "rate_pct"))
+            .select(*keys, utc_wall_clock(F.col("w.start")).alias("window_start"), utc_wall_clock(F.col("w.end")).alias("window_end"), "n", "rate_pct"))
 
 
 def stream_gap_alert(stream: DataFrame, interval_s: int, keys=("vessel_id",), time="Date", late: str = "10 minutes") -> DataFrame:
@@ -42,7 +38,7 @@ def stream_gap_alert(stream: DataFrame, interval_s: int, keys=("vessel_id",), ti
     session = F.session_window(time, f"{10 * interval_s} seconds 1 microseconds")
     return (event_time(stream, time).withWatermark(time, late).groupBy(*keys, session.alias("s"))
             .agg(F.count(F.lit(1)).alias("n_records"))
-            .select(*keys, _zone_free(F.col("s.start")).alias("active_from"), _zone_free(F.col("s.end") - limit).alias("gap_start"), "n_records"))
+            .select(*keys, utc_wall_clock(F.col("s.start")).alias("active_from"), utc_wall_clock(F.col("s.end") - limit).alias("gap_start"), "n_records"))
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> None:

@@ -37,9 +37,9 @@ def test_text_cleanup(spark):
 
 
 def test_mixed_dates(spark):
-    df = spark.createDataFrame([("01/07/2024 00:05",), ("2024-08-01 00:00:13.440",), ("2024/08/02 10:00:00",), ("31-12-2024 23:59:59",), ("garbage",)], "c string")
+    df = spark.createDataFrame([("01/07/2024 00:05",), ("2024-08-01 00:00:13.440",), ("2024/08/02 10:00:00",), ("31-12-2024 23:59:59",), ("garbage",), ("2024-07-01T10:00:00+02:00",), ("2024-07-01 10:00:00Z",)], "c string")
     assert [r[0] for r in df.select(X.parse_timestamp("c")).collect()] == [
-        datetime(2024, 7, 1, 0, 5), datetime(2024, 8, 1, 0, 0, 13, 440000), datetime(2024, 8, 2, 10), datetime(2024, 12, 31, 23, 59, 59), None]
+        datetime(2024, 7, 1, 0, 5), datetime(2024, 8, 1, 0, 0, 13, 440000), datetime(2024, 8, 2, 10), datetime(2024, 12, 31, 23, 59, 59), None, datetime(2024, 7, 1, 8), datetime(2024, 7, 1, 10)]
 
 
 def test_units_in_names(spark):
