@@ -1,7 +1,5 @@
 """Scaling, clustering, detector, vote and detector-report queries."""
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from keelson import config as cfg
@@ -119,6 +117,14 @@ def _saved(s, d):
     return rounded(detectors.load_detector(s, "svd", path).transform(df).select(*ID, "cluster_id", "score_svd", "is_svd_anomaly"))
 
 
+def _applied(s, d):
+    """A model fitted on one half of the rows, saved, loaded, and applied to all of them."""
+    from .base import scratch
+    df, path = _vectors(s, d), scratch(s)
+    IF.IsolationForest.fit(df.where("l_linenumber <= 3"), FX, trees=10, **SMALL).save(s, path)
+    return rounded(detectors.load_detector(s, "iforest", path).transform(df).select(*ID, "cluster_id", "score_iforest", "is_iforest_anomaly"))
+
+
 def _kmeans(s, d):
     df = lines(s, d).drop("cluster_id")
     return M.kmeans_modes(df, FX, 3, restarts=2).assign(df).select(*ID, "cluster_id")
@@ -187,6 +193,7 @@ QUERIES = {
     "isolation_forest": (_iforest, None),
     "autoencoder": (_autoencoder, None),
     "model_save_load": (_saved, None),
+    "apply_saved_model": (_applied, None),
     "threshold_by_group": (
         lambda s, d: rounded(EN.threshold_by_group(score_lines(s, d), "score_svd")),
         f"{L1} SELECT cluster_id, round_even(any_value(t_svd), 6) AS threshold FROM fl GROUP BY 1"),

@@ -185,6 +185,10 @@ QUERIES = {
         row_number() OVER (PARTITION BY signal ORDER BY value, rid) - 1 AS i, count(*) OVER (PARTITION BY signal) AS n FROM l)
         SELECT vessel_id, signal, round_even(value, 6) AS value, round_even((i+1)/n, 6) AS cumulative FROM r
         WHERE n <= 5000 OR round_even(round_even(i*4999/(n-1), 0)*(n-1)/4999, 0) = i"""),
+    "cumulative_distribution": (
+        lambda s, d: rounded(P.ecdf(vessel(s, d), FEW[:2], points=1_000_000_000)),
+        f"""{UF.replace(unpivot_sql(FEW), unpivot_sql(FEW[:2]))} SELECT vessel_id, signal, round_even(value, 6) AS value,
+        round_even(row_number() OVER (PARTITION BY vessel_id, signal ORDER BY value, rid) / count(*) OVER (PARTITION BY vessel_id, signal), 6) AS cumulative FROM l"""),
     "density_2d": (
         lambda s, d: rounded(P.density_2d(vessel(s, d))),
         f"""{V}, r AS (SELECT vessel_id, GPSSpeed_kn AS x, Main_Engine_Power_kW AS y FROM v WHERE GPSSpeed_kn >= 0 AND Main_Engine_Power_kW >= 0),

@@ -1,6 +1,6 @@
 """Result-store, stage-table, streaming and whole-job queries."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from keelson import config as cfg
 from keelson.operators import classify as C
@@ -12,7 +12,9 @@ from keelson.sources import store as st
 from keelson.streaming import live
 
 from .base import FEATURES, FLAG_SQL, INTERVAL, V, VS, VESSEL_SELECT, _split, rounded, scored, scratch, table, vessel
-from .rules import CL
+from .detect import ASSIGN, CENTRES, CF, _names
+from .profiles import UN
+from .rules import CL, _checks
 from .sources import raw_folder
 
 
@@ -90,6 +92,22 @@ def _reports_back(s, d):
     return s.read.parquet(path).select("vessel_id", "signal", "count", "mean")
 
 
+def _stage_tables(s, d):
+    """One Parquet table per stage, each read back by the next."""
+    root = scratch(s)
+    scored(s, d).write.parquet(f"{root}/annotated")
+    C.classify_anomalies(s.read.parquet(f"{root}/annotated")).write.parquet(f"{root}/classified")
+    return s.read.parquet(f"{root}/classified").groupBy("vessel_id", "primary_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _orderings(s, d):
+    """Places of the types by count and by median score, from the two sorted reports."""
+    rows = C.classify_anomalies(scored(s, d))
+    both = C.type_breakdown(rows).join(C.score_by_type(rows), ["vessel_id", "primary_type"])
+    place = lambda c: F.row_number().over(Window.partitionBy("vessel_id").orderBy(F.desc(c), "primary_type"))
+    return both.select("vessel_id", "primary_type", place("count").alias("by_count"), place("median").alias("by_median"))
+
+
 def _ddl(s, d):
     store = filled(s, d)
     store.clear_anomalies(confirm=True)
@@ -203,10 +221,18 @@ QUERIES = {
         _reopened, f"""{VS} SELECT rid, vessel_id AS stage_vessel, is_anomaly, CASE WHEN is_anomaly THEN 'multivariate_outlier' ELSE 'normal' END AS primary_type FROM a"""),
     "full_labelled_export": (
         _exported, f"{VS} SELECT vessel_id, count(*) AS full_dataset_with_labels, count(*) FILTER (is_anomaly) AS all_anomalies FROM a GROUP BY 1"),
-    "csv_report_sink": (_csv_back, None),
-    "json_sink": (_json_back, None),
+    "csv_report_sinks": (_csv_back, f"{V} {_checks()}"),
+    "json_sink": (
+        _json_back, f"""{ASSIGN}, c AS (SELECT * FROM (VALUES {', '.join(f"({k}, {', '.join(f'{x}::DOUBLE' for x in c)})" for k, c in enumerate(CENTRES))}) t(cluster_id, {', '.join(CF)}))
+        SELECT cluster_id, {_names(3, 'AND Main_Engine_Power_kW < 500')} AS name FROM c WHERE cluster_id IN (SELECT cluster_id FROM asg)"""),
     "reload_cached_reports": (
-        _reports_back, None),
+        _reports_back, f"""{UN} SELECT vessel_id, signal, count(*) AS count, round_even(avg(value), 4) AS mean FROM l WHERE signal <> 'RelWindAngle_deg' GROUP BY 1, 2"""),
+    "stage_tables": (
+        _stage_tables, f"{CL} SELECT vessel_id, primary_type, count(*) AS n FROM c GROUP BY 1, 2"),
+    "report_orderings": (
+        _orderings, f"""{CL}, t AS (SELECT vessel_id, primary_type, count(*) AS n, quantile_cont(anomaly_score, .5) AS m FROM c WHERE is_anomaly GROUP BY 1, 2)
+        SELECT vessel_id, primary_type, row_number() OVER (PARTITION BY vessel_id ORDER BY n DESC, primary_type) AS by_count,
+        row_number() OVER (PARTITION BY vessel_id ORDER BY m DESC, primary_type) AS by_median FROM t"""),
     "run_report": (
         _report, f"""{AN}, n AS (SELECT count(*) AS n, count(*) FILTER (is_anomaly) AS h FROM a)
         SELECT 'totals' AS section, 'total_records' AS key, CAST(n AS VARCHAR) AS value FROM n UNION ALL SELECT 'totals', 'total_anomalies', CAST(h AS VARCHAR) FROM n

@@ -3,14 +3,13 @@
 from pyspark.sql import functions as F
 
 from keelson import config as cfg
-from keelson.functions.columns import half_even
 from keelson.operators import classify as C
 from keelson.operators import flags as L
 from keelson.operators import metadata as D
 from keelson.operators import profile as P
 from keelson.operators import windows as W
 
-from .base import FEATURES, FLAG_SQL, GAPPY, SIGNALS, STEP, V, VS, rounded, scored, unpivot_sql, vessel
+from .base import FEATURES, FLAG_SQL, SIGNALS, STEP, V, VS, rounded, scored, scratch, unpivot_sql, vessel
 from .profiles import UN, PROFILE_ROWS, _values, box_sql, q, re, roc_sql
 
 MS = ["Main_Engine_Power_kW", "DRAFTAFT", "DRAFTFWD", "GPSSpeed_kn", "Avg_draft_m"]
@@ -114,9 +113,11 @@ def _patched(s, d):
 
 
 QN = list(zip(P.QNAMES, P.PROBS))
-PATCH = f"""{META}, un AS (SELECT vessel_id, signal AS variable_name, {', '.join(f'{re(q(p), 4)} AS {n}' for n, p in QN)},
+def patch_sql(config):
+    """The metadata patch for a vessel's limits; raw names equal signal names, so units stay."""
+    return f"""{META}, un AS (SELECT vessel_id, signal AS variable_name, {', '.join(f'{re(q(p), 4)} AS {n}' for n, p in QN)},
   count(*) FILTER (value < 0) AS n_negative FROM l GROUP BY 1, 2 HAVING count(*) >= 20),
- lm AS (SELECT * FROM (VALUES {_values([(k, a, b, k in cfg.STRICTLY_NON_NEGATIVE) for k, (a, b) in TIGHT.physical_limits.items()])}) t(variable_name, lo, hi, strict)),
+ lm AS (SELECT * FROM (VALUES {_values([(k, a, b, k in cfg.STRICTLY_NON_NEGATIVE) for k, (a, b) in config.physical_limits.items()])}) t(variable_name, lo, hi, strict)),
  j AS (SELECT m.*, lm.lo AS vlo, lm.hi AS vhi, coalesce(strict, false) AS strict, un.* EXCLUDE (vessel_id, variable_name), nt AS n_total FROM m JOIN tot USING (vessel_id)
   LEFT JOIN un USING (vessel_id, variable_name) LEFT JOIN lm USING (variable_name)),
  e AS (SELECT *, n_total - n_missing AS nvv,
@@ -133,6 +134,8 @@ PATCH = f"""{META}, un AS (SELECT vessel_id, signal AS variable_name, {', '.join
  SELECT vessel_id, variable_name, unit, np AS physical_limits, nh AS hard_filter, nsw AS soft_warning,
   (np <> physical_limits)::INT + (nh <> hard_filter)::INT + (nsw <> soft_warning)::INT AS n_changed FROM n"""
 
+
+PATCH = patch_sql(TIGHT)
 QUERIES = {
     "constraint_flags": (
         lambda s, d: L.constraint_flags(vessel(s, d)).select("rid", "vessel_id", "flag_negative_power", "flag_extreme_trim", "flag_invalid_draft", "flag_any_constraint"),
@@ -208,6 +211,12 @@ QUERIES = {
     "estimate_violations": (
         lambda s, d: _patched(s, d).select("vessel_id", "variable_name", F.regexp_extract("soft_warning", r"(\d+)_phys", 1).alias("estimate")),
         f"SELECT vessel_id, variable_name, regexp_extract(soft_warning, '(\\d+)_phys', 1) AS estimate FROM ({PATCH})"),
+    "metadata_patch_join": (
+        lambda s, d: _patched(s, d).where("soft_warning <> 'none'").select("vessel_id", "variable_name", "soft_warning"),
+        f"SELECT vessel_id, variable_name, soft_warning FROM ({PATCH}) WHERE soft_warning <> 'none'"),
+    "metadata_refresh_modes": (
+        lambda s, d: _refreshed(s, d),
+        f"SELECT vessel_id, variable_name, physical_limits, hard_filter, soft_warning FROM ({patch_sql(cfg.STENALINE)})"),
     "apply_quality_rules": (
         lambda s, d: _quality(s, d),
         f"""{V} SELECT rid, CASE WHEN Main_Engine_Power_kW BETWEEN 0 AND 45000 THEN round_even(Main_Engine_Power_kW, 6) END AS Main_Engine_Power_kW,
@@ -271,6 +280,16 @@ def _metadata_part(s, d, *cols):
     return _metadata(s, d).select("vessel_id", "variable_name", *cols)
 
 
+def _refreshed(s, d):
+    """Cached reports of one vessel on disk, patched by the refresh job (no raw path, so patch mode)."""
+    root, df = scratch(s), vessel(s, d)
+    folder = f"{root}/{cfg.STENALINE.vessel_id}"
+    D.variable_metadata(df, SIGNALS, max_step_s=STEP).write.parquet(f"{folder}/metadata")
+    P.univariate_report(df, SIGNALS, max_step_s=STEP).write.parquet(f"{folder}/univariate_report")
+    done = D.refresh_metadata(s, root)
+    return s.read.parquet(done[cfg.STENALINE.vessel_id]).select("vessel_id", "variable_name", "physical_limits", "hard_filter", "soft_warning")
+
+
 def _quality(s, d):
     cols = ["Main_Engine_Power_kW", "DRAFTFWD"]
     df = vessel(s, d)

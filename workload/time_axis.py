@@ -2,6 +2,7 @@
 
 from keelson.operators import audit as A
 from keelson.operators import windows as W
+from keelson.operators.ordered import Ordered
 
 from .base import INTERVAL as E
 from .base import SIGNALS, STEP, V, VD, rounded, unpivot_sql, vessel, with_duplicates
@@ -147,6 +148,12 @@ QUERIES = {
         f"""{V}{STEPS}{DAILY} SELECT vessel_id, substr(date, 1, 7) AS month, {', '.join(
             f"any_value(pct_coverage) FILTER (substr(date, 9, 2) = '{k:02d}') AS d{k:02d}" for k in range(1, 32))}
         FROM dc GROUP BY 1, 2"""),
+    "rank_rows": (
+        lambda s, d: Ordered(vessel(s, d).select("vessel_id", "rid", "Date"), ["vessel_id"], ["Date", "rid"]).position("position").result().select("rid", "position"),
+        f"{V} SELECT rid, row_number() OVER (PARTITION BY vessel_id ORDER BY Date, rid) - 1 AS position FROM v"),
+    "index_align": (
+        lambda s, d: _aligned(s, d),
+        f"{V} SELECT rid, Date, round_even(Main_Engine_Power_kW - Fuel_Consumption_t_per_day, 6) AS difference FROM v WHERE Main_Engine_Power_kW IS NOT NULL"),
     "rate_of_change": (
         lambda s, d: rounded(W.signal_steps(vessel(s, d), ["Main_Engine_Power_kW", "DRAFTAFT"], max_step_s=STEP)
                              .where("roc IS NOT NULL").select("vessel_id", "signal", "ts", "roc")),
@@ -164,6 +171,12 @@ QUERIES = {
 }
 
 
+def _aligned(s, d):
+    """Two signals of one row are aligned by being in the row; nothing is joined."""
+    v = vessel(s, d).where("Main_Engine_Power_kW IS NOT NULL")
+    return rounded(v.selectExpr("rid", "Date", "Main_Engine_Power_kW - Fuel_Consumption_t_per_day AS difference"))
+
+
 def _align(s, d):
     from pyspark.sql import functions as F
     days = A.coverage_by_day(vessel(s, d), E)
