@@ -16,7 +16,8 @@ KEYS = ("vessel_id",)
 
 def temporal_coverage(df: DataFrame, keys=KEYS, time="Date", rid="rid", per_day: bool = False) -> DataFrame:
     """Records per day with the key's median and largest gap (or, per_day, those of each day)."""
-    rows = lagged(df.where(F.col(time).isNotNull()), keys, [time, rid], {"_prev": F.col(time)})
+    narrow = df.where(F.col(time).isNotNull()).select(*keys, time, rid)
+    rows = lagged(narrow, keys, [time, rid], {"_prev": F.col(time)})
     rows = rows.select(*keys, day_key(time).alias("date"), seconds("_prev", time).alias("_gap"))
     gap_keys = [*keys, "date"] if per_day else list(keys)
     days = rows.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("records"))
@@ -45,7 +46,7 @@ def duplicate_summary(df: DataFrame, keys=KEYS, time="Date") -> DataFrame:
 
 def sort_order_check(df: DataFrame, keys=KEYS, time="Date", rid="rid") -> DataFrame:
     """Backward time steps between rows in ingest order."""
-    rows = lagged(df.where(F.col(time).isNotNull()), keys, [rid], {"_prev": F.col(time)})
+    rows = lagged(df.where(F.col(time).isNotNull()).select(*keys, time, rid), keys, [rid], {"_prev": F.col(time)})
     return rows.groupBy(*keys).agg(count_where(F.col(time) < F.col("_prev")).alias("n_out_of_order")).withColumn(
         "is_sorted", F.col("n_out_of_order") == 0)
 

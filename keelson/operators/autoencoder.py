@@ -14,7 +14,7 @@ from .ensemble import threshold_by_group
 from .flags import complete
 from .modes import ModeModel, kmeans_modes
 from .normalize import fit_minmax, minmax_scale
-from .ordered import settled, spread
+from .ordered import durable, is_small, settled, spread
 
 CLUSTER = ("cluster_id",)
 UNIT = "_u"
@@ -136,7 +136,8 @@ class Autoencoder:
         finally:
             scaled.unpersist()
         model = Autoencoder(modes, scaler, weights, layer_sizes(len(unit), hidden, encoding))
-        scored = model._score(rows).where(F.col("cluster_id").isin(clusters))
+        scored = model._score(rows).where(F.col("cluster_id").isin(clusters)).select("cluster_id", "score_autoencoder")
+        scored = scored if is_small(rows) else durable(scored)         # score in Python once, not once per quantile pass
         model.thresholds = settled(threshold_by_group(scored, "score_autoencoder", percentile))
         return model
 

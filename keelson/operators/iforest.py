@@ -13,7 +13,7 @@ from .flags import complete
 from .ensemble import threshold_by_group
 from .modes import ModeModel, kmeans_modes
 from .normalize import fit_minmax, minmax_scale
-from .ordered import settled
+from .ordered import durable, is_small, settled
 from ..functions.columns import null_safe_join
 
 CLUSTER = ("cluster_id",)
@@ -143,7 +143,8 @@ class IsolationForest:
         unit = [f + UNIT for f in modes.features]
         scaled = minmax_scale(rows, modes.features, CLUSTER, scaler, UNIT).select("rid", *CLUSTER, *unit)
         model = IsolationForest(modes, scaler, settled(fit_trees(scaled, unit, trees, max_samples, seed)))
-        scored = model._score(rows).where(F.col("cluster_id").isin(model._clusters()))
+        scored = model._score(rows).where(F.col("cluster_id").isin(model._clusters())).select("cluster_id", "score_iforest")
+        scored = scored if is_small(rows) else durable(scored)         # score in Python once, not once per quantile pass
         model.thresholds = settled(threshold_by_group(scored, "score_iforest", percentile))
         return model
 

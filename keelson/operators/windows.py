@@ -45,7 +45,8 @@ def signal_steps(df: DataFrame, signals, keys=("vessel_id",), time="Date", order
 def run_length_islands(df: DataFrame, value: str, digits: int = 4, keys=("vessel_id",), time="Date",
                        rid="rid") -> DataFrame:
     """Maximal runs of equal value: length, first and last time."""
-    tagged = runs(df.where(F.col(value).isNotNull()), keys, [rid], half_even(F.col(value), digits))
+    narrow = df.where(F.col(value).isNotNull()).select(*keys, time, rid, value)
+    tagged = runs(narrow, keys, [rid], half_even(F.col(value), digits))
     return tagged.groupBy(*keys, "run_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(rid).alias("rid_start"), F.max(rid).alias("rid_end"),
         F.min(time).alias("ts_start"), F.max(time).alias("ts_end"), F.first(half_even(F.col(value), digits)).alias("v"))
@@ -53,8 +54,9 @@ def run_length_islands(df: DataFrame, value: str, digits: int = 4, keys=("vessel
 
 def anomaly_runs(df: DataFrame, flag="is_anomaly", keys=("vessel_id",), time="Date", rid="rid") -> DataFrame:
     """Consecutive anomalous rows in time order: length, start and end."""
-    tagged = runs(df.where(F.col(time).isNotNull()), keys, [time, rid], F.coalesce(F.col(flag), F.lit(False)))
-    return tagged.where(flag).groupBy(*keys, "run_id").agg(
+    narrow = df.where(F.col(time).isNotNull()).select(*keys, time, rid, F.coalesce(F.col(flag), F.lit(False)).alias("_flag"))
+    tagged = runs(narrow, keys, [time, rid], F.col("_flag"))
+    return tagged.where("_flag").groupBy(*keys, "run_id").agg(
         F.count(F.lit(1)).alias("run_length"), F.min(time).alias("run_start"), F.max(time).alias("run_end"))
 
 

@@ -90,6 +90,15 @@ def test_reports_do_not_depend_on_the_plan(spark, report):
         spark.conf.unset(ordered.SLICE_CONF)
 
 
+def test_sample_is_exact_and_repeatable(spark, large):
+    from keelson.operators.normalize import sample_n
+    df = spark.range(20_000).withColumnRenamed("id", "rid").repartition(4)
+    first = {r["rid"] for r in sample_n(df, 300).collect()}
+    spark.conf.set(ordered.SMALL_CONF, str(1 << 60))
+    assert first == {r["rid"] for r in sample_n(df, 300).collect()} and len(first) == 300
+    assert sample_n(df, 50_000).count() == 20_000
+
+
 def test_null_keys_keep_their_rows(spark, large):
     df = spark.createDataFrame([(None, i, float(i)) for i in range(30)] + [("a", i, 1.0) for i in range(30, 40)], "k string, rid bigint, v double")
     out = ordered.lagged(df, ["k"], ["rid"], {"p": F.col("v")})
