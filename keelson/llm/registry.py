@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import q_dedup
+from . import q_dedup, q_text
 
-QUERIES = {**q_dedup.QUERIES}
+QUERIES = {**q_dedup.QUERIES, **q_text.QUERIES}
