@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .common import table
+from .packing import best_fit_packing
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": (op2_bpe, None)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_bpe": (op2_bpe, None), "op7_packing": (op7_packing, None)}
