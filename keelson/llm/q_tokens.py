@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .common import table
 from .packing import best_fit_packing
+from .token_files import token_output
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,4 +18,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": (op2_bpe, None), "op7_packing": (op7_packing, None)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_bpe": (op2_bpe, None), "op7_packing": (op7_packing, None), "op9_token_files": (op9_token_files, None)}
