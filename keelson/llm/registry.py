@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import q_dedup, q_text, q_tokens
+from . import q_dedup, q_search, q_text, q_tokens
 
-QUERIES = {**q_dedup.QUERIES, **q_text.QUERIES, **q_tokens.QUERIES}
+QUERIES = {**q_dedup.QUERIES, **q_text.QUERIES, **q_tokens.QUERIES, **q_search.QUERIES}
