@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import crc32_mod, table
+from .language_id import identify, train
 from .license_scan import license_scan
 
 
@@ -12,4 +13,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_license_scan": (op5_license_scan, None)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 4) == 2
+    classifier = train(docs.where(~held_out))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return identify(rows, classifier).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+QUERIES = {"op4_language_id": (op4_language_id, None), "op5_license_scan": (op5_license_scan, None)}
