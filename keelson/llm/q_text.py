@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bloom_lm
 from .common import crc32_mod, table
 from .language_id import identify, train
 from .license_scan import license_scan
@@ -21,4 +22,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, classifier).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op4_language_id": (op4_language_id, None), "op5_license_scan": (op5_license_scan, None)}
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 7) == 2
+    model, singles = bloom_lm.train(docs.where(~held_out).select(F.col("text").cast("binary")))
+    return bloom_lm.score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model, singles)
+
+
+QUERIES = {"op6_bloom_lm": (op6_bloom_lm, None), "op4_language_id": (op4_language_id, None), "op5_license_scan": (op5_license_scan, None)}
