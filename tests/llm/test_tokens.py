@@ -91,9 +91,9 @@ def test_packing_exchanges_documents(spark):
     rng = random.Random(4)
     rows = [(i, " the" * rng.randrange(3, 60)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    n = check_packing(df, packing.best_fit_packing(df, capacity=100, group_items=25).collect(), 100)
+    n = check_packing(df, packing.best_fit_packing(df, capacity=100, group_items=100).collect(), 100)
     one = packing.best_fit_decreasing(np.array([len(t) // 4 + 1 for _, t in rows]), 100)[2]
-    alone = check_packing(df, packing.best_fit_packing(df, capacity=100, group_items=25, rounds=1).collect(), 100)
+    alone = check_packing(df, packing.best_fit_packing(df, capacity=100, group_items=100, rounds=1).collect(), 100)
     assert one <= n < alone
 
 
