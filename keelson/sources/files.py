@@ -6,16 +6,16 @@ import warnings
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import config as cfg
 from ..operators.normalize import normalize
+from ..operators.ordered import settled
 from .excel import scan_excel, workbook_headers
 
 EXTENSIONS = (".csv", ".xlsx", ".xls")
 READABLE = (".csv", ".xlsx")
-# rid = file ordinal | 4 MB block | row counter of the task: file order, then row order, unique
-FILE_SHIFT, BLOCK_SHIFT, BLOCK_BYTES = 43, 29, 4 << 20
+GLOB_CHARACTERS = "\\{}[]*?"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -65,6 +65,11 @@ def _csv_header(spark: SparkSession, path: str):
         return None, str(problem).splitlines()[0]
 
 
+def literal_path(path: str) -> str:
+    """A discovered name as a path pattern that matches itself only."""
+    return "".join("\\" + c if c in GLOB_CHARACTERS else c for c in path)
+
+
 def scan_csv(spark: SparkSession, paths, columns, glob: str | None = None) -> DataFrame:
     """CSV files with one header, every column as text; types are decided by the projection that follows."""
     schema = ", ".join(f"`{c}` string" for c in columns)
@@ -75,12 +80,18 @@ def scan_csv(spark: SparkSession, paths, columns, glob: str | None = None) -> Da
 
 
 def scan_columns_glob(spark: SparkSession, folder: str, glob: str, columns) -> DataFrame:
-    """Selected columns of all matching files; the others are not parsed."""
-    first = next(f for f in discover_files(spark, folder) if _matches(f, glob))
-    header, problem = _csv_header(spark, first)
-    if header is None:
-        raise RuntimeError(f"cannot read {first}: {problem}")
-    return scan_csv(spark, folder, header, glob).select(*[F.col(f"`{c}`") for c in columns])
+    """Selected columns of all matching files, by name: files may order their columns differently.
+
+    The other columns are not parsed. A file that lacks a column gives NULL; one without a header is skipped with a warning.
+    """
+    headers, skipped = csv_headers(spark, [f for f in discover_files(spark, folder) if _matches(f, glob)])
+    for f, reason in skipped:
+        warnings.warn(f"skipping {f}: {reason}")
+    if not headers:
+        raise RuntimeError(f"no file below {folder} matches {glob} and can be read")
+    parts = [scan_csv(spark, [literal_path(f) for f in files], header).select(
+        *[F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c) for c in columns]) for header, files in headers.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _matches(path: str, glob: str) -> bool:
@@ -88,26 +99,47 @@ def _matches(path: str, glob: str) -> bool:
     return fnmatch(path.rsplit("/", 1)[-1], glob)
 
 
-def _with_provenance(df: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """source_file and rid from file metadata (CSV rows carry no row index)."""
-    counter = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << BLOCK_SHIFT) - 1))
-    df = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
-                   F.floor(F.col("_metadata.file_block_start") / BLOCK_BYTES).alias("_block")).withColumn("_row", counter)
-    df = df.join(ordinals, "_path", "left")
-    rid = (F.shiftleft(F.col("_ordinal"), FILE_SHIFT) + F.shiftleft(F.col("_block").cast("bigint"), BLOCK_SHIFT) + F.col("_row"))
-    return df.withColumn("rid", rid).drop("_path", "_ordinal", "_block", "_row")
+def plain_path(path):
+    """A file's path as metadata report it, without percent escapes."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def load_report(spark: SparkSession, path: str) -> tuple[dict, list[tuple[str, str]]]:
-    """(header -> files, skipped files with the reason) for everything under `path`."""
-    files = discover_files(spark, path)
+def _with_source(df: DataFrame) -> DataFrame:
+    """source_file, and where a row came from: _path, _block (start of the split) and _row (ascending inside it)."""
+    return df.select("*", plain_path(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_row")).withColumn("source_file", F.element_at(F.split("_path", "/"), -1))
+
+
+def _numbered(parts: list) -> list:
+    """Add `rid` to every part: the row's number in file order, then row order, over all parts.
+
+    One narrow pass counts the rows of every split of every file; their running sum is a table of one row per split.
+    """
+    places = reduce(DataFrame.unionByName, [p.select("_path", "_block", "_row") for p in parts])
+    splits = places.groupBy("_path", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    table = settled(splits.select("_path", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")))
+    missing = F.raise_error(F.lit("a row comes from a split that was not counted")).cast("bigint")
+    return [p.join(table, ["_path", "_block"], "left").withColumn("rid", F.coalesce(F.col("_row") + F.col("_shift"), missing))
+            .drop("_path", "_block", "_row", "_shift") for p in parts]
+
+
+def csv_headers(spark: SparkSession, csvs) -> tuple[dict, list]:
+    """(header -> files, skipped files with the reason)"""
     headers, skipped = {}, []
-    csvs = [f for f in files if f.lower().endswith(".csv")]
     with ThreadPoolExecutor(16) as pool:
         for f, (header, problem) in zip(csvs, pool.map(lambda f: _csv_header(spark, f), csvs)):
-            headers.setdefault(("csv", header), []).append(f) if header else skipped.append((f, problem))
+            headers.setdefault(header, []).append(f) if header else skipped.append((f, problem))
+    return headers, skipped
+
+
+def load_report(spark: SparkSession, path: str) -> tuple[dict, list[tuple[str, str]]]:
+    """(kind and header -> files, skipped files with the reason) for everything under `path`."""
+    files = discover_files(spark, path)
+    found, skipped = csv_headers(spark, [f for f in files if f.lower().endswith(".csv")])
+    headers = {("csv", header): fs for header, fs in found.items()}
     books = [f for f in files if f.lower().endswith(".xlsx")]
-    for f, header, problem in workbook_headers(spark, books) if books else []:
+    for f, header, problem in workbook_headers(spark, [literal_path(b) for b in books]) if books else []:
         headers.setdefault(("xlsx", header), []).append(f) if header else skipped.append((f, problem))
     skipped += [(f, "legacy .xls is not read") for f in files if f.lower().endswith(".xls")]
     return headers, skipped
@@ -128,20 +160,11 @@ def load_raw(spark: SparkSession, path: str, config: cfg.VesselConfig | None = N
         warnings.warn(f"skipping {f}: {reason}")
     if not headers:
         raise RuntimeError(f"no files could be loaded from {path}: all {len(skipped)} failed")
-    ordered = sorted(f for fs in headers.values() for f in fs)
-    ordinals = cfg.local_table(spark, [(_uri(spark, f), i) for i, f in enumerate(ordered)], "_path string, _ordinal bigint")
     parts = []
     for (kind, header), files in headers.items():
-        if kind == "csv":
-            raw = _with_provenance(scan_csv(spark, files, header), ordinals)
-        else:
-            raw = scan_excel(spark, files, header).join(ordinals, "_path", "left").withColumn(
-                "rid", F.shiftleft(F.col("_ordinal"), FILE_SHIFT) + F.col("_row")).drop("_path", "_ordinal", "_row")
-        parts.append(normalize(raw, config))
+        paths = [literal_path(f) for f in files]
+        parts.append(_with_source(scan_csv(spark, paths, header)) if kind == "csv" else
+                     scan_excel(spark, paths, header).withColumn("_block", F.lit(0).cast("bigint")))
+    parts = [normalize(p, config) for p in _numbered(parts)]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.withColumn("vessel_id", F.lit(config.vessel_id))
-
-
-def _uri(spark: SparkSession, path: str) -> str:
-    p, fs = _fs(spark, path)
-    return fs.makeQualified(p).toUri().toString().replace("file:/", "file:///", 1) if not path.startswith("file:///") else path

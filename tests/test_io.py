@@ -89,3 +89,30 @@ def test_whole_run(spark, tmp_path):
     assert out["07_saving"]["n_anomalies_logged"] == out["06_classification"]["n_anomalies"] > 0
     names = [r["name"] for r in spark.read.json(run.folder("cluster_names")).collect()]
     assert len(names) == 2 and all(n.startswith("Mode_") for n in names)
+
+
+def test_load_raw_numbers_rows_and_reads_odd_names(spark, tmp_path):
+    from workload.sources import _workbook
+    base = tmp_path / "grimaldi"
+    base.mkdir()
+    names = ["a b.csv", "c[1].csv", "ü+%20.csv", "z.csv"]
+    for n, name in enumerate(names):
+        rows = "".join(f"2024-08-0{n + 1} 00:{i // 60:02d}:{i % 60:02d},{i}\n" for i in range(50))
+        (base / name).write_text("Time stamp,LATITUDE\n" + rows)
+    (base / "d.xlsx").write_bytes(_workbook(pd.DataFrame({"Time stamp": [pd.Timestamp("2024-08-03 12:00:00")] * 3, "SHAFT POWER[kW]": [1.0, 2.0, 3.0]})))
+    (base / "e.xls").write_bytes(b"old")
+    (base / "f.csv").write_text("")
+    with pytest.warns(UserWarning):
+        rows = files.load_raw(spark, str(base)).orderBy("rid").collect()
+    assert [r["rid"] for r in rows] == list(range(203))
+    order = sorted([*names, "d.xlsx"], key=str.encode)
+    assert [r["source_file"] for r in rows] == [n for n in order for _ in range(3 if n == "d.xlsx" else 50)]
+    assert all(r["GPS_LAT"] == i for n in names for i, r in enumerate(x for x in rows if x["source_file"] == n))
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("LAT,LONG\n1,2\n")
+    (tmp_path / "2.csv").write_text("LONG,LAT,Other\n20,10,x\n")
+    (tmp_path / "3.csv").write_text("LAT\n5\n")
+    got = files.scan_columns_glob(spark, str(tmp_path), "*.csv", ["LAT", "LONG"]).collect()
+    assert {tuple(r) for r in got} == {("1", "2"), ("10", "20"), ("5", None)}
