@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import count_where, null_safe_join
@@ -14,7 +13,7 @@ from .ensemble import threshold_by_group
 from .flags import complete
 from .modes import ModeModel, kmeans_modes
 from .normalize import fit_minmax, minmax_scale
-from .ordered import durable, is_small, settled, spread
+from .ordered import durable, settled
 
 CLUSTER = ("cluster_id",)
 UNIT = "_u"
@@ -59,6 +58,9 @@ def gradient(flat, sizes, x) -> np.ndarray:
     return np.concatenate(grads[::-1])
 
 
+SHARD_ROWS = 4_096
+
+
 def adam_steps(state, sizes, x, batch: int, rate: float, rng):
     """One pass of mini-batches. `state` is (weights, first moment, second moment, steps)."""
     w, m, v, t = state
@@ -71,14 +73,31 @@ def adam_steps(state, sizes, x, batch: int, rate: float, rng):
     return w, m, v, t
 
 
-def train(scaled: DataFrame, columns, clusters, hidden=(16, 8), encoding: int = 3, epochs: int = 50, batch: int = 32,
+def shards(scaled: DataFrame, columns, sizes: dict, seed: int) -> DataFrame:
+    """(cluster_id, shard, x): the rows of each cluster of `sizes` (cluster -> rows) as matrices of about SHARD_ROWS rows.
+
+    A row's shard follows from its id and the cluster's size, its place in it from the id: the layout has no influence.
+    """
+    number = F.lit(None).cast("int")
+    for c, n in sizes.items():
+        number = F.when(F.col("cluster_id") == c, F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(max(1, round(n / SHARD_ROWS)))).cast("int")).otherwise(number)
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(["rid", *columns])[list(columns)].to_numpy(dtype=float)
+        return pd.DataFrame({"cluster_id": [int(pdf["cluster_id"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "x": [x.tobytes()]})
+
+    rows = scaled.withColumn("shard", number).where(F.col("shard").isNotNull())
+    return durable(rows.groupBy("cluster_id", "shard").applyInPandas(gather, "cluster_id int, shard int, x binary"))
+
+
+def train(scaled: DataFrame, columns, cluster_rows: dict, hidden=(16, 8), encoding: int = 3, epochs: int = 50, batch: int = 32,
           rate: float = 1e-3, seed: int = 42) -> dict:
-    """cluster -> flat weights.
+    """cluster -> flat weights, for the clusters of `cluster_rows` (cluster -> rows).
 
-    Each round, every partition runs its own rows through Adam from the shared state; the states are
-    averaged by row count with a grouped aggregate on the executors (one row per cluster and weight
-    reaches the driver, whatever the number of partitions).
+    Each round, every shard runs its rows through Adam from the shared state; the states are averaged by row count with a
+    grouped aggregate on the executors (one row per cluster and weight reaches the driver, whatever the number of shards).
     """
+    clusters, packed = list(cluster_rows), shards(scaled, columns, cluster_rows, seed)
     sizes = layer_sizes(len(columns), hidden, encoding)
     length = sum((a + 1) * b for a, b in zip(sizes, sizes[1:]))
     state = {c: (initial_weights(sizes, [seed, int(c) + 1]), np.zeros(length), np.zeros(length), 0.0) for c in clusters}
@@ -87,20 +106,13 @@ def train(scaled: DataFrame, columns, clusters, hidden=(16, 8), encoding: int =
         shared = sc.broadcast(state)
 
         def local_pass(batches):
-            rng, now, seen = np.random.default_rng([seed, epoch]), {}, {}
             for pdf in batches:
-                ids = pdf["cluster_id"].to_numpy()
-                x = pdf[list(columns)].to_numpy(dtype=float)
-                for c in np.unique(ids):
-                    if int(c) not in shared.value:
-                        continue
-                    part = x[ids == c]
-                    now[int(c)] = adam_steps(now.get(int(c), shared.value[int(c)]), sizes, part, batch, rate, rng)
-                    seen[int(c)] = seen.get(int(c), 0) + len(part)
-            for c, (w, m, v, t) in now.items():
-                yield pd.DataFrame({"cluster_id": c, "i": np.arange(length), "w": w, "m": m, "v": v, "t": t, "n": float(seen[c])})
-
-        local = scaled.mapInPandas(local_pass, "cluster_id int, i int, w double, m double, v double, t double, n double")
+                for c, shard, data in zip(pdf["cluster_id"], pdf["shard"], pdf["x"]):
+                    x = np.frombuffer(data).reshape(-1, len(columns))
+                    w, m, v, t = adam_steps(shared.value[int(c)], sizes, x, batch, rate, np.random.default_rng([seed, epoch, int(shard)]))
+                    yield pd.DataFrame({"cluster_id": int(c), "i": np.arange(length), "w": w, "m": m, "v": v, "t": t, "n": float(len(x))})
+
+        local = packed.mapInPandas(local_pass, "cluster_id int, i int, w double, m double, v double, t double, n double")
         merged = local.groupBy("cluster_id", "i").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "wmvt"])
         rows = merged.toPandas().sort_values(["cluster_id", "i"])
         state = {int(c): (g["w"].to_numpy(), g["m"].to_numpy(), g["v"].to_numpy(), float(g["t"].iloc[0])) for c, g in rows.groupby("cluster_id")}
@@ -130,15 +142,11 @@ class Autoencoder:
         k = len(modes.centres)
         sizes = rows.agg(*[count_where(F.col("cluster_id") == c).alias(str(c)) for c in range(k)]).first()
         clusters = [c for c in range(k) if sizes[str(c)] >= at_least]
-        scaled = spread(minmax_scale(rows, modes.features, CLUSTER, scaler, UNIT).select("cluster_id", *unit)).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            weights = train(scaled, unit, clusters, hidden, encoding, epochs, batch, rate, seed)
-        finally:
-            scaled.unpersist()
+        scaled = minmax_scale(rows, modes.features, CLUSTER, scaler, UNIT).select("rid", "cluster_id", *unit)
+        weights = train(scaled, unit, {c: sizes[str(c)] for c in clusters}, hidden, encoding, epochs, batch, rate, seed)
         model = Autoencoder(modes, scaler, weights, layer_sizes(len(unit), hidden, encoding))
         scored = model._score(rows).where(F.col("cluster_id").isin(clusters)).select("cluster_id", "score_autoencoder")
-        scored = scored if is_small(rows) else durable(scored)         # score in Python once, not once per quantile pass
-        model.thresholds = settled(threshold_by_group(scored, "score_autoencoder", percentile))
+        model.thresholds = settled(threshold_by_group(durable(scored), "score_autoencoder", percentile))
         return model
 
     def _score(self, rows: DataFrame) -> DataFrame:

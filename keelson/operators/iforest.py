@@ -13,12 +13,11 @@ from .flags import complete
 from .ensemble import threshold_by_group
 from .modes import ModeModel, kmeans_modes
 from .normalize import fit_minmax, minmax_scale
-from .ordered import durable, is_small, settled
+from .ordered import durable, settled
 from ..functions.columns import null_safe_join
 
 CLUSTER = ("cluster_id",)
 UNIT = "_u"
-POOL = 16            # rows kept per cluster for sampling, as a multiple of the sample size
 NODES = "cluster_id int, tree int, psi int, feature array<int>, split array<double>, left array<int>, right array<int>, depth array<double>"
 
 
@@ -55,28 +54,28 @@ def build_tree(x: np.ndarray, rng: np.random.Generator) -> dict:
     return out
 
 
-def sample_pool(scaled: DataFrame, columns, size: int, seed: int) -> DataFrame:
-    """About `size` rows per cluster by smallest seeded hash of the row content and id.
+def draw_samples(scaled: DataFrame, trees: int, max_samples: int, seed: int, at_least: int) -> DataFrame:
+    """Every tree's own sample: the `max_samples` rows of the cluster, out of all of them, with the smallest hash of (rid, tree).
 
-    A hash cut-off from the cluster's row count drops nearly everything before the ranking, so the
-    ranking sees a few thousand rows per cluster whatever the table size. Clusters at or under
-    `size` rows keep all of them.
+    A cut-off that follows from the cluster's row count, ten standard deviations above the sample, leaves a few hundred rows
+    of each cluster and tree to rank. The sample does not depend on how the rows are laid out. A row without rid is an error.
     """
-    counts = settled(scaled.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("_n")))
-    hashed = null_safe_join(scaled, counts, CLUSTER).withColumn("_h", F.xxhash64("rid", F.lit(seed)).cast("double"))
-    span = float(2 ** 64)
-    cut = F.when(F.col("_n") > 2 * size, -span / 2 + span * (2.0 * size / F.col("_n"))).otherwise(float("inf"))
-    w = Window.partitionBy(*CLUSTER).orderBy("_h", "rid")
-    return (hashed.where(F.col("_h") <= cut).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size)
-            .select(*CLUSTER, "rid", "_n", *columns))
+    counts = settled(scaled.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= at_least))
+    rid = F.coalesce(F.col("rid"), F.raise_error(F.lit("rid is null")).cast("bigint"))
+    span = 1 << 40
+    most = max_samples + 10 * math.sqrt(max_samples) + 20
+    cut = F.ceil(F.lit(float(span)) * F.least(F.lit(1.0), F.lit(most) / F.col("_n")))
+    rows = null_safe_join(scaled, counts, CLUSTER, "inner").withColumn("_rid", rid).withColumn("_cut", cut)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.pmod(F.xxhash64(F.col("_rid"), t, F.lit(seed)), F.lit(span)).alias("h"))), lambda d: d["h"] < F.col("_cut"))
+    rows = rows.withColumn("_d", F.explode(drawn)).withColumns({"tree": F.col("_d.tree"), "_h": F.col("_d.h")}).drop("_d")
+    w = Window.partitionBy(*CLUSTER, "tree").orderBy("_h", "rid")
+    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_samples)
 
 
 def fit_trees(scaled: DataFrame, columns, trees: int = 100, max_samples: int = 256, seed: int = 42, at_least: int = 10) -> DataFrame:
     """One row per (cluster, tree) with its node arrays; clusters under ten rows get none."""
-    pool = sample_pool(scaled, columns, POOL * max_samples, seed).where(F.col("_n") >= at_least)
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    w = Window.partitionBy(*CLUSTER, "tree").orderBy(F.xxhash64("rid", "tree", F.lit(seed + 1)), "rid")
-    drawn = spread.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_samples)
+    drawn = draw_samples(scaled, trees, max_samples, seed, at_least)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         c, t = int(pdf["cluster_id"].iloc[0]), int(pdf["tree"].iloc[0])
@@ -144,8 +143,7 @@ class IsolationForest:
         scaled = minmax_scale(rows, modes.features, CLUSTER, scaler, UNIT).select("rid", *CLUSTER, *unit)
         model = IsolationForest(modes, scaler, settled(fit_trees(scaled, unit, trees, max_samples, seed)))
         scored = model._score(rows).where(F.col("cluster_id").isin(model._clusters())).select("cluster_id", "score_iforest")
-        scored = scored if is_small(rows) else durable(scored)         # score in Python once, not once per quantile pass
-        model.thresholds = settled(threshold_by_group(scored, "score_iforest", percentile))
+        model.thresholds = settled(threshold_by_group(durable(scored), "score_iforest", percentile))
         return model
 
     def _clusters(self) -> list[int]:

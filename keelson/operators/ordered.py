@@ -1,17 +1,12 @@
 """Ordered computations that do not depend on any key being small.
 
-`Window.partitionBy(key)` puts a whole key into one task. That is the right plan for small inputs,
-and the wrong one when a single vessel owns a third of the table. `Ordered` picks between
-
-* one plain window per key, when the estimated input fits one task, and
-* slices: rows get a global position inside their key (range partitioning on key and order, so hot
-  keys split by themselves), positions are cut into slices of a fixed number of rows, and windows run
-  per (key, slice). Frames that look a bounded number of rows back or ahead get copies of the
-  neighbouring rows; running frames get the state carried over from earlier slices, computed from a
-  table with one row per slice.
-
-Both give the same rows. The last ordering column should be unique (a row id), so ties cannot make
-the result depend on partitioning.
+`Window.partitionBy(key)` puts a whole key into one task, which is wrong when a single vessel owns a third of the table.
+Here rows get a global position inside their key (range partitioning on key and order, so hot keys split by themselves),
+positions are cut into slices of a fixed number of rows, and windows run per (key, slice). Frames that look a bounded number
+of rows back or ahead get copies of the neighbouring rows; running frames get the state carried over from earlier slices,
+computed from a table with one row per slice. This is the only plan, whatever the size of the input.
+
+The last ordering column should be unique (a row id), so ties cannot make the result depend on partitioning.
 """
 
 from __future__ import annotations
@@ -22,79 +17,48 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import null_safe_join
 
-SMALL_BYTES = 128 << 20
 ROWS_PER_SLICE = 1_000_000
-SMALL_CONF = "spark.keelson.smallInputBytes"
 SLICE_CONF = "spark.keelson.rowsPerSlice"
 
 
-_stored_bytes: dict = {}         # RDD id of a stored table -> bytes read to make it
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes the plan reads, from the optimizer's statistics of its leaves (no job runs).
+def use_checkpoints(spark: SparkSession) -> None:
+    """Point the context at the shared folder the cluster names in spark.checkpoint.dir.
 
-    Leaves are summed because join estimates multiply. Unknown sizes come back as very large.
+    Only a session that runs wholly on this machine may leave the setting out; it gets a temporary folder.
     """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            leaf = leaves.apply(i)
-            known = _stored_bytes.get(leaf.rdd().id()) if leaf.nodeName() == "LogicalRDD" else None
-            total += int(leaf.stats().sizeInBytes()) if known is None else known
-        return total
-    except AttributeError:
-        return 1 << 62
-
-
-def is_small(df: DataFrame, copies: int = 1) -> bool:
-    limit = int(df.sparkSession.conf.get(SMALL_CONF, str(SMALL_BYTES)))
-    return estimated_bytes(df) * copies <= limit
-
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point the context at the shared folder the cluster names; a scratch folder only if it names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
-
-
-def _record_size(stored: DataFrame, size: int) -> DataFrame:
-    try:
-        _stored_bytes[stored._jdf.queryExecution().logical().collectLeaves().apply(0).rdd().id()] = size
-    except AttributeError:
-        pass
-    return stored
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage into replicated storage, so a lost executor cannot change what was computed."""
     use_checkpoints(df.sparkSession)
-    size = estimated_bytes(df)
-    return _record_size(df.checkpoint(), size)
-
+    return df.checkpoint()
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out rows over the cores before many passes over them; a no-op for inputs with enough partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
-
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def settled(table: DataFrame) -> DataFrame:
     """Compute a per-group table once and hand it on for joining back to the rows.
 
-    The table is stored, so later passes do not repeat the scan behind it. Its rows are counted: up to
-    BROADCAST_ROWS it is broadcast, which spares the row side a shuffle; beyond that it joins as usual.
+    The table is stored, so later passes do not repeat the scan behind it. Its rows and the characters and elements in them
+    are counted: up to BROADCAST_BYTES it is broadcast, which spares the row side a shuffle; beyond that it joins as usual.
     """
     table = durable(table)
-    if table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    kinds = {f.name: f.dataType.typeName() for f in table.schema.fields}
+    sizes = [F.coalesce(F.length(F.col(f"`{c}`")) if k == "string" else F.size(F.col(f"`{c}`")) * 16, F.lit(0)) for c, k in kinds.items()
+             if k in ("string", "array", "map")]
+    held = F.lit(24 + 16 * len(kinds))
+    for size in sizes:
+        held = held + size
+    if (table.agg(F.sum(held.cast("bigint"))).first()[0] or 0) > BROADCAST_BYTES:
         return table
-    return F.broadcast(_record_size(table, 0))
+    return F.broadcast(table)
 
 
 def attach(rows: DataFrame, table: DataFrame, keys, how: str = "left") -> DataFrame:
@@ -126,27 +90,18 @@ class Ordered:
 
     def __init__(self, df: DataFrame, keys, order):
         self.keys = list(keys)
-        self.order = [F.col(o) if isinstance(o, str) else o for o in order]
-        self.sliced = not is_small(df)
-        self.df = df
-        if self.sliced:
-            self.df = with_position(df, self.keys, self.order)
-            self.order = [F.col("_pos")]
-            self.rows_per_slice = int(df.sparkSession.conf.get(SLICE_CONF, str(ROWS_PER_SLICE)))
+        self.df = with_position(df, self.keys, [F.col(o) if isinstance(o, str) else o for o in order])
+        self.rows_per_slice = int(df.sparkSession.conf.get(SLICE_CONF, str(ROWS_PER_SLICE)))
 
     def _window(self, *extra):
-        return Window.partitionBy(*self.keys, *extra).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, *extra).orderBy("_pos")
 
     def position(self, name: str) -> "Ordered":
-        pos = F.col("_pos") if self.sliced else F.row_number().over(self._window()).cast("bigint") - 1
-        self.df = self.df.withColumn(name, pos)
+        self.df = self.df.withColumn(name, F.col("_pos"))
         return self
 
     def frame(self, columns, before: int = 0, after: int = 0) -> "Ordered":
         """Add `columns(window) -> {name: Column}` whose frames reach at most before/after rows."""
-        if not self.sliced:
-            self.df = self.df.withColumns(columns(self._window()))
-            return self
         size = max(self.rows_per_slice, 2 * (before + after + 1))
         own = F.floor(F.col("_pos") / size)
         inside = F.col("_pos") % size
@@ -162,14 +117,6 @@ class Ordered:
     def running(self, sums: dict | None = None, lasts: dict | None = None) -> "Ordered":
         """Running totals up to and including the row, and latest non-null values before the row."""
         sums, lasts = sums or {}, lasts or {}
-        if not self.sliced:
-            w = self._window()
-            upto = w.rowsBetween(Window.unboundedPreceding, 0)
-            prior = w.rowsBetween(Window.unboundedPreceding, -1)
-            self.df = self.df.withColumns({
-                **{n: F.sum(c).over(upto) for n, c in sums.items()},
-                **{n: F.last(c, ignorenulls=True).over(prior) for n, c in lasts.items()}})
-            return self
         rows = self.df.withColumns({"_slice": F.floor(F.col("_pos") / self.rows_per_slice),
                                     **{f"_in_{n}": c for n, c in {**sums, **lasts}.items()}})
         state = rows.groupBy(*self.keys, "_slice").agg(
@@ -194,7 +141,7 @@ class Ordered:
         return self
 
     def result(self) -> DataFrame:
-        return self.df.drop("_pos") if self.sliced else self.df
+        return self.df.drop("_pos")
 
 
 def lagged(df: DataFrame, keys, order, columns: dict) -> DataFrame:
@@ -215,27 +162,21 @@ def runs(df: DataFrame, keys, order, value, name: str = "run_id") -> DataFrame:
 def trailing_range(df: DataFrame, keys, time_col: str, span_us: int, columns) -> DataFrame:
     """Windows over (t - span, t] in time. `columns(window)` gets a RANGE window spec.
 
-    Large inputs are cut into time slices of many spans; each slice also receives the rows of the
-    last span of the slice before it, so no join and only one shuffle is needed. The slice width
-    follows from the row count and time range per key, one pre-aggregated row per key.
+    Rows are counted per key and step of one span; steps in order are gathered into slices of a fixed number of rows, so a
+    burst gets slices of its own. Each slice also receives the rows of the last span before it.
     """
     # the frame is (t - span, t]: a row exactly one span earlier is outside
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(time_col))
-    rows = df.withColumn("_us", micros)
-
-    def spec(*extra):
-        return Window.partitionBy(*keys, *extra).orderBy("_us").rangeBetween(-(span_us - 1), 0)
-
-    if is_small(df):
-        return rows.withColumns(columns(spec())).drop("_us")
+    rows = df.withColumn("_us", micros).withColumn("_step", F.floor(F.col("_us") / span_us))
     target = int(df.sparkSession.conf.get(SLICE_CONF, str(ROWS_PER_SLICE)))
-    width = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max("_us") - F.min("_us") + 1).alias("_len"))
-             .select(*keys, F.greatest(F.lit(2 * span_us), F.ceil(F.col("_len") * target / F.col("_n")))
-                     .cast("bigint").alias("_width")))
-    rows = attach(rows, width, keys)
-    own = F.floor(F.col("_us") / F.col("_width"))
-    targets = F.array_compact(F.array(
-        own, F.when(F.pmod(F.col("_us"), F.col("_width")) >= F.col("_width") - span_us, own + 1)))
-    rows = rows.withColumn("_own", own).withColumn("_slice", F.explode(targets))
-    return (rows.withColumns(columns(spec("_slice"))).where(F.col("_slice") == F.col("_own"))
-            .drop("_us", "_width", "_own", "_slice"))
+    steps = rows.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("_own", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target))
+    # a slice also needs the rows of the step before its first one
+    ahead = F.lead(F.struct("_step", "_own")).over(Window.partitionBy(*keys).orderBy("_step"))
+    steps = steps.withColumn("_ahead", ahead).select(*keys, "_step", "_own", F.array_compact(F.array(
+        F.col("_own"), F.when((F.col("_ahead._step") == F.col("_step") + 1) & (F.col("_ahead._own") != F.col("_own")), F.col("_ahead._own")))).alias("_slices"))
+    rows = attach(rows, steps, [*keys, "_step"]).withColumn("_slice", F.explode_outer("_slices"))
+    spec = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-(span_us - 1), 0)
+    return (rows.withColumns(columns(spec)).where(F.col("_slice").eqNullSafe(F.col("_own")))
+            .drop("_us", "_step", "_own", "_slices", "_slice"))

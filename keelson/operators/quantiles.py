@@ -1,10 +1,9 @@
 """Exact quantiles for groups of any size.
 
-Spark's `percentile` keeps every distinct value of a group in one task. For small inputs that is the
-fastest plan. For large ones `quantiles` narrows first: a mergeable sketch brackets every wanted
-rank with guaranteed error, a second pass counts the rows below each bracket and keeps only the
-distinct values inside it (about 1/10,000 of the rows), and the answer is read off those. The result
-is the same linear-interpolated quantile; nothing is approximate in it.
+Spark's `percentile` keeps every distinct value of a group in one task. `quantiles` narrows first: a
+mergeable sketch brackets every wanted rank with guaranteed error, a second pass counts the rows
+below each bracket and the distinct values inside it (about 1/10,000 of the rows), and the answer is
+read off those. The result is the same linear-interpolated quantile; nothing is approximate in it.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import col, null_safe_join, unpivot
-from .ordered import attach, is_small, settled
+from .ordered import settled
 
 SKETCH_ACCURACY = 50_000
 
@@ -20,9 +19,6 @@ SKETCH_ACCURACY = 50_000
 def quantiles(df: DataFrame, keys, values: dict, probs) -> DataFrame:
     """One row per key with an array of quantiles (in the order of `probs`) per named value column."""
     keys, probs = list(keys), [float(p) for p in probs]
-    if is_small(df, copies=len(values)):
-        return df.groupBy(*keys).agg(*[
-            F.percentile(col(c), F.array(*[F.lit(p) for p in probs])).alias(n) for n, c in values.items()])
     wide = df.select(*keys, *[col(c).cast("double").alias(n) for n, c in values.items()])
     long = bracketed_quantiles(unpivot(wide, keys, list(values), "_name", "_v"), [*keys, "_name"], "_v", probs)
     return long.groupBy(*keys).agg(*[
@@ -30,7 +26,7 @@ def quantiles(df: DataFrame, keys, values: dict, probs) -> DataFrame:
 
 
 def bracketed_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """The large-input form: keys plus `q`, the array of exact quantiles of `value`."""
+    """Keys plus `q`, the array of exact quantiles of `value`."""
     keys = list(keys)
     margin = 2.0 / accuracy
     bounds = [b for p in probs for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
@@ -45,17 +41,14 @@ def bracketed_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int =
            for j, p in enumerate(probs)]
     high = [F.lit(float("inf")) if p + margin >= 1 else F.when(short, float("inf")).otherwise(F.col("_b")[2 * j + 1])
             for j, p in enumerate(probs)]
-    below = rows.groupBy(*keys).agg(
-        F.first("_cnt").alias("_cnt"),
-        *[F.count(F.when(F.col(value) < low[j], 1)).alias(f"_below{j}") for j in range(len(probs))])
-    inside = F.array_compact(F.array(*[
-        F.when((F.col(value) >= low[j]) & (F.col(value) <= high[j]), F.lit(j)) for j in range(len(probs))]))
-    kept = (rows.select(*keys, F.col(value).alias("_v"), F.explode(inside).alias("_j"))
-            .groupBy(*keys, "_j", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    kept = attach(kept, below, keys)
-    upto = Window.partitionBy(*keys, "_j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    first_rank = F.element_at(F.array(*[F.col(f"_below{j}") for j in range(len(probs))]), F.col("_j") + 1)
-    kept = kept.withColumn("_end", F.sum("_c").over(upto) + first_rank)
+    # one entry per bracket: the value if it is inside, null if it is below
+    places = F.array_compact(F.array(*[
+        F.when(F.col(value) <= high[j], F.struct(F.lit(j).alias("j"), F.when(F.col(value) >= low[j], F.col(value)).alias("v")))
+        for j in range(len(probs))]))
+    kept = (rows.select(*keys, "_cnt", F.explode(places).alias("_p")).groupBy(*keys, F.col("_p.j").alias("_j"), F.col("_p.v").alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c"), F.first("_cnt").alias("_cnt")))
+    upto = Window.partitionBy(*keys, "_j").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.withColumn("_end", F.sum("_c").over(upto)).where(F.col("_v").isNotNull())
     rank = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_j") + 1) * (F.col("_cnt") - 1)
     kept = kept.withColumns({"_rank": rank, "_start": F.col("_end") - F.col("_c")})
 

@@ -15,12 +15,10 @@ def spark():
 
 @pytest.fixture
 def large(spark):
-    """Treat every input as too large for one task, with tiny slices."""
+    """Cut every input into tiny slices."""
     from keelson.operators import ordered
-    spark.conf.set(ordered.SMALL_CONF, "-1")
     spark.conf.set(ordered.SLICE_CONF, "7")
     yield
-    spark.conf.unset(ordered.SMALL_CONF)
     spark.conf.unset(ordered.SLICE_CONF)
 
 

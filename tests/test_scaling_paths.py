@@ -1,4 +1,4 @@
-"""The large-input plans must give what the one-task plans give, and what numpy gives."""
+"""Slices of any size must give what one slice gives, and what numpy gives."""
 
 import numpy as np
 import pytest
@@ -54,12 +54,10 @@ def test_runs_and_positions_sliced_equal_plain(spark, values):
         return collect(run.select("k", "rid", "run_id")), collect(o.select("k", "rid", "p", "m", "s", "l"))
 
     plain = everything()
-    spark.conf.set(ordered.SMALL_CONF, "-1")
     spark.conf.set(ordered.SLICE_CONF, "5")
     try:
         assert everything() == plain
     finally:
-        spark.conf.unset(ordered.SMALL_CONF)
         spark.conf.unset(ordered.SLICE_CONF)
     lengths = {}
     for k, rid, run_id in plain[0]:
@@ -77,16 +75,14 @@ def test_runs_and_positions_sliced_equal_plain(spark, values):
     lambda v: metadata.frozen_points(windows.signal_steps(v, ["DRAFTAFT"], order=("rid",))),
     lambda v: profile.ecdf(v, ["GPSSpeed_kn"], points=50),
 ])
-def test_reports_do_not_depend_on_the_plan(spark, report):
+def test_reports_do_not_depend_on_the_slices(spark, report):
     from conftest import SF
     from workload.base import vessel
     plain = collect(report(vessel(spark, SF)))
-    spark.conf.set(ordered.SMALL_CONF, "-1")
     spark.conf.set(ordered.SLICE_CONF, "60")
     try:
         assert collect(report(vessel(spark, SF))) == plain and plain
     finally:
-        spark.conf.unset(ordered.SMALL_CONF)
         spark.conf.unset(ordered.SLICE_CONF)
 
 
@@ -94,8 +90,7 @@ def test_sample_is_exact_and_repeatable(spark, large):
     from keelson.operators.normalize import sample_n
     df = spark.range(20_000).withColumnRenamed("id", "rid").repartition(4)
     first = {r["rid"] for r in sample_n(df, 300).collect()}
-    spark.conf.set(ordered.SMALL_CONF, str(1 << 60))
-    assert first == {r["rid"] for r in sample_n(df, 300).collect()} and len(first) == 300
+    assert first == {r["rid"] for r in sample_n(df.repartition(9), 300).collect()} and len(first) == 300
     assert sample_n(df, 50_000).count() == 20_000
 
 
@@ -104,3 +99,35 @@ def test_null_keys_keep_their_rows(spark, large):
     out = ordered.lagged(df, ["k"], ["rid"], {"p": F.col("v")})
     assert out.count() == 40 and out.where("k IS NULL AND p IS NOT NULL").count() == 29
     assert {r["k"]: r["v"][0] for r in quantiles(df, ["k"], {"v": "v"}, [0.5]).collect()} == {None: 14.5, "a": 1.0}
+
+
+def test_a_burst_gets_slices_of_its_own(spark):
+    from pyspark.sql import Window
+    rows = [("a", i, 1_700_000_000 + (i // 40 if i < 2000 else i * 7)) for i in range(2600)] + [("b", 9000 + i, 1_700_000_000 + 900 * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, rid bigint, t bigint").withColumn("Date", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    spark.conf.set(ordered.SLICE_CONF, "30")
+    try:
+        got = collect(ordered.trailing_range(df, ["k"], "Date", 60_000_000, lambda w: {"n": F.count("rid").over(w)}).select("k", "rid", "n"))
+    finally:
+        spark.conf.unset(ordered.SLICE_CONF)
+    plain = Window.partitionBy("k").orderBy("t").rangeBetween(-59, 0)
+    assert got == collect(df.select("k", "rid", F.count("rid").over(plain).alias("n")))
+
+
+def test_detectors_do_not_depend_on_the_layout(spark):
+    from keelson.operators.autoencoder import Autoencoder
+    from keelson.operators.iforest import IsolationForest
+    from keelson.operators.modes import ModeModel
+    rng = np.random.default_rng(3)
+    data = [(i, *map(float, rng.normal(size=3))) for i in range(1500)] + [(2000 + i, 9.0, -9.0, 9.0) for i in range(8)]
+    df = spark.createDataFrame(data, "rid bigint, a double, b double, c double")
+    modes = ModeModel(["a", "b", "c"], [[0.0, 0.0, 0.0]], [-10.0] * 3, [10.0] * 3)
+    for kind, settings_, column in ((IsolationForest, {"trees": 15}, "score_iforest"), (Autoencoder, {"epochs": 2}, "score_autoencoder")):
+        found = []
+        for parts in (4, 12):
+            laid = df.repartition(parts)
+            model = kind.fit(laid, ["a", "b", "c"], modes=modes, **settings_)
+            found.append({r["rid"]: (round(r[column], 9), r[f"is_{model.name}_anomaly"]) for r in model.transform(laid).collect()})
+        assert found[0] == found[1] and any(flag for _, flag in found[0].values())
+    with pytest.raises(Exception, match="rid is null"):
+        IsolationForest.fit(df.withColumn("rid", F.lit(None).cast("bigint")), ["a", "b", "c"], modes=modes, trees=3)
