@@ -154,7 +154,7 @@ def gap_neighbourhood(df: DataFrame, signals, interval_s: float, keys=KEYS, time
 
 def repeated_blocks(df: DataFrame, signals, interval_s: float, keys=KEYS, time="Date", rid="rid") -> DataFrame:
     """Long gaps with some signal stuck at one and the same value on both sides (three rows or more each)."""
-    signals = list(signals)[:5]
+    signals = list(signals)
     around = gap_neighbourhood(df, signals, interval_s, keys, time, rid)
     stuck = any_of([
         F.coalesce((F.col(f"{s}_pre.lo") == F.col(f"{s}_pre.hi")) & (F.col(f"{s}_post.lo") == F.col(f"{s}_post.hi"))

@@ -195,9 +195,10 @@ def bivariate_point_tables(df: DataFrame, keys=KEYS, rid="rid", tables=POINT_TAB
     return out
 
 
-def track_points(df: DataFrame, lat="GPS_LAT", lon="GPS_LON", keys=KEYS, order=("rid",), cap: int = 5000) -> DataFrame:
-    """Valid positions in order, thinned to about `cap` per key."""
-    return thin_every_kth(df.na.drop(subset=[lat, lon]), keys, order, cap)
+def track_points(df: DataFrame, lat="GPS_LAT", lon="GPS_LON", keys=KEYS, order=("rid",), cap: int | None = None) -> DataFrame:
+    """Valid positions; with `cap`, thinned to about that many per key, evenly in `order`."""
+    valid = df.na.drop(subset=[lat, lon])
+    return valid if cap is None else thin_every_kth(valid, keys, order, cap)
 
 
 def track_summary(df: DataFrame, lat="GPS_LAT", lon="GPS_LON", keys=KEYS, rid="rid") -> DataFrame:

@@ -175,8 +175,10 @@ def cluster_pair_table(df: DataFrame, pairs=PAIRS, keep=("vessel_id", "rid")) ->
                      F.coalesce(F.col("is_anomaly"), F.lit(False)).alias("is_anomaly"), F.inline(cells))
 
 
-def score_histogram(df: DataFrame, methods, bins: int = 69, keys=()) -> DataFrame:
-    """Score density per method and label, `bins` cells from 0 to the method's p99.5; higher scores are left out.
+def score_histogram(df: DataFrame, methods, bins: int = 69, keys=(), overflow: bool = True) -> DataFrame:
+    """Score density per method and label, `bins` cells from 0 to the method's p99.5.
+
+    Higher scores are counted in one more bin, number `bins`, or left out if `overflow` is false.
 
     `p95` is the reference line of the method.
     """
@@ -184,9 +186,9 @@ def score_histogram(df: DataFrame, methods, bins: int = 69, keys=()) -> DataFram
                       for m in methods])
     rows = df.select(*keys, F.inline(cells)).where(F.col("score").isNotNull())
     q = with_quantiles(rows, [*keys, "method"], {"s": "score"}, [0.95, 0.995], ["p95", "cap"])
-    rows = attach(rows, q, [*keys, "method"]).where(F.col("score").between(0, F.col("s_cap")))
+    rows = attach(rows, q, [*keys, "method"]).where((F.col("score") >= 0) & (F.lit(overflow) | (F.col("score") <= F.col("s_cap"))))
     width = F.col("s_cap") / bins
-    b = F.least(F.floor(F.col("score") / width).cast("int"), F.lit(bins - 1))
+    b = F.when(F.col("score") > F.col("s_cap"), bins).otherwise(F.least(F.floor(F.col("score") / width).cast("int"), F.lit(bins - 1)))
     label = F.when(F.col("hit"), "anomaly").otherwise("normal")
     counts = rows.groupBy(*keys, "method", label.alias("label"), b.alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.first(width).alias("width"), F.first("s_p95").alias("p95"))

@@ -29,13 +29,13 @@ def missing_report(df: DataFrame, columns=None, keys=KEYS) -> DataFrame:
             .orderBy(F.desc("missing_count"), "signal"))
 
 
-def columns_of_interest(report: DataFrame, priority=cfg.PRIORITY_SENSORS, at_most: int = 24, keys=KEYS) -> DataFrame:
-    """Priority columns first, then any other column with gaps, the first 24 of them per key."""
+def columns_of_interest(report: DataFrame, priority=cfg.PRIORITY_SENSORS, at_most: int | None = None, keys=KEYS) -> DataFrame:
+    """Priority columns first, then any other column with gaps; the first `at_most` of them per key if that is given."""
     order = cfg.local_table(report.sparkSession, [(c, i) for i, c in enumerate(priority)], "signal string, place int")
     ranked = (report.join(F.broadcast(order), "signal", "left").where("place IS NOT NULL OR missing_count > 0")
               .dropDuplicates([*keys, "signal"]))
     w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("place"), F.desc("missing_pct"), "signal")
-    return (ranked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= at_most)
+    return (ranked.withColumn("position", F.row_number().over(w)).where(F.lit(True) if at_most is None else F.col("position") <= at_most)
             .select(*keys, "position", "signal", "missing_count", "missing_pct"))
 
 

@@ -11,7 +11,7 @@ from ..functions.columns import (all_of, count_where, half_even, iso_week_key, m
                                  null_safe_join, pearson, share, unpivot)
 from .flags import aggregate_signals, outside_limits
 from .normalize import signal_profiles
-from .ordered import Ordered, attach, durable
+from .ordered import Ordered, attach
 from .quantiles import quantiles
 from .windows import MAX_STEP_S, signal_steps
 
@@ -184,7 +184,7 @@ def grouped_histogram(df: DataFrame, signals, config: cfg.VesselConfig | None =
 
 def roc_histogram(steps: DataFrame, keys=KEYS) -> DataFrame:
     """Distribution of rates of change, clipped to 0.5-99.5 %, for signals with more than 20 of them."""
-    rates = durable(steps.where(F.col("roc").isNotNull()).select(*keys, "signal", "roc"))
+    rates = steps.where(F.col("roc").isNotNull()).select(*keys, "signal", "roc")
     enough = rates.groupBy(*keys, "signal").agg(F.count(F.lit(1)).alias("_c")).where("_c > 20").drop("_c")
     kept = attach(rates, enough.withColumn("_keep", F.lit(True)), [*keys, "signal"], "inner")
     return histogram(kept, [*keys, "signal"], "roc", adaptive_roc_bins, (0.005, 0.995))
@@ -215,15 +215,15 @@ def kde_curve(df: DataFrame, signals, keys=KEYS, points: int = 400, cells: int =
     return grid.groupBy(*on, "i").agg(F.first(x).alias("x"), F.sum(kernel).alias("density"))
 
 
-def ecdf(df: DataFrame, signals, keys=KEYS, rid="rid", points: int = 5000) -> DataFrame:
-    """Sorted values with i/n; longer signals are thinned to evenly spaced ranks."""
+def ecdf(df: DataFrame, signals, keys=KEYS, rid="rid", points: int | None = None) -> DataFrame:
+    """Sorted values with i/n; with `points`, longer signals are thinned to that many evenly spaced ranks."""
     on = [*keys, "signal"]
     long = unpivot(df, [*keys, rid], signals).where(F.col("value").isNotNull())
     n = long.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     ranked = attach(Ordered(long, on, ["value", rid]).position("i").result(), n, on)
-    last = points - 1
+    last = (points or 1 << 62) - 1
     nearest = half_even(F.col("i") * last / (F.col("n") - 1))
-    kept = (F.col("n") <= points) | (half_even(nearest * (F.col("n") - 1) / last) == F.col("i"))
+    kept = F.lit(points is None) | (F.col("n") <= (points or 0)) | (half_even(nearest * (F.col("n") - 1) / last) == F.col("i"))
     return ranked.where(kept).select(*on, "value", ((F.col("i") + 1) / F.col("n")).alias("cumulative"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import half_even, seconds
-from .ordered import Ordered, attach, lagged, runs, trailing_range
+from .ordered import Ordered, attach, durable, lagged, runs, trailing_range
 from .quantiles import quantile
 
 MAX_STEP_S = 300.0
@@ -21,7 +21,8 @@ def signal_steps(df: DataFrame, signals, keys=("vessel_id",), time="Date", order
     """One row per non-missing reading: value, step to the signal's previous reading, rate, run id.
 
     The wide table is ordered once for all signals; "previous reading" skips the signal's own gaps.
-    `roc` is NULL unless 0 < dt <= max_step_s. Run ids number runs of equal value at 4 decimals.
+    `roc` is NULL unless 0 < dt <= max_step_s. Run ids number runs of equal value at 4 decimals. The table
+    is stored, since what is derived from it reads it several times.
     """
     def latest(s):
         return F.when(F.col(s).isNotNull(), F.struct(F.col(s).cast("double").alias("v"), F.col(time).alias("t")))
@@ -39,7 +40,7 @@ def signal_steps(df: DataFrame, signals, keys=("vessel_id",), time="Date", order
             F.col(f"_run_{s}").alias("run_id"))) for s in signals]))
     long = o.result().select(*keys, F.col(time).alias("ts"), "pos", F.inline(cells))
     ok = (F.col("dt_s") > 0) & (F.col("dt_s") <= max_step_s)
-    return long.withColumn("roc", F.when(ok, F.col("dv") / F.col("dt_s")))
+    return durable(long.withColumn("roc", F.when(ok, F.col("dv") / F.col("dt_s"))))
 
 
 def run_length_islands(df: DataFrame, value: str, digits: int = 4, keys=("vessel_id",), time="Date",
@@ -60,8 +61,9 @@ def anomaly_runs(df: DataFrame, flag="is_anomaly", keys=("vessel_id",), time="Da
         F.count(F.lit(1)).alias("run_length"), F.min(time).alias("run_start"), F.max(time).alias("run_end"))
 
 
-def run_length_histogram(found: DataFrame, keys=("vessel_id",), longest: int = 50) -> DataFrame:
-    return found.where(F.col("run_length") <= longest).groupBy(*keys, "run_length").agg(F.count(F.lit(1)).alias("n_runs"))
+def run_length_histogram(found: DataFrame, keys=("vessel_id",), longest: int | None = None) -> DataFrame:
+    """Runs by length; with `longest`, longer ones are left out."""
+    return (found if longest is None else found.where(F.col("run_length") <= longest)).groupBy(*keys, "run_length").agg(F.count(F.lit(1)).alias("n_runs"))
 
 
 def rolling_rate(df: DataFrame, flag="is_anomaly", keys=("vessel_id",), time="Date", hours: float = 1.0,

@@ -16,16 +16,16 @@ def eda_reports(df: DataFrame, config: cfg.VesselConfig) -> dict[str, DataFrame]
     e = config.expected_interval_s
     out: dict = {}
     if "Date" in df.columns:
-        five = [c for c in cfg.NUMERIC_COLS if c in df.columns][:5] or signals[:5]
-        out["time_axis_report"] = audit.time_audit_summary(df, five, e)
+        watched = [c for c in cfg.NUMERIC_COLS if c in df.columns] or signals
+        out["time_axis_report"] = audit.time_audit_summary(df, watched, e)
         out["time_axis_duplicates"] = audit.duplicate_timestamps(df)
         out["time_axis_gaps"] = audit.long_gap_catalogue(df, e)
         out["time_axis_missing_by_day"] = audit.coverage_by_day(df, e)
         out["time_axis_monthly"] = audit.monthly_gap_coverage(df, e)
     report = missing.missing_report(df, every)
     out["missingness_overall"] = report
-    interest = [c for c in cfg.PRIORITY_SENSORS if c in df.columns] + [c for c in signals if c not in cfg.PRIORITY_SENSORS]
-    interest = interest[:24]
+    ranked = missing.columns_of_interest(report).groupBy("signal").agg(F.min("position").alias("position"))
+    interest = [r["signal"] for r in ranked.orderBy("position", "signal").collect()]     # one row per column
     out["missingness_comissing"] = missing.comissing_jaccard(df, interest)
     out["missingness_blocks"] = missing.outage_blocks(df, interest)
     out["missingness_block_summary"] = missing.outage_block_summary(missing.outage_blocks(df, interest))

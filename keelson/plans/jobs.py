@@ -69,14 +69,15 @@ def stage_clean(spark: SparkSession, run: RunConfig) -> dict:
 
 
 def _cleaned(spark: SparkSession, run: RunConfig) -> tuple[DataFrame, list]:
+    """The cleaned rows, all complete; without that stage all loaded rows, incomplete ones included. And the features."""
     df = st.stage_or(spark, run.folder("cleaned"), lambda: load_and_clean(spark, run.data))
     wanted = cfg.feature_columns(run.data)
-    features = [f for f in wanted if f in df.columns]
-    return df.where(flags.complete(features)), features
+    return df, [f for f in wanted if f in df.columns]
 
 
 def stage_cluster(spark: SparkSession, run: RunConfig) -> dict:
     df, features = _cleaned(spark, run)
+    df = df.where(flags.complete(features))
     model = modes.kmeans_modes(df, features, run.n_clusters, run.random_state, run.restarts)
     model.save(spark, run.folder("modes"))
     labelled = model.assign(df)
@@ -95,12 +96,16 @@ def fit_detector(method: str, df: DataFrame, features, run: RunConfig, shared_mo
 
 
 def stage_detect(spark: SparkSession, run: RunConfig) -> dict:
-    """Fit the detectors on one shared clustering, annotate every row, and write the detector reports."""
-    df, features = _cleaned(spark, run)
+    """Fit the detectors on one shared clustering, annotate every row, and write the detector reports.
+
+    Rows that lack a feature are not scored: cluster -1, 'Unknown', anomalous by the constraints alone.
+    """
+    every, features = _cleaned(spark, run)
+    df = every.where(flags.complete(features))
     if not run.methods:
         raise ValueError("no method produced predictions")
     shared = modes.kmeans_modes(df, features, run.n_clusters, run.random_state, run.restarts)
-    rows, models, seconds = shared.assign(df), {}, {}
+    rows, models, seconds = shared.assign(every), {}, {}
     for m in run.methods:
         started = time.time()
         models[m] = fit_detector(m, df, features, run, shared)
@@ -108,7 +113,9 @@ def stage_detect(spark: SparkSession, run: RunConfig) -> dict:
         rows = models[m].transform(rows)
         seconds[m] = time.time() - started
     names = shared.centre_table(spark).select("cluster_id", F.col("name").alias("cluster_name"))
-    annotated = ensemble.annotate(ensemble.lookup_cluster_names(rows, names), list(run.methods))
+    named = ensemble.lookup_cluster_names(rows, names).withColumns({
+        "cluster_id": F.coalesce("cluster_id", F.lit(-1)), "cluster_name": F.coalesce("cluster_name", F.lit("Unknown"))})
+    annotated = ensemble.annotate(named, list(run.methods))
     annotated.write.mode("overwrite").parquet(run.folder("annotated"))
     annotated = spark.read.parquet(run.folder("annotated"))
     thresholds = {m: model.thresholds for m, model in models.items()}

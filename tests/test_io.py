@@ -116,3 +116,13 @@ def test_columns_are_read_by_name(spark, tmp_path):
     (tmp_path / "3.csv").write_text("LAT\n5\n")
     got = files.scan_columns_glob(spark, str(tmp_path), "*.csv", ["LAT", "LONG"]).collect()
     assert {tuple(r) for r in got} == {("1", "2"), ("10", "20"), ("5", None)}
+
+
+def test_detection_without_the_cleaning_stage_keeps_incomplete_rows(spark, tmp_path):
+    folder = _folder(spark, tmp_path)
+    with open(f"{folder}/more.csv", "w") as f:
+        f.write("Date,GPSSpeed_kn,Main_Engine_Power_kW,Avg_draft_m,Trim_m\n2024-01-02 00:00:00,5,,6,1\n2024-01-02 00:01:00,5,,6,9\n")
+    run = jobs.RunConfig(folder, str(tmp_path / "r"), methods=("svd",), n_clusters=2, restarts=1)
+    jobs.stage_detect(spark, run)
+    rows = spark.read.parquet(run.folder("annotated")).where("Main_Engine_Power_kW IS NULL").orderBy("Trim_m").collect()
+    assert [(r["cluster_id"], r["cluster_name"], r["is_svd_anomaly"], r["is_anomaly"]) for r in rows] == [(-1, "Unknown", False, False), (-1, "Unknown", False, True)]

@@ -270,7 +270,7 @@ QUERIES = {
             f"SELECT vessel_id, rid, cluster_name, is_anomaly, '{x}|{y}' AS pair, round_even({x}, 6) AS x, round_even({y}, 6) AS y FROM a"
             for x, y in EN.PAIRS if x != "Speed_rpm")),
     "score_histogram": (
-        lambda s, d: rounded(EN.score_histogram(annotated(s, d), METHODS), 5),
+        lambda s, d: rounded(EN.score_histogram(annotated(s, d), METHODS, overflow=False), 5),
         f"{L1}, r AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, score_{m} AS s, is_{m}_anomaly AS hit FROM an" for m in METHODS) + """),
         c AS (SELECT method, quantile_cont(s, .95) AS p95, quantile_cont(s, .995) AS cap FROM r GROUP BY 1),
         b AS (SELECT r.method, CASE WHEN hit THEN 'anomaly' ELSE 'normal' END AS label, CAST(least(floor(s/(cap/69)), 68) AS INT) AS bin, cap/69 AS w, p95

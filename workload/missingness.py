@@ -39,7 +39,7 @@ QUERIES = {
         lambda s, d: M.missing_report(vessel(s, d).withColumn("vessel_id", _fleet()), WITH_TEXT),
         f"WITH v AS (SELECT * REPLACE ('fleet' AS vessel_id) FROM ({V} SELECT * FROM v)) {_report(WITH_TEXT)}"),
     "ordered_distinct_union": (
-        lambda s, d: M.columns_of_interest(M.missing_report(vessel(s, d), WITH_TEXT)),
+        lambda s, d: M.columns_of_interest(M.missing_report(vessel(s, d), WITH_TEXT), at_most=24),
         f"""{V}, r AS ({_report(WITH_TEXT)}), o AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(PRESENT))}) t(signal, place))
         SELECT vessel_id, row_number() OVER (PARTITION BY vessel_id ORDER BY place ASC NULLS LAST, missing_pct DESC, signal) AS position,
         signal, missing_count, missing_pct FROM r LEFT JOIN o USING (signal) WHERE place IS NOT NULL OR missing_count > 0"""),

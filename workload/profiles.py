@@ -180,7 +180,7 @@ QUERIES = {
     "kde_curve": (
         lambda s, d: rounded(P.kde_curve(vessel(s, d), FEW[:2]), x=5, density=8), _kde_sql()),
     "ecdf": (
-        lambda s, d: rounded(P.ecdf(vessel(s, d).withColumn("vessel_id", F.lit("fleet")), FEW[:2])),
+        lambda s, d: rounded(P.ecdf(vessel(s, d).withColumn("vessel_id", F.lit("fleet")), FEW[:2], points=5000)),
         f"""{UF.replace(unpivot_sql(FEW), unpivot_sql(FEW[:2]))}, r AS (SELECT 'fleet' AS vessel_id, signal, value,
         row_number() OVER (PARTITION BY signal ORDER BY value, rid) - 1 AS i, count(*) OVER (PARTITION BY signal) AS n FROM l)
         SELECT vessel_id, signal, round_even(value, 6) AS value, round_even((i+1)/n, 6) AS cumulative FROM r

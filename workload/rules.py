@@ -250,7 +250,7 @@ QUERIES = {
         WINDOW w AS (PARTITION BY vessel_id ORDER BY Date, rid)) SELECT vessel_id, count(*) AS run_length, min(Date) AS run_start, max(Date) AS run_end
         FROM r WHERE is_anomaly GROUP BY vessel_id, g"""),
     "anomaly_run_histogram": (
-        lambda s, d: W.run_length_histogram(W.anomaly_runs(scored(s, d))),
+        lambda s, d: W.run_length_histogram(W.anomaly_runs(scored(s, d)), longest=50),
         f"""{VS}, r AS (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY vessel_id, is_anomaly ORDER BY Date, rid) AS g FROM a
         WINDOW w AS (PARTITION BY vessel_id ORDER BY Date, rid)), n AS (SELECT vessel_id, count(*) AS run_length FROM r WHERE is_anomaly GROUP BY vessel_id, g)
         SELECT vessel_id, run_length, count(*) AS n_runs FROM n WHERE run_length <= 50 GROUP BY 1, 2"""),
