@@ -10,8 +10,6 @@ import os
 import re
 from array import array
 
-import regex
-
 CACHE_PIECES = 600_000
 #: A space before something that is no white space. Python's class is wider than Unicode's, so a cut is never wrong.
 BEFORE_WORD = re.compile(r" (?=\S)")
@@ -19,10 +17,13 @@ ODD_SPACE = re.compile(r" (?:\s|$)")
 #: Unicode's White_Space, and what Python counts beyond it.
 WHITE, NOT_WHITE = "\\t-\\r \x85\xa0  -     　", re.compile("[\x1c-\x1f]")
 #: Pieces whose letters are classified alike by every Unicode version.
-PLAIN = re.compile("[\t-~À-ÖØ-öø-ÿ]*")
-#: The pre-tokenizer patterns of the two vocabularies.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"[\t-~{LETTERS}]*")
+#: Fixed value: the pre-tokenizer pattern of the byte-level vocabulary.
 BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
+#: This pattern and that of the word vocabulary for plain pieces, which Python's own engine can match.
+PLAIN_BYTE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\t-\r 0-9{LETTERS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t-\r 0-9{LETTERS}]+")
 
 
 def byte_alphabet() -> dict:
@@ -73,25 +74,36 @@ class TextEncoder:
         self.special = {t.content: packed([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
-        self.words = regex.compile(WORD_PATTERN if by_word else BYTE_PATTERN).findall
         self.cache = PieceCache(self._word_piece if by_word else self._byte_piece, most)
+        self.inner = PieceCache(self._model, most // 10)
 
     def _whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _model(self, word: str) -> list:
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+    def _model(self, word: str) -> bytes:
+        if not word.isascii() or not word.isprintable() or " " in word:
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return packed([t.id for t in self.tokenizer.model.tokenize(word)])
 
     def _byte_piece(self, piece: str) -> bytes:
-        piece = " " + piece
+        if piece.isascii() and piece.isalpha():
+            return self._model(" " + piece)
         if not PLAIN.fullmatch(piece):
-            return self._whole(piece)
-        return packed([i for word in self.words(piece) for i in self._model(word)])
+            return self._whole(" " + piece)
+        first, *rest = PLAIN_BYTE.findall(" " + piece)
+        if not rest:
+            return self._model(first)
+        # a word with punctuation behind it: the word alone is often known
+        return (self.cache[first[1:]] if len(first) > 1 else self._model(first)) + b"".join(map(self.inner.__getitem__, rest))
 
     def _word_piece(self, piece: str) -> bytes:
         if not PLAIN.fullmatch(piece):
             return self._whole(piece)
-        return packed([i for word in self.words(piece.lower()) for i in self._model(word)])
+        lower = piece.lower()
+        if lower == piece and piece.isalpha():
+            return self._model(piece)
+        words = PLAIN_WORD.findall(lower)
+        return self._model(piece) if words == [piece] else b"".join(map(self.cache.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         if self.split_special and "<|" in text:
