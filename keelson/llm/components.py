@@ -25,16 +25,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where(F.col("a") != F.col("b")).distinct()
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one root and no root has another."""
+    parents = stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return parents <= 1 and not stars.join(stars.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (columns a, b): the smallest node that it is linked with. Nodes without edges
     are not listed. Every turn is written to the shared folder."""
     now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(MAX_TURNS):
-        now = stored(_star(_star(now, True), False), "stars")
-        state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before:
+        if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = state
+        now = stored(_star(_star(now, True), False), "stars")
     raise RuntimeError("the components did not settle")
