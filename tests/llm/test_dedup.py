@@ -150,3 +150,30 @@ def test_sketch_similarity(size):
     a, b = np.arange(0, 400, 2, dtype=np.uint32), np.arange(0, 400, 4, dtype=np.uint32)
     assert abs(similar_texts.similarity(np.sort(a)[:size], np.sort(b)[:size], size) - 0.5) < 0.1
     assert similar_texts.similarity(a[:0], b[:0], size) == 1 and similar_texts.similarity(a, b[:0], size) == 0
+
+
+def jaccard(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def kept_ids(spark, rows):
+    return {r.doc_id for r in similar_texts.drop_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+
+def test_similar_texts_with_passages_added_dropped_and_moved(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(n)]
+    rows, near, kinds = [], [], Counter()
+    for i in range(120):
+        base = words(rng.choice([60, 100, 150, 240]))           # sketches of these are exact
+        extra = rng.uniform(0.05, 0.2)
+        k, kind = int(len(base) * extra), i % 4
+        cut = rng.randrange(k, len(base) - k)
+        edited = (base + words(k), words(k) + base, base[:cut] + base[cut + k:], base[cut:] + base[:cut])[kind]
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(edited))]
+        if jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            near.append(1000 + i)
+            kinds[kind] += 1
+    assert len(near) > 80 and len(kinds) == 4
+    kept = kept_ids(spark, rows)
+    assert {i for i, _ in rows} - kept == set(near)
