@@ -189,3 +189,17 @@ def test_similarity_of_long_texts_is_exact(spark):
             near.append(1000 + i)
     assert 20 < len(near) < 40
     assert {i for i, _ in rows} - kept_ids(spark, rows) == set(near)
+
+
+def test_groups_linked_through_a_dropped_copy(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):                                         # every step has 0.8 or more; ends are not similar to each other
+        words = [f"g{i}t{j}" for j in range(300)]
+        for step in range(6):
+            rows.append((10 * i + step, " ".join(words[25 * step:])))
+    rng.shuffle(rows)
+    text = dict(rows)
+    for i in range(12):
+        assert all(jaccard(text[10 * i + s], text[10 * i + s + 1]) >= 0.8 for s in range(5)) and jaccard(text[10 * i], text[10 * i + 5]) < 0.7
+    assert kept_ids(spark, rows) == {10 * i for i in range(12)}
