@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignment_digests
 from .bpe import round_trip
 from .common import table
+from .fill_in_middle import fim_digests
 from .packing import best_fit_packing
+from .prefix_bpe import prefix_round_trip
 from .token_files import token_output
 
 
@@ -22,4 +25,31 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": (op2_bpe, None), "op7_packing": (op7_packing, None), "op9_token_files": (op9_token_files, None)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+k AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+  CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM h),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || left(t, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || left(t, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f"""
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_bpe": (op2_bpe, None), "op7_packing": (op7_packing, None), "op9_token_files": (op9_token_files, None),
+           "op11_alignment": (op11_alignment, None), "op12_fill_in_middle": (op12_fill_in_middle, OP12_SQL),
+           "op13_prefix_bpe": (op13_prefix_bpe, None)}
