@@ -10,56 +10,79 @@ passage that documents of several languages share can then match word by word on
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Bounds of the training sample: languages (the most frequent ones), rows of each, characters of a row, bytes of a dictionary.
-LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 400, 2_000, 112 << 10
+from .common import stored
+
+#: Bounds of what is learned: sampled texts of a language, bytes of its dictionary, bytes of all dictionaries.
+SAMPLE_ROWS, DICTIONARY_BYTES, ALL_BYTES = 400, 112 << 10, 8 << 20
 BLOCK_BYTES = 4_096
 LEVEL = 6
-#: A text of at least MARGIN_BYTES is rejected if the second-best total is larger by less than MARGIN of the best one. Shorter
-#: texts differ by single bytes, too few to tell a narrow margin from a clear one; they are not rejected.
-MARGIN, MARGIN_BYTES = 0.002, 256
+#: A text of any length is rejected if the second-best total is larger by less than MARGIN of the best one.
+MARGIN = 0.002
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 RESULT = "struct<lang_pred: string, score: double, rejected: boolean>"
 
 
-def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, languages: int = LANGUAGES, rows: int = SAMPLE_ROWS,
-                    chars: int = SAMPLE_CHARS) -> DataFrame:
-    """lang, text, share: at most `rows` labelled rows of every language, each with its first `chars` characters.
+def thinned(df: DataFrame, keys, order: str, most: int, size: str) -> DataFrame:
+    """The `most` rows with the smallest `order` (a 64-bit hash) of each key, which has `size` rows. A threshold that follows from
+    the size leaves a few times that number before they are ranked, so no task gets all rows of a frequent key."""
+    few = df.where(F.pmod(F.col(order), F.lit(1 << 30)) <= F.lit(float(4 * most << 30)) / F.col(size))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.pmod(F.col(order), F.lit(1 << 30)), order))
+    return few.withColumn("_g_rank", rank).where(F.col("_g_rank") <= most).drop("_g_rank")
+
+
+def training_words(df: DataFrame, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES,
+                   all_bytes: int = ALL_BYTES) -> DataFrame:
+    """lang, share (labelled rows), bytes (of the dictionary), order, word: words of a sample of every language's texts.
 
-    Rows are thinned to a few times that number by a hash of identifier and text, with a threshold that follows from the
-    language's count, before they are ranked; so no task gets all rows of a frequent language.
+    Sampled are at most `rows` different texts of a language by a hash of the text, of their words as many by a hash as a
+    dictionary holds. All languages have one; if they are many, each is smaller. Whole texts are read.
     """
-    labelled = df.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_g_id"), F.col(text_col).alias("_g_text"), F.col(lang_col).alias("lang"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("share")).orderBy(F.desc("share"), "lang").limit(languages)
-    hashed = labelled.where(F.col("_g_text").isNotNull()).withColumn("_g_hash", F.xxhash64("_g_id", "_g_text"))
-    thinned = hashed.join(F.broadcast(counts), "lang").where(
-        F.pmod("_g_hash", F.lit(1 << 30)) * F.col("share") <= F.lit(4 * rows << 30))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_g_hash", "_g_id"))
-    return (thinned.select("lang", F.substring("_g_text", 1, chars).alias("text"), "share", "_g_hash", "_g_id").withColumn("_g_rank", rank)
-            .where(F.col("_g_rank") <= rows).select("lang", "text", "share"))
+    labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_g_text"))
+    keys = labelled.select("lang", F.xxhash64("_g_text").alias("_g_hash")).groupBy("lang", "_g_hash").agg(F.count(F.lit(1)).alias("_g_n"))
+    shares = stored(keys.groupBy("lang").agg(F.sum("_g_n").alias("share"), F.count(F.lit(1)).alias("_g_size")), "languages")
+    size = max(64, min(dictionary_bytes, all_bytes // max(1, shares.count())))
+    chosen = stored(thinned(keys.join(shares, "lang"), ["lang"], "_g_hash", rows, "_g_size").select("lang", "_g_hash", "share"), "language-sample")
+    texts = labelled.withColumn("_g_hash", F.xxhash64("_g_text")).join(chosen, ["lang", "_g_hash"]).dropDuplicates(["lang", "_g_hash"])
+    schema = texts.select("lang", "share", F.lit(0).cast("bigint").alias("order"), F.lit("").alias("word"), F.lit(0).cast("bigint").alias("n")).schema
+    names = schema.names
+
+    def words(batches):
+        for b in batches:
+            for lang, text, share, number in zip(*(b.column(i).to_pylist() for i in range(4))):
+                found = WORD.findall(text.lower())
+                for at in range(0, len(found), 10_000):
+                    part = found[at:at + 10_000]
+                    hashes = [xxhash.xxh64_intdigest(f"{number} {at + i}") - (1 << 63) for i in range(len(part))]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([share] * len(part), pa.int64()), pa.array(hashes, pa.int64()),
+                                                      pa.array(part), pa.array([len(found)] + [0] * (len(part) - 1) if not at else [0] * len(part), pa.int64())], names=names)
+
+    every = stored(texts.select("lang", "_g_text", "share", "_g_hash").mapInArrow(words, schema), "language-words")
+    counts = every.groupBy("lang").agg(F.sum("n").alias("_g_words"))
+    kept = thinned(every.join(counts, "lang"), ["lang"], "order", size // 4, "_g_words")
+    return kept.select("lang", "share", F.lit(size).alias("bytes"), "order", "word")
 
 
 class CompressionClassifier:
-    """The dictionaries of all languages: at most LANGUAGES times DICTIONARY_BYTES."""
-
-    def __init__(self, samples: list, dictionary_bytes: int = DICTIONARY_BYTES):
-        words, self.share = {}, {}
-        for lang, text, share in samples:
-            words.setdefault(lang, []).extend(WORD.findall(text.lower()))
-            self.share[lang] = share
-        self.languages = sorted(words, key=lambda lang: (-self.share[lang], lang))
-        self.dictionaries = {}
+    """The dictionaries of all languages, at most ALL_BYTES (64 a language at least)."""
+
+    def __init__(self, samples: list):
+        """`samples`: lang, share, bytes, order, word."""
+        words, self.share, self.dictionaries = {}, {}, {}
+        for lang, share, size, order, word in samples:
+            words.setdefault(lang, []).append((order, word))
+            self.share[lang] = share, size
+        self.languages = sorted(words, key=lambda lang: (-self.share[lang][0], lang))
         for lang in self.languages:
-            mixed = sorted((xxhash.xxh64_intdigest(f"{i} {w}"), w) for i, w in enumerate(sorted(words[lang])))
-            self.dictionaries[lang] = " ".join(w for _, w in mixed).encode()[-dictionary_bytes:]
+            self.dictionaries[lang] = " ".join(w for _, w in sorted(words[lang])).encode()[-self.share[lang][1]:]
 
     def open(self) -> list:
         """One compressor per language; they live in a worker process."""
@@ -71,7 +94,7 @@ class CompressionClassifier:
         return made
 
     def classify(self, text, compressors: list, margin: float = MARGIN) -> dict:
-        """The decision on one text. Equal totals go to the language with more labelled rows."""
+        """The decision on one text. Equal totals go to the language with more labelled rows, and are rejected."""
         words = WORD.findall(text.lower()) if text and compressors else []
         if not words:
             return {"lang_pred": UNDETERMINED, "score": 0.0, "rejected": True}
@@ -81,12 +104,16 @@ class CompressionClassifier:
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best, second = sizes[order[0]], sizes[order[1]] if len(order) > 1 else len(data) + 16 * len(blocks)
         gap = max(0.0, second / best - 1)
-        return {"lang_pred": self.languages[order[0]], "score": gap / (gap + 0.02), "rejected": gap < margin and len(data) >= MARGIN_BYTES}
+        return {"lang_pred": self.languages[order[0]], "score": gap / (gap + 0.02), "rejected": gap < margin}
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CompressionClassifier:
-    """Learn from the rows of `df` that have text and label; only the bounded sample reaches the driver."""
-    return CompressionClassifier([tuple(r) for r in training_sample(df, id_col, text_col, lang_col).collect()])
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> CompressionClassifier:
+    """Learn from the rows of `df` that have text and label; only the bounded sample of words reaches the driver.
+
+    Equal texts of a language count once in the sample. Identifiers and other columns are not read. Without labelled rows
+    nothing is learned: every text is then `und` and rejected.
+    """
+    return CompressionClassifier([tuple(r) for r in training_words(df, text_col, lang_col).collect()])
 
 
 def identify(df: DataFrame, classifier: CompressionClassifier, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
