@@ -3,7 +3,7 @@
 A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits (the last one padded). If two fingerprints differ in at most
 three bits, then either one segment is equal and another one differs in at most one bit, or each segment differs in exactly
 one. So they meet under a key made of an equal segment and a codeword index of another one (all six ordered choices), or of
-codeword indices of the first two. One side of the join has the nearest codewords only, the other side all of them; pairs
+the codeword indices of all three. One side of the join has the nearest codewords only, the other side all of them; pairs
 that meet are verified by counting the bits that differ. Equal fingerprints are one node, and linked nodes form components.
 """
 
@@ -75,7 +75,9 @@ def fuzzy_keys(values: np.ndarray, nearest_only: bool) -> tuple[np.ndarray, np.n
         keys.append((both | (tag << 36))[ok])
         rows.append(row[ok])
 
-    add(0, codes[0], codes[1])
+    two = (codes[0][:, :, None] << 12) | codes[1][:, None, :]
+    two[(codes[0][:, :, None] < 0) | (codes[1][:, None, :] < 0)] = -1
+    add(0, two.reshape(len(values), -1), codes[2])
     for i in range(3):
         for j in range(3):
             if i != j:
@@ -88,7 +90,7 @@ def keyed(nodes: DataFrame, nearest_only: bool) -> DataFrame:
     def make(batches):
         for b in batches:
             values = b.column(0).to_numpy()
-            for at in range(0, len(values), 2048):
+            for at in range(0, len(values), 1024):
                 part = values[at:at + 2048]
                 keys, rows = fuzzy_keys(part.view(np.uint64), nearest_only)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
@@ -116,9 +118,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty result.
     """
     docs = stored(fingerprints(df.select(F.col(id_col), F.col(text_col)), text_col, words), "fingerprints")
-    nodes = stored(docs.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    named = component_least(docs, F.col(id_col), max_bits).select("fp", F.col("least").alias("component_id"))
+    return docs.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def component_least(docs: DataFrame, value, max_bits: int) -> DataFrame:
+    """fp and `least`: for every fingerprint of `docs` the smallest `value` (a column of docs) in its component."""
+    nodes = stored(docs.groupBy("fp").agg(F.min(value).alias("least")), "nodes")
     roots = connected_components(linked_fingerprints(nodes, max_bits))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return rooted.drop("least").join(ids, "root").select("fp", "least")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
+                         max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of `df`, all columns, without near copies of others: of each component the smallest identifier stays, of rows
+    with equal identifiers the one with the smallest text hash.
+
+    A null identifier stays only if the component has no other. Null and empty texts form one component. Rows that repeat
+    identifier and text count as one: they stay or go together. An empty table gives an empty result.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    docs = stored(fingerprints(df.select(F.col(id_col).alias("_s_id"), text_hash.alias("_s_hash"), F.col(text_col)), text_col, words), "fingerprints")
+    order = F.struct(F.col("_s_id").isNull().alias("absent"), F.col("_s_id").alias("id"), F.col("_s_hash").alias("hash"))
+    least = component_least(docs, order, max_bits)
+    stays = F.col("least.id").eqNullSafe(F.col("_s_id")) & (F.col("least.hash") == F.col("_s_hash"))
+    gone = docs.join(least, "fp").where(~stays).select("_s_id", "_s_hash").distinct()
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_s_id")) & (text_hash == F.col("_s_hash")), "left_anti")
