@@ -13,8 +13,8 @@ the others, each of which is rare, by a join.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
-from .tokens import CACHE_PIECES, ODD_SPACE, byte_alphabet, vocabulary_path
+from .tokens import CACHE_PIECES, ODD_SPACE, TextEncoder, byte_alphabet, vocabulary_path
 
 #: A space that both tokenizers put at the beginning of a token.
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
@@ -43,13 +43,10 @@ class PairAligner:
     """
 
     def __init__(self, a: str, b: str, most: int = CACHE_PIECES):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-        self.a, self.b, self.most = Tokenizer.from_file(vocabulary_path(a)), SentencePieceProcessor(model_file=vocabulary_path(b)), most
+        self.words, self.b, self.most = TextEncoder(vocabulary_path(a), False, most), SentencePieceProcessor(model_file=vocabulary_path(b)), most
+        self.a = self.words.tokenizer
         self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
             raise ValueError(f"{b}: a piece holds a space behind another character")
@@ -67,45 +64,54 @@ class PairAligner:
                 of_bytes.setdefault(self.b_bytes[i], i)
         special = set(self.a.get_added_tokens_decoder())
         self.same = np.array([-1 if i in special else of_bytes.get(t, -1) for i, t in enumerate(self.a_bytes)], np.int64)
+        self.same_id, self.a_length, self.b_length = self.same.tolist(), [*map(len, self.a_bytes)], [*map(len, self.b_bytes)]
         self.kept: dict = {}
 
+    def a_ids(self, word: str) -> list:
+        """A's ids of a space and `word`."""
+        if " " in word or not word:
+            return self.a.encode(" " + word, add_special_tokens=False).ids
+        return memoryview(self.words.cache[word]).cast("I").tolist()
+
     def word(self, text: str, a_ids: list, b_ids: list):
         """(groups as text, A tokens, B tokens, exact A ids, other pairs a * b_size + b) of a space and `text`; None if the
         bytes of the tokens are not these."""
         whole = b" " + text.encode()
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(b_bytes) != whole or b"".join(a_bytes) != whole:
+        if b"".join([self.b_bytes[i] for i in b_ids]) != whole or b"".join([self.a_bytes[i] for i in a_ids]) != whole:
             return None
+        if len(a_ids) == 1 == len(b_ids) and self.same_id[a_ids[0]] == b_ids[0]:
+            return f"{a_ids[0]}|{b_ids[0]}", 1, 1, a_ids[0].to_bytes(4, "little"), b""
+        a_size, b_size = self.a_length, self.b_length
         groups, exact, others = [], [], []
         i = j = left = right = 0
         while i < len(a_ids):
             first_i, first_j = i, j
-            left += len(a_bytes[i])
-            right += len(b_bytes[j])
+            left += a_size[a_ids[i]]
+            right += b_size[b_ids[j]]
             i, j = i + 1, j + 1
             while left != right:
                 if left < right:
-                    left += len(a_bytes[i])
+                    left += a_size[a_ids[i]]
                     i += 1
                 else:
-                    right += len(b_bytes[j])
+                    right += b_size[b_ids[j]]
                     j += 1
             last_a, last_b = a_ids[i - 1], b_ids[j - 1]
             if i - first_i == 1 == j - first_j:
                 groups.append(f"{last_a}|{last_b}")
-                if self.same[last_a] == last_b:
+                if self.same_id[last_a] == last_b:
                     exact.append(last_a)
                     continue
             else:
                 groups.append(f"{','.join(map(str, a_ids[first_i:i]))}|{','.join(map(str, b_ids[first_j:j]))}")
             others.append(last_a * self.b_size + last_b)
-        return (";".join(groups), len(a_ids), len(b_ids), np.array(exact, np.uint32).tobytes(), np.array(others, np.int64).tobytes())
+        return (";".join(groups), len(a_ids), len(b_ids), array("I", exact).tobytes(), array("q", others).tobytes())
 
     def learn(self, words: list) -> dict:
         """word -> its alignment, for words not kept; keeps the short ones and starts again when they are too many."""
         if len(self.kept) + len(words) > self.most:
             self.kept.clear()
-        a_ids = [self.a.encode(" " + w, add_special_tokens=False).ids for w in words]
+        a_ids = [self.a_ids(w) for w in words]
         b_ids = self.b.encode(words, num_threads=1)
         found = {w: self.word(w, a, b) for w, a, b in zip(words, a_ids, b_ids)}
         self.kept.update((w, f) for w, f in found.items() if len(w) <= KEPT_CHARS)
