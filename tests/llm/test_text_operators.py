@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -36,6 +37,60 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def brute_scan(text, merge_gap=3):
+    """(labels by the method, best coverage): every pair of neighbouring diagonals, every place of the change."""
+    w = [x for x in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
+    best, labels = 0.0, set()
+    for base, (label, phrase) in [(True, p) for p in license_scan.PHRASES] + [(False, n) for n in license_scan.NOTICES]:
+        p = phrase.split()
+        grams = len(p) - 2
+        on = {}
+        for i in range(len(w) - 2):
+            for t in range(grams):
+                if w[i:i + 3] == p[t:t + 3]:
+                    on.setdefault(i - t, set()).add(t)
+        top = max(map(len, on.values()), default=0)
+        for d1 in on:
+            for d2 in on:
+                if d1 != d2 and abs(d1 - d2) <= merge_gap:
+                    for t in range(1, grams + 1):
+                        top = max(top, sum(x < t for x in on[d1]) + sum(x >= t + max(0, d1 - d2) for x in on[d2]))
+        best = max(best, top / grams)
+        if top / grams >= 0.8 or base and any(len(x) == grams for x in on.values()):
+            labels.add(label)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_spans_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "BLOCK", 7)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(250):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(license_scan.PHRASES + license_scan.NOTICES)[1].split()
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(p))
+                p[at:at + rng.randrange(3)] = [rng.choice(["the", "new", "license"])] * rng.randrange(4)
+            if rng.random() < 0.2:                          # all grams there, but in another order: no span
+                cut = len(p) // 2
+                p = p[cut:] + p[:cut]
+            w += p + ["x"] * rng.randrange(3)
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, pytest.approx(r.score)) for r in license_scan.license_scan(df).collect()}
+    want = {i: brute_scan(t) for i, t in enumerate(texts)}
+    assert want == got and len({labels for labels, _ in want.values()}) > 10
+
+
+def test_license_in_a_text_of_a_million_words(spark):
+    df = spark.createDataFrame([(1, "cc by nc " * 333_334 + "under the MIT license")], "doc_id bigint, text string")
+    start = time.time()
+    r = license_scan.license_scan(df).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (1_000_006, 333_335, 0, 1_000_002, "cc-by-nc,mit")
+    assert time.time() - start < 60
+
+
 LANGS = {"aa": "ka lo mi tu re sa", "bb": "xor yth zen qwa plo", "cc": "école été où ça déjà"}
 
 
@@ -70,12 +125,50 @@ def test_narrow_margins_are_rejected(spark):
     compressors = classifier.open()
     mixed = " ".join(f"{a} {b}" for a, b in zip(LANGS["aa"].split() * 60, LANGS["bb"].split() * 72))
     assert classifier.classify(mixed, compressors, margin=0.5)["rejected"]
-    assert not classifier.classify("ka lo", compressors, margin=0.5)["rejected"]       # too short to tell
+    tie = classifier.classify("ñ", compressors)             # no dictionary helps: short texts are rejected as well
+    assert tie["rejected"] and tie["score"] == 0 and tie["lang_pred"] in LANGS
+    assert not classifier.classify("ka lo mi tu re sa ka", compressors)["rejected"]
+
+
+def test_numerals_are_no_letters(spark):
+    classifier = language_id.train(labelled(spark))
+    for text in ("½ ² ①", "12 _ 3", "٣ Ⅷ", ""):
+        assert classifier.classify(text, classifier.open()) == {"lang_pred": "und", "score": 0.0, "rejected": True}
+
+
+def test_decisions_equal_plain_compression(spark):
+    """The totals of whole texts, cut into blocks, compressed with dictionaries that are made anew from the same words."""
+    import zstandard
+    df = labelled(spark, 400)
+    classifier = language_id.train(df.where("doc_id % 4 <> 2"))
+    words = {}
+    for r in sorted(language_id.training_words(df.where("doc_id % 4 <> 2"), "text", "lang").collect(), key=lambda r: r.order):
+        words.setdefault(r.lang, []).append(r.word)
+    assert {lang: " ".join(w).encode()[-language_id.DICTIONARY_BYTES:] for lang, w in words.items()} == classifier.dictionaries
+    long = " ".join(r.text for r in df.limit(90).collect())
+    given = [r.text for r in df.where("doc_id % 4 = 2").collect()] + [long, "ka", "déjà vu yth"]
+    for text in given:
+        data = " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode()
+        size = {}
+        for lang in classifier.languages:
+            d = zstandard.ZstdCompressionDict(classifier.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(dict_data=d, level=language_id.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+            size[lang] = sum(len(c.compress(data[i:i + language_id.BLOCK_BYTES])) for i in range(0, len(data), language_id.BLOCK_BYTES))
+        best, second = sorted(size.values())[:2]
+        got = classifier.classify(text, classifier.open())
+        assert size[got["lang_pred"]] == best and got["rejected"] == (second / best - 1 < language_id.MARGIN)
 
 
 def test_training_sample_is_bounded(spark):
-    rows = language_id.training_sample(labelled(spark, 900), "doc_id", "text", "lang", rows=20, chars=30).collect()
-    assert Counter(r.lang for r in rows) == {lang: 20 for lang in LANGS} and max(len(r.text) for r in rows) <= 30
+    df = labelled(spark, 900)
+    rows = language_id.training_words(df, "text", "lang", rows=20, dictionary_bytes=400).collect()
+    assert Counter(r.lang for r in rows) == {lang: 100 for lang in LANGS}
+    # copies count once, whatever their number, and no text is cut
+    copies = df.union(df.sparkSession.createDataFrame([(5000 + i, "zzz " * 4000 + "end", "aa") for i in range(50)], df.schema))
+    some = language_id.training_words(copies, "text", "lang", dictionary_bytes=1 << 20).where("lang = 'aa'").collect()
+    assert Counter(r.word for r in some)["zzz"] == 4000 and Counter(r.word for r in some)["end"] == 1
+    many = df.select("doc_id", "text", df.doc_id.cast("string").alias("lang"))
+    assert len(language_id.train(many).languages) == 900      # no language is left out
 
 
 def tokens(text):
