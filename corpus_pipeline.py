@@ -8,7 +8,7 @@ from keelson.llm.common import scratch
 from keelson.llm.exact_dedup import exact_dedup
 from keelson.llm.language_id import identify, train
 from keelson.llm.packing import best_fit_packing
-from keelson.llm.similar_texts import drop_similar
+from keelson.llm.simhash import drop_near_duplicates
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose 5-word shingles have a similarity of 0.8 or more, the one with the smallest doc_id."""
-    return drop_similar(docs)
+    """One document of each group whose SimHash fingerprints are linked by at most three differing bits, the one with the smallest
+    doc_id (a null one only if there is no other). Null and empty texts are one group."""
+    return drop_near_duplicates(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
