@@ -20,6 +20,3 @@ def large(spark):
     spark.conf.set(ordered.SLICE_CONF, "7")
     yield
     spark.conf.unset(ordered.SLICE_CONF)
-
-
-SF = "/root/testdata/sf0.001"

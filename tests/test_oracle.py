@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF
+from oracle_check import SF
 
 FAST = ["constraint_flags", "type_breakdown", "coverage_by_day", "long_gap_catalogue", "outage_blocks", "comissing_jaccard", "summary_stats",
         "correlation_matrix", "histogram", "linear_fit", "rolling_mean_centered", "anomaly_runs", "minmax_scale", "majority_vote", "load_raw",
