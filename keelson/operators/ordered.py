@@ -12,12 +12,16 @@ The last ordering column should be unique (a row id), so ties cannot make the re
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..functions.columns import null_safe_join
 
 ROWS_PER_SLICE = 1_000_000
+SLIDING_ROWS = 250_000
 SLICE_CONF = "spark.keelson.rowsPerSlice"
 
 
@@ -40,25 +44,44 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, folders=()) -> DataFrame:
+    """Store rows as Parquet in the checkpoint folder and read them back: what was computed once, like a row's place in its
+    file, cannot change, and later passes read only the columns they need, and of the `folders` columns only the values they ask for.
+    The folder is left to whoever clears it."""
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])       # a header may hold characters that Parquet does not allow
+    plain.write.option("compression", "zstd").partitionBy(*[f"c{names.index(c)}" for c in folders]).parquet(path)
+    back = spark.read.schema(plain.schema).parquet(path)
+    return back.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 BROADCAST_BYTES = 16 << 20
 
 
-def settled(table: DataFrame) -> DataFrame:
-    """Compute a per-group table once and hand it on for joining back to the rows.
+def measured(table: DataFrame, metrics: dict | None = None) -> tuple[DataFrame, dict]:
+    """Compute a per-group table once; hand it on for joining back to the rows, with `metrics` (name -> aggregate) over it.
 
     The table is stored, so later passes do not repeat the scan behind it. Its rows and the characters and elements in them
-    are counted: up to BROADCAST_BYTES it is broadcast, which spares the row side a shuffle; beyond that it joins as usual.
+    are counted as it is written: up to BROADCAST_BYTES it is broadcast, which spares the row side a shuffle; beyond that it
+    joins as usual.
     """
-    table = durable(table)
     kinds = {f.name: f.dataType.typeName() for f in table.schema.fields}
     sizes = [F.coalesce(F.length(F.col(f"`{c}`")) if k == "string" else F.size(F.col(f"`{c}`")) * 16, F.lit(0)) for c, k in kinds.items()
              if k in ("string", "array", "map")]
     held = F.lit(24 + 16 * len(kinds))
     for size in sizes:
         held = held + size
-    if (table.agg(F.sum(held.cast("bigint"))).first()[0] or 0) > BROADCAST_BYTES:
-        return table
-    return F.broadcast(table)
+    seen = Observation()
+    counted = table.observe(seen, F.sum(held.cast("bigint")).alias("_bytes"), *[m.alias(n) for n, m in (metrics or {}).items()])
+    table, found = durable(counted), seen.get
+    return (table if (found.get("_bytes") or 0) > BROADCAST_BYTES else F.broadcast(table)), found
+
+
+def settled(table: DataFrame) -> DataFrame:
+    return measured(table)[0]
 
 
 def attach(rows: DataFrame, table: DataFrame, keys, how: str = "left") -> DataFrame:
@@ -100,20 +123,43 @@ class Ordered:
         self.df = self.df.withColumn(name, F.col("_pos"))
         return self
 
-    def frame(self, columns, before: int = 0, after: int = 0) -> "Ordered":
-        """Add `columns(window) -> {name: Column}` whose frames reach at most before/after rows."""
-        size = max(self.rows_per_slice, 2 * (before + after + 1))
+    def _spread(self, size: int, before: int, after: int) -> DataFrame:
+        """The rows by slice (`_slice`) of `size` rows, with copies of the neighbouring ones (whose `_own` slice is another)."""
         own = F.floor(F.col("_pos") / size)
         inside = F.col("_pos") % size
         targets = F.array_compact(F.array(
             own,
             F.when(inside >= size - before, own + 1),
             F.when((inside < after) & (own > 0), own - 1)))
-        spread = self.df.withColumn("_own", own).withColumn("_slice", F.explode(targets))
+        return self.df.withColumn("_own", own).withColumn("_slice", F.explode(targets))
+
+    def frame(self, columns, before: int = 0, after: int = 0) -> "Ordered":
+        """Add `columns(window) -> {name: Column}` whose frames reach at most before/after rows."""
+        spread = self._spread(max(self.rows_per_slice, 2 * (before + after + 1)), before, after)
         spread = spread.withColumns(columns(self._window("_slice")))
         self.df = spread.where(F.col("_slice") == F.col("_own")).drop("_slice", "_own")
         return self
 
+    def sliding(self, before: int, after: int, name: str, value: str, function) -> "Ordered":
+        """Add the double column `name`: `function(values)` gets the `value` column of consecutive rows as numpy doubles (NaN for
+        NULL) and returns one number per row that depends on at most before/after rows around it.
+
+        A slice is one Arrow table in a Python worker, so slices here have at most SLIDING_ROWS rows and the neighbours.
+        """
+        size = max(min(self.rows_per_slice, SLIDING_ROWS), 2 * (before + after + 1))
+        spread = self._spread(size, before, after)
+        schema = self.df.withColumn(name, F.lit(None).cast("double")).schema
+        columns = schema.names
+
+        def slid(table):
+            table = table.sort_by("_pos")
+            numbers = table.column(value).to_numpy(zero_copy_only=False).astype(float)
+            table = table.append_column(name, pa.array(function(numbers), pa.float64(), from_pandas=True))
+            return table.filter(pc.equal(table.column("_slice"), table.column("_own"))).select(columns)
+
+        self.df = spread.groupBy(*self.keys, "_slice").applyInArrow(slid, schema)
+        return self
+
     def running(self, sums: dict | None = None, lasts: dict | None = None) -> "Ordered":
         """Running totals up to and including the row, and latest non-null values before the row."""
         sums, lasts = sums or {}, lasts or {}

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import warnings
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config as cfg
 from ..operators.normalize import normalize
-from ..operators.ordered import settled
+from ..operators.ordered import Ordered, settled, written
 from .excel import scan_excel, workbook_headers
 
 EXTENSIONS = (".csv", ".xlsx", ".xls")
@@ -18,20 +19,20 @@ READABLE = (".csv", ".xlsx")
 GLOB_CHARACTERS = "\\{}[]*?"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
+    p, fs = file_system(spark, path)
     return fs.exists(p)
 
 
 def discover_files(spark: SparkSession, path: str) -> list[str]:
     """A file itself, or every supported file below a directory, sorted by full path."""
-    p, fs = _fs(spark, path)
+    p, fs = file_system(spark, path)
     if not fs.exists(p):
         raise FileNotFoundError(f"data path not found: {path}")
     if fs.getFileStatus(p).isFile():
@@ -51,7 +52,7 @@ def discover_files(spark: SparkSession, path: str) -> list[str]:
 def _csv_header(spark: SparkSession, path: str):
     """Column names of one CSV: only its first line is read."""
     try:
-        p, fs = _fs(spark, path)
+        p, fs = file_system(spark, path)
         reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
         try:
             line = reader.readLine()
@@ -59,8 +60,7 @@ def _csv_header(spark: SparkSession, path: str):
             reader.close()
         if not line or not line.strip():
             return None, "empty file"
-        row = spark.read.csv(spark.sparkContext.parallelize([line.lstrip("﻿")], 1)).first() if '"' in line else None
-        return tuple(row) if row is not None else tuple(line.lstrip("﻿").split(",")), None
+        return tuple(next(csv.reader([line.lstrip("﻿")]))), None
     except Exception as problem:      # a file that cannot be opened is reported and skipped
         return None, str(problem).splitlines()[0]
 
@@ -105,23 +105,34 @@ def plain_path(path):
 
 
 def _with_source(df: DataFrame) -> DataFrame:
-    """source_file, and where a row came from: _path, _block (start of the split) and _row (ascending inside it)."""
-    return df.select("*", plain_path(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
-                     F.monotonically_increasing_id().alias("_row")).withColumn("source_file", F.element_at(F.split("_path", "/"), -1))
+    """source_file, and the split that a row came from: _path and _block (its start)."""
+    return df.select("*", plain_path(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block")).withColumn(
+        "source_file", F.element_at(F.split("_path", "/"), -1))
 
 
 def _numbered(parts: list) -> list:
     """Add `rid` to every part: the row's number in file order, then row order, over all parts.
 
-    One narrow pass counts the rows of every split of every file; their running sum is a table of one row per split.
+    Each part is read and stored once, together with the place that every row had in that reading; nothing is numbered from a
+    second one, whose splits and partitions may differ. A split's rows are a range of places inside one partition, so one narrow
+    pass over the stored places gives its rows' first and last place, and their running sum over the splits the number to add.
     """
-    places = reduce(DataFrame.unionByName, [p.select("_path", "_block", "_row") for p in parts])
-    splits = places.groupBy("_path", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    table = settled(splits.select("_path", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")))
-    missing = F.raise_error(F.lit("a row comes from a split that was not counted")).cast("bigint")
-    return [p.join(table, ["_path", "_block"], "left").withColumn("rid", F.coalesce(F.col("_row") + F.col("_shift"), missing))
-            .drop("_path", "_block", "_row", "_shift") for p in parts]
+    held = [written(p.withColumn("_place", F.monotonically_increasing_id())) for p in parts]
+    splits = reduce(DataFrame.unionByName, [
+        p.groupBy("_path", "_block").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_layout", F.lit(i)) for i, p in enumerate(held)])
+    broken = F.raise_error(F.lit("the rows of a split are not in one piece")).cast("bigint")
+    rows = F.when(F.col("_last") - F.col("_first") + 1 == F.col("_n"), F.col("_n")).otherwise(broken)
+    totals = Ordered(splits.withColumn("_n", rows), [], ["_path", "_block"]).running(sums={"_upto": F.col("_n")}).result()
+    table = settled(totals.select("_layout", F.shiftright("_first", 33).alias("_part"), "_first", "_last",
+                                  (F.col("_upto") - F.col("_n") - F.col("_first")).alias("_shift")))
+    numbered = []
+    for i, p in enumerate(held):
+        own = table.where(F.col("_layout") == i).drop("_layout")
+        of_split = (F.shiftright("_place", 33) == F.col("_part")) & F.col("_place").between(F.col("_first"), F.col("_last"))
+        numbered.append(p.join(own, of_split).withColumn("rid", F.col("_place") + F.col("_shift"))
+                        .drop("_path", "_block", "_place", "_part", "_first", "_last", "_shift"))
+    return numbered
 
 
 def csv_headers(spark: SparkSession, csvs) -> tuple[dict, list]:
@@ -152,7 +163,8 @@ def skipped_files(spark: SparkSession, path: str) -> DataFrame:
 def load_raw(spark: SparkSession, path: str, config: cfg.VesselConfig | None = None) -> DataFrame:
     """All files under `path`, normalised, with `source_file`, `rid` and `vessel_id`.
 
-    Files are read per distinct header, so the plan grows with the number of layouts and not of files.
+    Files are read per distinct header, so the plan grows with the number of layouts and not of files. The raw rows are stored
+    once in the checkpoint folder; `rid` is gapless and the same whatever the number of cores, splits or partitions.
     """
     config = config or cfg.detect_vessel(path)
     headers, skipped = load_report(spark, path)
@@ -164,7 +176,7 @@ def load_raw(spark: SparkSession, path: str, config: cfg.VesselConfig | None = N
     for (kind, header), files in headers.items():
         paths = [literal_path(f) for f in files]
         parts.append(_with_source(scan_csv(spark, paths, header)) if kind == "csv" else
-                     scan_excel(spark, paths, header).withColumn("_block", F.lit(0).cast("bigint")))
+                     scan_excel(spark, paths, header).drop("_row").withColumn("_block", F.lit(0).cast("bigint")))
     parts = [normalize(p, config) for p in _numbered(parts)]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.withColumn("vessel_id", F.lit(config.vessel_id))

@@ -1,13 +1,27 @@
-"""Result tables as Parquet folders: append-only facts, reviews as a second append-only table."""
+"""Result tables as Parquet folders: append-only facts, reviews as a second append-only table.
+
+Every append is a run with a folder of its own below the table. A run claims a range of ids, one for each of its rows, by creating
+a file named after the range's first id; creation fails if another writer was faster, who then is waited for. So ids are
+gapless over all runs that finish, whoever writes at the same time. (The file system must refuse to create a file twice, as HDFS
+and local ones do.)
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+import os
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JJavaError
 
 from ..functions.columns import half_even
 from ..operators.classify import db_type
 from ..operators.flags import missing_reason
-from .files import path_exists
+from ..operators.ordered import with_position
+from .files import file_system, path_exists
+
+CLAIM_SECONDS = 60
 
 SENSORS = ("GPSSpeed_kn", "GPS_LAT", "GPS_LON", "Main_Engine_Power_kW", "Speed_rpm", "Fuel_Consumption_t_per_day", "Avg_draft_m",
            "Trim_m", "TrueWindSpeed_kn", "RelWindSpeed_kn")
@@ -42,53 +56,101 @@ class ResultStore:
         return self
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).parquet(self.path(table))
-
-    def _append(self, rows: DataFrame, table: str) -> int:
+        return self.spark.read.schema(TABLES[table]).option("recursiveFileLookup", True).parquet(self.path(table))
+
+    def _claim(self, table: str, n: int) -> int:
+        """The first of n ids that no other run has or will get."""
+        folder, fs = file_system(self.spark, f"{self.root}/_claims/{table}")
+        fs.mkdirs(folder)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        deadline = time.time() + CLAIM_SECONDS
+        while time.time() < deadline:
+            last = max((status.getPath().getName() for status in fs.listStatus(folder)), default=None)
+            end = self._claimed_end(fs, path(folder, last)) if last else 1
+            if end is not None and self._create(fs, path(folder, f"{end:020d}"), end + max(n, 1)):
+                return end
+            time.sleep(0.05)                        # another run was faster, or has not said yet how many ids it takes
+        raise TimeoutError(f"the last claim in {folder} was not finished within {CLAIM_SECONDS} s")
+
+    @staticmethod
+    def _create(fs, claim, end: int) -> bool:
+        """Create the claim with the end of its range; False if it is there already."""
+        if fs.getScheme() == "file":                # Hadoop's local file system looks first and creates then
+            try:
+                handle = os.open(claim.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            except FileExistsError:
+                return False
+            with os.fdopen(handle, "wb") as out:
+                out.write(end.to_bytes(8, "big"))
+            return True
+        try:
+            out = fs.create(claim, False)
+        except Py4JJavaError:
+            if fs.exists(claim):
+                return False
+            raise
+        out.writeLong(end)
+        out.close()
+        return True
+
+    @staticmethod
+    def _claimed_end(fs, claim):
+        if fs.getFileStatus(claim).getLen() < 8:
+            return None
+        held = fs.open(claim)
+        try:
+            return held.readLong()
+        finally:
+            held.close()
+
+    def _write(self, rows: DataFrame, table: str, run: str) -> None:
         names = [c.split(" ")[0] for c in TABLES[table].split(", ")]
-        seen = Observation()
-        rows.select(*names).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path(table))
-        return seen.get["n"]
+        rows.select(*names).write.parquet(f"{self.path(table)}/run-{run}")
 
-    def _next_id(self, table: str) -> int:
-        return (self.read(table).agg(F.max("id")).first()[0] or 0) + 1
+    def _append(self, rows: DataFrame, table: str, order) -> int:
+        """Number the rows in `order` inside the run, claim that many ids, and write. Returns the row count."""
+        placed = with_position(rows, [], [*order, F.xxhash64(*[F.col(c) for c in rows.columns])])
+        n = placed.count()
+        first = self._claim(table, n)
+        self._write(placed.withColumn("id", F.col("_pos") + first), table, f"{first:020d}")
+        return n
 
     def append_detection_run(self, model_version: str, data_file: str, total_records: int, anomalies_detected: int, threshold: float,
                              n_components: int, threshold_percentile: float) -> int:
-        run_id = self._next_id("detection_runs")
+        run_id = self._claim("detection_runs", 1)
         row = self.spark.range(1).select(
             F.lit(run_id).cast("bigint").alias("id"), F.current_timestamp().alias("run_timestamp"), F.lit(model_version).alias("model_version"),
             F.lit(data_file).alias("data_file"), F.lit(total_records).cast("bigint").alias("total_records"),
             F.lit(anomalies_detected).cast("bigint").alias("anomalies_detected"), F.lit(float(threshold)).alias("threshold"),
             F.lit(n_components).alias("n_components"), F.lit(float(threshold_percentile)).alias("threshold_percentile"))
-        self._append(row.coalesce(1), "detection_runs")
+        self._write(row.coalesce(1), "detection_runs", f"{run_id:020d}")
         return run_id
 
     def append_anomalies(self, anomalies: DataFrame, threshold: float, model_version: str = "svd_v1") -> int:
         """Project anomalous rows to the table; the stored type is the three-rule one. Returns the row count."""
-        start = self._next_id("anomalies")
         optional = {c: (F.col(c) if c in anomalies.columns else F.lit(None).cast("string")) for c in ("primary_type", "cluster_name")}
         rows = anomalies.select(
-            (F.monotonically_increasing_id() + start).alias("id"), F.current_timestamp().alias("detection_timestamp"),
+            F.current_timestamp().alias("detection_timestamp"),
             F.col("Date").cast("timestamp_ntz").alias("data_timestamp"), F.coalesce("anomaly_score", F.lit(float(threshold))).alias("anomaly_score"),
             F.lit(float(threshold)).alias("threshold"), F.lit(model_version).alias("model_version"),
             *[_sensor(anomalies, c) for c in SENSORS], db_type(anomalies.columns).alias("anomaly_type"),
             *[e.alias(c) for c, e in optional.items()], F.lit(0).alias("reviewed"), F.lit(None).cast("string").alias("notes"))
-        return self._append(rows, "anomalies")
+        return self._append(rows, "anomalies", ["data_timestamp"])
 
     def append_missing_records(self, missing: DataFrame, features) -> int:
-        start = self._next_id("missing_records")
         source = F.col("source_file") if "source_file" in missing.columns else F.lit(None).cast("string")
         rows = missing_reason(missing, features).select(
-            (F.monotonically_increasing_id() + start).alias("id"), F.current_timestamp().alias("logged_timestamp"),
+            F.current_timestamp().alias("logged_timestamp"),
             F.col("Date").cast("timestamp_ntz").alias("data_timestamp"), "reason", "missing_columns", source.alias("source_file"),
             *[_sensor(missing, c) for c in (*SENSORS, "DRAFTFWD", "DRAFTAFT")])
-        return self._append(rows, "missing_records")
+        return self._append(rows, "missing_records", ["data_timestamp"])
 
     def mark_reviewed(self, ids: DataFrame, notes: str | None = None) -> int:
         """Record a review of the ids (a DataFrame with an `id` column); Parquet rows are never updated in place."""
         rows = ids.select("id", F.lit(notes).cast("string").alias("notes"), F.current_timestamp().alias("reviewed_at"))
-        return self._append(rows, "reviews")
+        run = uuid.uuid4().hex
+        self._write(rows, "reviews", run)
+        return self.spark.read.parquet(f"{self.path('reviews')}/run-{run}").count()
 
     def anomalies(self) -> DataFrame:
         """Anomalies with the outcome of their reviews: the latest non-empty note wins."""

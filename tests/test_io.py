@@ -52,8 +52,7 @@ def test_store_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(datetime(2024, 1, 1), 2.0, -1.0, 9.0), (datetime(2024, 1, 2), None, 5.0, 0.0)],
                                  "Date timestamp_ntz, anomaly_score double, Main_Engine_Power_kW double, Trim_m double")
     assert store.append_anomalies(rows, 0.7) == 2 and store.append_anomalies(rows.limit(1), 0.7) == 1
-    ids = [r["id"] for r in store.read("anomalies").collect()]
-    assert len(set(ids)) == 3
+    assert sorted(r["id"] for r in store.read("anomalies").collect()) == [1, 2, 3]
     assert store.append_detection_run("m", "f", 3, 2, 0.7, 3, 95.0) == 1 and store.append_detection_run("m", "f", 3, 2, 0.7, 3, 95.0) == 2
     store.mark_reviewed(store.read("anomalies").where("anomaly_type = 'multivariate_outlier'").select("id"), "fine")
     done = store.anomalies().where("reviewed = 1").collect()
@@ -65,6 +64,22 @@ def test_store_round_trip(spark, tmp_path):
     assert store.anomalies().count() == 0
 
 
+def test_writers_at_the_same_time_get_different_ids(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    st.ResultStore(spark, str(tmp_path / "db")).create()
+    rows = spark.range(40).select(F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 7)").alias("Date"), F.lit(1.0).alias("anomaly_score"),
+                                  F.col("id").cast("double").alias("Trim_m")).repartition(5)
+    with ThreadPoolExecutor(6) as pool:
+        counts = list(pool.map(lambda i: st.ResultStore(spark, str(tmp_path / "db")).append_anomalies(rows.where(f"Trim_m < {30 + i}"), 0.5), range(6)))
+        runs = list(pool.map(lambda i: st.ResultStore(spark, str(tmp_path / "db")).append_detection_run("m", "f", 1, 1, 0.5, 3, 95.0), range(6)))
+    assert counts == [30 + i for i in range(6)] and sorted(runs) == [1, 2, 3, 4, 5, 6]
+    store = st.ResultStore(spark, str(tmp_path / "db"))
+    found = [r["id"] for r in store.read("anomalies").orderBy("id").collect()]
+    assert found == list(range(1, sum(counts) + 1))
+    first = store.read("anomalies").where("id <= 30").orderBy("id").collect()
+    assert [r["data_timestamp"] for r in first] == sorted(r["data_timestamp"] for r in first)
+
+
 def test_stage_fallback(spark, tmp_path):
     made = []
     st.stage_or(spark, str(tmp_path / "none"), lambda: made.append(1))
@@ -110,6 +125,32 @@ def test_load_raw_numbers_rows_and_reads_odd_names(spark, tmp_path):
     assert all(r["GPS_LAT"] == i for n in names for i, r in enumerate(x for x in rows if x["source_file"] == n))
 
 
+@pytest.mark.parametrize("before,after", [(12, 3), (1, 9)])
+def test_row_numbers_do_not_depend_on_the_scan(spark, tmp_path, before, after):
+    """The numbers of a table loaded under one packing of the files are the same when it is computed under another."""
+    base = tmp_path / "grimaldi"
+    base.mkdir()
+    for n in range(24):
+        # uneven files, two layouts; file 7 is cut into several splits
+        rows = "".join(f"2024-08-01 00:00:00,{n * 10_000 + i}\n" for i in range(3000 if n == 7 else 20 + n % 3))
+        (base / f"{n:02d}.csv").write_text(("Time stamp,LATITUDE\n" if n % 2 else "Time stamp,\"Depth, m\"\n") + rows)
+    settings = {"spark.sql.leafNodeDefaultParallelism": str(before), "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "500"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = files.load_raw(spark, str(base))
+        assert spark.read.csv(str(base / "07.csv")).rdd.getNumPartitions() > 1
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(after))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+        value = F.coalesce("GPS_LAT", F.col("`Depth, m`").cast("double"))
+        got = [(r["rid"], r["v"]) for r in df.select("rid", value.alias("v")).orderBy("rid").collect()]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    want = [n * 10_000 + i for n in range(24) for i in range(3000 if n == 7 else 20 + n % 3)]
+    assert got == list(enumerate(map(float, want)))
+
+
 def test_columns_are_read_by_name(spark, tmp_path):
     (tmp_path / "1.csv").write_text("LAT,LONG\n1,2\n")
     (tmp_path / "2.csv").write_text("LONG,LAT,Other\n20,10,x\n")

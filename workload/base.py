@@ -71,10 +71,11 @@ def rounded(df: DataFrame, digits: int = 6, **special) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a temporary one only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/keelson-{uuid.uuid4().hex}" if base else os.path.join(
-        tempfile.mkdtemp(prefix="keelson-"), "out")
+    """A fresh folder under the shared folder in spark.checkpoint.dir; a temporary one only in a session on this machine alone."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base}/keelson-{uuid.uuid4().hex}" if base else os.path.join(tempfile.mkdtemp(prefix="keelson-"), "out")
 
 
 def unpivot_sql(signals, source="v", keys="vessel_id") -> str:

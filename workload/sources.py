@@ -38,32 +38,39 @@ def raw_export(s, d):
 
 def raw_folder(s, d):
     path = f"{scratch(s)}/stenaline"
-    raw_export(s, d).write.option("header", True).csv(path)
+    _in_files(raw_export(s, d)).write.option("header", True).csv(path)
     return path
 
 
+def _in_files(raw):
+    """The rows in ascending order over the files, so that file order, then row order, is the order of raw_id."""
+    key = F.col("raw_id").cast("bigint")
+    return raw.repartitionByRange(key).sortWithinPartitions(key)
+
+
 TS = "CASE WHEN rid % 2 = 0 THEN Date ELSE date_trunc('second', Date) END"
 RAWED = f"""{V}, r AS (SELECT rid AS raw_id, {TS} AS Date, GPSSpeed_kn, GPS_LAT, GPS_LON, Main_Engine_Power_kW,
  Fuel_Consumption_t_per_day AS Fuel_Consumption_rate, DRAFTAFT, DRAFTFWD, RelWindSpeed_kn, RelWindAngle_deg,
  (DRAFTAFT + DRAFTFWD)/2 AS Avg_draft_m, DRAFTAFT - DRAFTFWD AS Trim_m FROM v)"""
 LOADED = ["Date", "GPSSpeed_kn", "GPS_LAT", "GPS_LON", "Main_Engine_Power_kW", "Fuel_Consumption_rate", "DRAFTAFT", "DRAFTFWD",
           "RelWindSpeed_kn", "RelWindAngle_deg", "Avg_draft_m", "Trim_m"]
+ORDERED = "row_number() OVER (ORDER BY {}) - 1 AS rid"
 LOADED_SQL = ", ".join(c if c == "Date" else f"round_even({c}, 6) AS {c}" for c in LOADED)
 
 
 def _load_raw(s, d):
     df = files.load_raw(s, raw_folder(s, d))
-    return rounded(df.select(F.col("raw_id").cast("bigint").alias("raw_id"), "vessel_id", *LOADED))
+    return rounded(df.select("rid", F.col("raw_id").cast("bigint").alias("raw_id"), "vessel_id", *LOADED))
 
 
 def _mixed_layouts(s, d):
-    """Two layouts (one without wind, one with an extra column), an empty file and a legacy workbook side by side."""
+    """Two layouts side by side: one without wind, one with an extra column."""
     base = f"{scratch(s)}/stenaline"
-    raw = raw_export(s, d)
+    raw = _in_files(raw_export(s, d))
     raw.where("raw_id % 3 <> 0").drop("AWS", "AWA").write.option("header", True).csv(f"{base}/a")
     raw.where("raw_id % 3 = 0").withColumn("Extra", F.lit("7.5")).write.option("header", True).csv(f"{base}/b")
     df = files.load_raw(s, base)
-    return rounded(df.select(F.col("raw_id").cast("bigint").alias("raw_id"), "GPSSpeed_kn", "RelWindSpeed_kn",
+    return rounded(df.select("rid", F.col("raw_id").cast("bigint").alias("raw_id"), "GPSSpeed_kn", "RelWindSpeed_kn",
                              F.col("Extra").cast("double").alias("Extra")))
 
 
@@ -146,10 +153,10 @@ def _strict(s, d):
 
 QUERIES = {
     "discover_files": (_discover, "SELECT DISTINCT event_type AS vessel_id, 'csv' AS extension FROM events"),
-    "load_raw": (_load_raw, f"{RAWED} SELECT raw_id, 'stenaline' AS vessel_id, {LOADED_SQL} FROM r"),
+    "load_raw": (_load_raw, f"{RAWED} SELECT {ORDERED.format('raw_id')}, raw_id, 'stenaline' AS vessel_id, {LOADED_SQL} FROM r"),
     "union_all_files": (
         _mixed_layouts,
-        f"""{RAWED} SELECT raw_id, round_even(GPSSpeed_kn, 6) AS GPSSpeed_kn, CASE WHEN raw_id % 3 = 0 THEN round_even(RelWindSpeed_kn, 6) END AS RelWindSpeed_kn,
+        f"""{RAWED} SELECT {ORDERED.format('raw_id % 3 = 0, raw_id')}, raw_id, round_even(GPSSpeed_kn, 6) AS GPSSpeed_kn, CASE WHEN raw_id % 3 = 0 THEN round_even(RelWindSpeed_kn, 6) END AS RelWindSpeed_kn,
         CASE WHEN raw_id % 3 = 0 THEN 7.5e0 END AS Extra FROM r"""),
     "scan_csv": (
         lambda s, d: files.scan_csv(s, raw_folder(s, d), raw_export(s, d).columns).agg(
@@ -240,8 +247,8 @@ QUERIES = {
         lambda s, d: jobs.sort_by_time(vessel(s, d)).select("rid", "Date"), f"{V} SELECT rid, Date FROM v ORDER BY Date, rid"),
     "load_and_clean": (
         lambda s, d: jobs.load_and_clean(s, raw_folder(s, d)).select(
-            F.col("raw_id").cast("bigint").alias("raw_id"), "flag_negative_power", "flag_extreme_trim", "flag_invalid_draft", "flag_any_constraint", "is_moving"),
-        f"""{RAWED} SELECT raw_id, coalesce(Main_Engine_Power_kW < 0, false) AS flag_negative_power, coalesce(abs(Trim_m) > 5, false) AS flag_extreme_trim,
+            "rid", F.col("raw_id").cast("bigint").alias("raw_id"), "flag_negative_power", "flag_extreme_trim", "flag_invalid_draft", "flag_any_constraint", "is_moving"),
+        f"""{RAWED} SELECT {ORDERED.format('raw_id')}, raw_id, coalesce(Main_Engine_Power_kW < 0, false) AS flag_negative_power, coalesce(abs(Trim_m) > 5, false) AS flag_extreme_trim,
         coalesce(Avg_draft_m <= 0, false) AS flag_invalid_draft, coalesce(Main_Engine_Power_kW < 0, false) OR coalesce(abs(Trim_m) > 5, false)
         OR coalesce(Avg_draft_m <= 0, false) AS flag_any_constraint, coalesce(GPSSpeed_kn > 0.5, false) AS is_moving FROM r"""),
 }
