@@ -50,12 +50,6 @@ def blank_to_null(c) -> Column:
     return F.nullif(F.trim(col(c)), F.lit(""))
 
 
-def pearson(a: str, b: str) -> Column:
-    """Pairwise-complete correlation; NULL where a side is constant (`corr` divides by zero there under ANSI)."""
-    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-
-
 def wrap_angle(c) -> Column:
     return F.pmod(col(c), F.lit(360.0))
 

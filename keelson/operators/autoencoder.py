@@ -1,4 +1,4 @@
-"""Autoencoder per cluster, trained by synchronous rounds of partition-local Adam and weight averaging."""
+"""Autoencoder per cluster, trained by synchronous mini-batches with exactly added gradients."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import count_where, null_safe_join
 from .ensemble import threshold_by_group
+from .exact import PARTIAL, SCALE, fixed, summed
 from .flags import complete
 from .modes import ModeModel, kmeans_modes
 from .normalize import fit_minmax, minmax_scale
-from .ordered import durable, settled
+from .ordered import durable, settled, written
 
 CLUSTER = ("cluster_id",)
 UNIT = "_u"
@@ -59,65 +60,99 @@ def gradient(flat, sizes, x) -> np.ndarray:
 
 
 SHARD_ROWS = 4_096
+MAX_STEPS = 4
+PARTS = 4
+MAX_RATE = 1e-2
 
 
-def adam_steps(state, sizes, x, batch: int, rate: float, rng):
-    """One pass of mini-batches. `state` is (weights, first moment, second moment, steps)."""
-    w, m, v, t = state
-    order = rng.permutation(len(x))
-    for at in range(0, len(x), batch):
-        g = gradient(w, sizes, x[order[at:at + batch]])
-        t += 1
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return w, m, v, t
+def steps_of(rows: int, batch: int) -> int:
+    """Mini-batches per epoch: of `batch` rows, but at most MAX_STEPS, so that the number of jobs does not grow with the data."""
+    return min(max(1, round(rows / batch)), MAX_STEPS)
 
 
-def shards(scaled: DataFrame, columns, sizes: dict, seed: int) -> DataFrame:
-    """(cluster_id, shard, x): the rows of each cluster of `sizes` (cluster -> rows) as matrices of about SHARD_ROWS rows.
+def placed(scaled: DataFrame, sizes: dict, batch: int, seed: int) -> DataFrame:
+    """The rows of each cluster of `sizes` (cluster -> rows) with `part` and `shard`, both given by a hash of the row's id.
 
-    A row's shard follows from its id and the cluster's size, its place in it from the id: the layout has no influence.
+    A cluster has PARTS parts for each mini-batch of an epoch, a part one shard for about SHARD_ROWS rows.
     """
-    number = F.lit(None).cast("int")
+    part, shard = F.lit(None).cast("int"), F.lit(None).cast("int")
     for c, n in sizes.items():
-        number = F.when(F.col("cluster_id") == c, F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(max(1, round(n / SHARD_ROWS)))).cast("int")).otherwise(number)
+        parts = PARTS * steps_of(n, batch)
+        own = F.col("cluster_id") == c
+        part = F.when(own, F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(parts)).cast("int")).otherwise(part)
+        shard = F.when(own, F.pmod(F.xxhash64("rid", F.lit(seed + 1)), F.lit(max(1, round(n / parts / SHARD_ROWS)))).cast("int")).otherwise(shard)
+    return scaled.withColumns({"part": part, "shard": shard}).where(F.col("part").isNotNull())
+
 
+def shards(scaled: DataFrame, columns, sizes: dict, batch: int, seed: int) -> DataFrame:
+    """(x; cluster_id, part): the rows of every shard in the order of their ids as one matrix, stored by cluster and part."""
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(["rid", *columns])[list(columns)].to_numpy(dtype=float)
-        return pd.DataFrame({"cluster_id": [int(pdf["cluster_id"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "x": [x.tobytes()]})
+        return pd.DataFrame({"cluster_id": [int(pdf["cluster_id"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "x": [x.tobytes()]})
+
+    rows = placed(scaled, sizes, batch, seed).groupBy("cluster_id", "part", "shard").applyInPandas(gather, "cluster_id int, part int, x binary")
+    return written(rows.hint("rebalance", "cluster_id", "part"), ["cluster_id", "part"])
+
+
+def adam(state, g, rate: float):
+    """One Adam step. `state` is (weights, first moment, second moment, steps)."""
+    w, m, v, t = state
+    t += 1
+    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+    return w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8), m, v, t
 
-    rows = scaled.withColumn("shard", number).where(F.col("shard").isNotNull())
-    return durable(rows.groupBy("cluster_id", "shard").applyInPandas(gather, "cluster_id int, shard int, x binary"))
+
+def epoch_parts(seed: int, epoch: int, cluster: int, steps: int) -> list:
+    """The parts of each mini-batch of an epoch: PARTS each, dealt anew for every epoch."""
+    order = np.random.default_rng([seed, epoch, cluster]).permutation(PARTS * steps)
+    return [[int(p) for p in order[PARTS * s:PARTS * (s + 1)]] for s in range(steps)]
+
+
+def step_rate(rate: float, rows: int, batch: int, steps: int) -> float:
+    """The learning rate of `batch` rows, raised with the square root of the mini-batch's size over it, to MAX_RATE at most."""
+    return max(rate, min(rate * np.sqrt(max(rows / steps / batch, 1.0)), MAX_RATE))
 
 
 def train(scaled: DataFrame, columns, cluster_rows: dict, hidden=(16, 8), encoding: int = 3, epochs: int = 50, batch: int = 32,
-          rate: float = 1e-3, seed: int = 42) -> dict:
-    """cluster -> flat weights, for the clusters of `cluster_rows` (cluster -> rows).
+          rate: float = 1e-3, seed: int = 42) -> tuple[dict, dict]:
+    """(cluster -> flat weights, cluster -> loss of every step), for the clusters of `cluster_rows` (cluster -> rows).
 
-    Each round, every shard runs its rows through Adam from the shared state; the states are averaged by row count with a
-    grouped aggregate on the executors (one row per cluster and weight reaches the driver, whatever the number of shards).
+    Synchronous mini-batch training. In each step the executors compute the gradients of the step's shards from the same weights
+    and add them exactly, so one sum per cluster and weight reaches the driver, which takes one Adam step for every cluster. An
+    epoch reads every row once. Neither the batches nor the sums depend on the layout.
     """
-    clusters, packed = list(cluster_rows), shards(scaled, columns, cluster_rows, seed)
-    sizes = layer_sizes(len(columns), hidden, encoding)
+    packed = shards(scaled, columns, cluster_rows, batch, seed)
+    sizes, width = layer_sizes(len(columns), hidden, encoding), len(columns)
     length = sum((a + 1) * b for a, b in zip(sizes, sizes[1:]))
-    state = {c: (initial_weights(sizes, [seed, int(c) + 1]), np.zeros(length), np.zeros(length), 0.0) for c in clusters}
-    sc = scaled.sparkSession.sparkContext
+    state = {c: (initial_weights(sizes, [seed, int(c) + 1]), np.zeros(length), np.zeros(length), 0) for c in cluster_rows}
+    losses, sc = {c: [] for c in cluster_rows}, scaled.sparkSession.sparkContext
     for epoch in range(epochs):
-        shared = sc.broadcast(state)
-
-        def local_pass(batches):
-            for pdf in batches:
-                for c, shard, data in zip(pdf["cluster_id"], pdf["shard"], pdf["x"]):
-                    x = np.frombuffer(data).reshape(-1, len(columns))
-                    w, m, v, t = adam_steps(shared.value[int(c)], sizes, x, batch, rate, np.random.default_rng([seed, epoch, int(shard)]))
-                    yield pd.DataFrame({"cluster_id": int(c), "i": np.arange(length), "w": w, "m": m, "v": v, "t": t, "n": float(len(x))})
-
-        local = packed.mapInPandas(local_pass, "cluster_id int, i int, w double, m double, v double, t double, n double")
-        merged = local.groupBy("cluster_id", "i").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "wmvt"])
-        rows = merged.toPandas().sort_values(["cluster_id", "i"])
-        state = {int(c): (g["w"].to_numpy(), g["m"].to_numpy(), g["v"].to_numpy(), float(g["t"].iloc[0])) for c, g in rows.groupby("cluster_id")}
-        shared.unpersist()
-    return {c: s[0] for c, s in state.items()}
+        deals = {c: epoch_parts(seed, epoch, int(c), steps_of(n, batch)) for c, n in cluster_rows.items()}
+        for step in range(max(map(len, deals.values()), default=0)):
+            now = {c: deal[step] for c, deal in deals.items() if step < len(deal)}
+            shared = sc.broadcast({c: state[c][0] for c in now})
+
+            def gradients(batches):
+                for pdf in batches:
+                    for c, data in zip(pdf["cluster_id"], pdf["x"]):
+                        x, w = np.frombuffer(data).reshape(-1, width), shared.value[int(c)]
+                        g, loss = gradient(w, sizes, x) * len(x), ((forward(w, sizes, x)[-1] - x) ** 2).mean(axis=1).sum()
+                        v = fixed(np.concatenate([[len(x), loss], g]))
+                        yield pd.DataFrame({"cluster_id": np.full(len(v), c, np.int32), "i": np.arange(len(v), dtype=np.int32), "v": v})
+
+            chosen = F.lit(False)
+            for c, parts in now.items():
+                chosen = chosen | ((F.col("cluster_id") == c) & F.col("part").isin(parts))
+            sums = summed(packed.where(chosen).mapInPandas(gradients, "cluster_id int, " + PARTIAL), ["cluster_id", "i"]).collect()
+            total = {c: np.zeros(length + 2) for c in now}
+            for r in sums:
+                total[r["cluster_id"]][r["i"]] = float(r["v"]) / SCALE
+            for c, t in total.items():
+                if t[0]:
+                    losses[c].append(t[1] / t[0])
+                    state[c] = adam(state[c], t[2:] / t[0], step_rate(rate, cluster_rows[c], batch, len(deals[c])))
+            shared.unpersist()
+    return {c: s[0] for c, s in state.items()}, losses
 
 
 @dataclass
@@ -130,6 +165,7 @@ class Autoencoder:
     sizes: list
     thresholds: DataFrame | None = None
     name: str = "autoencoder"
+    losses: dict | None = None          # of every training step; a loaded model has none
 
     @staticmethod
     def fit(df: DataFrame, features, n_clusters: int = 4, percentile: float = 95.0, hidden=(16, 8), encoding: int = 3,
@@ -143,8 +179,8 @@ class Autoencoder:
         sizes = rows.agg(*[count_where(F.col("cluster_id") == c).alias(str(c)) for c in range(k)]).first()
         clusters = [c for c in range(k) if sizes[str(c)] >= at_least]
         scaled = minmax_scale(rows, modes.features, CLUSTER, scaler, UNIT).select("rid", "cluster_id", *unit)
-        weights = train(scaled, unit, {c: sizes[str(c)] for c in clusters}, hidden, encoding, epochs, batch, rate, seed)
-        model = Autoencoder(modes, scaler, weights, layer_sizes(len(unit), hidden, encoding))
+        weights, losses = train(scaled, unit, {c: sizes[str(c)] for c in clusters}, hidden, encoding, epochs, batch, rate, seed)
+        model = Autoencoder(modes, scaler, weights, layer_sizes(len(unit), hidden, encoding), losses=losses)
         scored = model._score(rows).where(F.col("cluster_id").isin(clusters)).select("cluster_id", "score_autoencoder")
         model.thresholds = settled(threshold_by_group(durable(scored), "score_autoencoder", percentile))
         return model
@@ -155,17 +191,17 @@ class Autoencoder:
         shared, sizes = rows.sparkSession.sparkContext.broadcast(self.weights), self.sizes
 
         @F.pandas_udf("double")
-        def error(cluster: pd.Series, features: pd.Series) -> pd.Series:
-            ids = cluster.to_numpy(dtype=float, na_value=np.nan)
+        def error(cluster: pd.Series, *features: pd.Series) -> pd.Series:
+            ids, every = cluster.to_numpy(dtype=float, na_value=np.nan), np.column_stack([f.to_numpy(dtype=float) for f in features])
             out = np.zeros(len(ids))
             for c, w in shared.value.items():
                 pick = np.flatnonzero(ids == c)
                 if len(pick):
-                    x = np.stack(features.iloc[pick].to_numpy())
+                    x = every[pick]
                     out[pick] = ((x - forward(w, sizes, x)[-1]) ** 2).mean(axis=1)
             return pd.Series(out)
 
-        return scaled.withColumn("score_autoencoder", error("cluster_id", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in unit]))).drop(*unit)
+        return scaled.withColumn("score_autoencoder", error("cluster_id", *[F.coalesce(F.col(c), F.lit(0.0)) for c in unit])).drop(*unit)
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows = df if "cluster_id" in df.columns else self.modes.assign(df)

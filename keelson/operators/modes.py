@@ -7,16 +7,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import local_table
 from ..functions.columns import null_safe_join
+from .exact import fixed, row_sums
 from .flags import complete
 from .normalize import fit_minmax
+from .ordered import written
 
 
 def _find(features, *words) -> str | None:
@@ -85,29 +83,103 @@ class ModeModel:
                          [r["lo"] for r in rows], [r["hi"] for r in rows])
 
 
+SAMPLE = 4_096
+HASH = "_hash"
+
+
 def _scaled_vectors(df: DataFrame, features):
-    """(vectors, lo, hi): complete rows as scaled ML vectors. The fit reads one aggregated row."""
-    rows = df.where(complete(features)).select(*features)
+    """(vectors, lo, hi): the complete rows scaled to 0..1 and a hash of each row, stored once and dealt out by that hash.
+
+    The fit reads one aggregated row. A scan of one row group would otherwise keep all later passes in one task.
+    """
+    key = F.xxhash64("rid") if "rid" in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.where(complete(features)).select(*features, key.alias(HASH))
     r = fit_minmax(rows, features).first()
+    if r is None or r[0] is None:
+        raise ValueError("no complete row to cluster")
     lo, hi = [float(r[f"{f}_lo"]) for f in features], [float(r[f"{f}_hi"]) for f in features]
-    unit = rows.select(*[((F.col(f) - lo[i]) / ((hi[i] - lo[i]) or 1.0)).alias(f) for i, f in enumerate(features)])
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(unit).select("features"), lo, hi
+    unit = rows.select(HASH, *[((F.col(f) - lo[i]) / ((hi[i] - lo[i]) or 1.0)).alias(f) for i, f in enumerate(features)])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(unit.repartition(parts, HASH)), lo, hi
 
 
 def _original_units(centres, lo, hi):
     return [[float(c[i]) * ((hi[i] - lo[i]) or 1.0) + lo[i] for i in range(len(lo))] for c in centres]
 
 
-def kmeans_modes(df: DataFrame, features, k: int = 4, seed: int = 42, restarts: int = 10, max_iter: int = 300) -> ModeModel:
-    """K-Means with restarts (k-means‖ start), lowest cost wins."""
+def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(rows, centres), feature by feature: a row's distances do not depend on the rows beside it."""
+    out = np.zeros((len(x), len(centres)))
+    for j in range(x.shape[1]):
+        out += (x[:, j, None] - centres[None, :, j]) ** 2
+    return out
+
+
+def greedy_seeds(sample: np.ndarray, k: int, rng) -> np.ndarray:
+    """k rows of the sample: each next one is the best of a few drawn in proportion to the squared distance to those before."""
+    trials = 2 + int(math.log(k))
+    chosen = sample[rng.integers(len(sample))][None]
+    nearest = squared_distances(sample, chosen)[:, 0]
+    while len(chosen) < k:
+        weight = nearest.sum()
+        drawn = rng.choice(len(sample), trials, p=nearest / weight) if weight > 0 else rng.integers(len(sample), size=trials)
+        left = np.minimum(nearest[:, None], squared_distances(sample, sample[drawn]))
+        best = int(left.sum(axis=0).argmin())
+        chosen, nearest = np.vstack([chosen, sample[drawn[best]]]), left[:, best]
+    return chosen
+
+
+def _starts(vectors: DataFrame, features, k: int, seed: int, restarts: int) -> tuple:
+    """(seeds of every restart, mean variance of the features) on the SAMPLE rows with the smallest hashes; which rows these are
+    does not depend on the layout."""
+    rows = vectors.orderBy(HASH, *features).limit(SAMPLE).select(*features).toPandas().to_numpy(dtype=float)
+    return [greedy_seeds(rows, k, np.random.default_rng([seed, r])) for r in range(restarts)], float(rows.var(axis=0).mean())
+
+
+def _lloyd(vectors: DataFrame, features, starts, max_iter: int, tol: float) -> list:
+    """(centres, cost) per start. Each pass over the rows advances every start that has not settled yet, which is when the squared
+    moves of its centres add up to `tol` at most."""
+    k, d = starts[0].shape
+    width, centres, cost, live = k * (d + 1) + 1, [c.copy() for c in starts], [np.inf] * len(starts), list(range(len(starts)))
+
+    def contributions(flat):
+        def sums(x):
+            out = []
+            for c in flat:
+                far = squared_distances(x, c)
+                own = far.argmin(axis=1)
+                member = own[:, None] == np.arange(k)
+                out += [member.sum(axis=0) << 36, *[np.where(member, fixed(x[:, j])[:, None], 0).sum(axis=0) for j in range(d)],
+                        [fixed(far[np.arange(len(x)), own]).sum()]]
+            return np.concatenate(out).astype(np.int64)
+        return sums
+
+    for step in range(max_iter + 1):
+        found = row_sums(vectors, features, width * len(live), contributions([centres[r] for r in live])).reshape(len(live), width)
+        moving = []
+        for r, row in zip(live, found):
+            cost[r], n, sums = row[-1], row[:k], row[k:-1].reshape(d, k).T
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[r])
+            if step < max_iter and ((new - centres[r]) ** 2).sum() > tol:
+                centres[r] = new
+                moving.append(r)
+        live = moving
+        if not live:
+            break
+    return list(zip(centres, cost))
+
+
+def kmeans_modes(df: DataFrame, features, k: int = 4, seed: int = 42, restarts: int = 10, max_iter: int = 300, tol: float = 1e-4) -> ModeModel:
+    """K-Means with restarts, lowest cost wins (the first of equal ones). Starts, sums and result are the same at every layout.
+
+    Starts are greedy seeds on a sample of at most SAMPLE rows chosen by hash; all rows are read in every pass, and one pass
+    serves all restarts. A centre without rows stays where it is. `tol` is relative to the variance of the features.
+    """
     vectors, lo, hi = _scaled_vectors(df, features)
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors) for i in range(restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        vectors.unpersist()
-    return ModeModel(list(features), _original_units(best.clusterCenters(), lo, hi), lo, hi)
+    starts, variance = _starts(vectors, features, k, seed, restarts)
+    fits = _lloyd(vectors, features, starts, max_iter, tol * variance)
+    best = min(fits, key=lambda f: f[1])[0]
+    return ModeModel(list(features), _original_units(best, lo, hi), lo, hi)
 
 
 def cluster_summary(df: DataFrame, model: ModeModel, thresholds: DataFrame | None = None, prefix: str = "Mode") -> DataFrame:
@@ -169,50 +241,80 @@ class MixtureModel:
 
 def gmm_modes(df: DataFrame, features, k: int = 4, covariance_type: str = "full", seed: int = 42, restarts: int = 5,
               max_iter: int = 200, tol: float = 1e-3) -> MixtureModel:
-    """Best of several fits. 'full' uses Spark ML; 'diag' and 'spherical' run EM with one aggregate per step."""
+    """The most likely of several fits by expectation maximisation; one pass over the rows advances all of them.
+
+    Each fit starts from the K-Means centres (20 passes at most) of its own greedy seeds. It has converged when the mean
+    log-likelihood changes by less than `tol`. Sums and result are the same at every layout.
+    """
+    if covariance_type not in ("full", "diag", "spherical"):
+        raise ValueError(f"covariance type {covariance_type}")
+    features = list(features)
     vectors, lo, hi = _scaled_vectors(df, features)
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = vectors.count()
-        if covariance_type == "full":
-            fits = [GaussianMixture(k=k, seed=seed + i, maxIter=max_iter, tol=tol).fit(vectors) for i in range(restarts)]
-            best = max(fits, key=lambda m: m.summary.logLikelihood)
-            means = np.array([g.mean.toArray() for g in best.gaussians])
-            covs = np.array([g.cov.toArray() for g in best.gaussians])
-            return MixtureModel(list(features), np.array(best.weights), means, covs, lo, hi, best.summary.logLikelihood,
-                                best.summary.numIter, best.summary.numIter < max_iter, n)
-        starts = [KMeans(k=k, seed=seed + i, maxIter=20).fit(vectors) for i in range(restarts)]
-        runs = [_diagonal_em(vectors, list(features), s.clusterCenters(), covariance_type, max_iter, tol, n, lo, hi) for s in starts]
-        return max(runs, key=lambda m: m.log_likelihood)
-    finally:
-        vectors.unpersist()
-
-
-def _diagonal_em(vectors, features, centres, kind, max_iter, tol, n, lo, hi) -> MixtureModel:
-    d, k = len(features), len(centres)
-    x = vectors.select(*[vector_to_array("features")[i].alias(f) for i, f in enumerate(features)])
-    means, weights = np.array(centres), np.full(k, 1.0 / k)
-    var, previous, step, done = np.full((k, d), 0.05), -np.inf, 0, False
+    n = vectors.count()
+    seeds, variance = _starts(vectors, features, k, seed, restarts)
+    starts = [c for c, _ in _lloyd(vectors, features, seeds, 20, 1e-4 * variance)]
+    return max(_expectation_maximisation(vectors, features, starts, covariance_type, max_iter, tol, n, lo, hi), key=lambda m: m.log_likelihood)
+
+
+def log_densities(x: np.ndarray, weights, means, covariances) -> np.ndarray:
+    """log(weight * density) of every row and component, computed row by row."""
+    d, out = x.shape[1], np.empty((len(x), len(weights)))
+    for j, (w, m, c) in enumerate(zip(weights, means, covariances)):
+        inverse, (_, logdet) = np.linalg.inv(c), np.linalg.slogdet(c)
+        away, form = x - m, np.zeros(len(x))
+        for a in range(d):
+            for b in range(a, d):
+                form += inverse[a, b] * (1 if a == b else 2) * away[:, a] * away[:, b]
+        out[:, j] = math.log(max(w, 1e-300)) - 0.5 * (d * math.log(2 * math.pi) + logdet + form)
+    return out
+
+
+def _expectation_maximisation(vectors, features, starts, kind, max_iter, tol, n, lo, hi) -> list:
+    k, d = starts[0].shape
+    pairs = [(a, b) for a in range(d) for b in range(a, d)]
+    width = 1 + k * (1 + d + len(pairs))
+    state = [(np.full(k, 1.0 / k), c, np.array([np.eye(d) * 0.05] * k)) for c in starts]
+    previous, steps, done, live = [-np.inf] * len(starts), [0] * len(starts), [False] * len(starts), list(range(len(starts)))
+
+    def contributions(states):
+        def sums(x):
+            out = []
+            for weights, means, covariances in states:
+                logs = log_densities(x, weights, means, covariances)
+                top = logs.max(axis=1)
+                share = np.exp(logs - top[:, None])
+                total = sum(share[:, j] for j in range(k))
+                out.append([fixed(np.clip(top + np.log(total), -1000, 1000)).sum()])
+                for j in range(k):
+                    r = share[:, j] / total
+                    out.append([fixed(r).sum(), *[fixed(r * x[:, a]).sum() for a in range(d)], *[fixed(r * x[:, a] * x[:, b]).sum() for a, b in pairs]])
+            return np.concatenate(out).astype(np.int64)
+        return sums
+
     for step in range(1, max_iter + 1):
-        model = MixtureModel(features, weights, means, np.array([np.diag(v) for v in var]), [0.0] * d, [1.0] * d, 0.0, 0, False, n, kind)
-        logs = x.withColumns({f"_l{j}": model._log_density(j) for j in range(k)})
-        ls = [F.col(f"_l{j}") for j in range(k)]
-        logs = logs.withColumn("_m", F.greatest(*ls) if k > 1 else ls[0])
-        logs = logs.withColumn("_t", reduce(lambda a, b: a + b, [F.exp(c - F.col("_m")) for c in ls]))
-        logs = logs.withColumns({f"_r{j}": F.exp(ls[j] - F.col("_m")) / F.col("_t") for j in range(k)})
-        r = logs.agg(F.sum(F.col("_m") + F.log("_t")).alias("ll"), *[F.sum(f"_r{j}").alias(f"n{j}") for j in range(k)],
-                     *[F.sum(F.col(f"_r{j}") * F.col(f)).alias(f"a{j}_{i}") for j in range(k) for i, f in enumerate(features)],
-                     *[F.sum(F.col(f"_r{j}") * F.col(f) * F.col(f)).alias(f"b{j}_{i}") for j in range(k) for i, f in enumerate(features)]).first()
-        mass = np.array([max(r[f"n{j}"], 1e-10) for j in range(k)])
-        means = np.array([[r[f"a{j}_{i}"] for i in range(d)] for j in range(k)]) / mass[:, None]
-        var = np.maximum(np.array([[r[f"b{j}_{i}"] for i in range(d)] for j in range(k)]) / mass[:, None] - means ** 2, 0) + 1e-6
-        if kind == "spherical":
-            var = np.repeat(var.mean(axis=1, keepdims=True), d, axis=1)
-        weights, change, previous = mass / mass.sum(), r["ll"] / n - previous, r["ll"] / n
-        if abs(change) < tol:
-            done = True
+        found = row_sums(vectors, features, width * len(live), contributions([state[r] for r in live])).reshape(len(live), width)
+        moving = []
+        for r, row in zip(live, found):
+            parts = row[1:].reshape(k, -1)
+            mass = np.maximum(parts[:, 0], 1e-10)
+            means, covariances = parts[:, 1:1 + d] / mass[:, None], np.empty((k, d, d))
+            for at, (a, b) in enumerate(pairs):
+                covariances[:, a, b] = covariances[:, b, a] = parts[:, 1 + d + at] / mass - means[:, a] * means[:, b]
+            variances = np.maximum(np.diagonal(covariances, axis1=1, axis2=2), 0) + 1e-6
+            if kind == "spherical":
+                variances = np.repeat(variances.mean(axis=1, keepdims=True), d, axis=1)
+            if kind != "full":
+                covariances = np.zeros((k, d, d))
+            covariances[:, np.arange(d), np.arange(d)] = variances
+            state[r], steps[r] = (mass / mass.sum(), means, covariances), step
+            done[r] = abs(row[0] / n - previous[r]) < tol
+            previous[r] = row[0] / n
+            if not done[r]:
+                moving.append(r)
+        live = moving
+        if not live:
             break
-    return MixtureModel(features, weights, means, np.array([np.diag(v) for v in var]), lo, hi, previous * n, step, done, n, kind)
+    return [MixtureModel(features, *state[r], lo, hi, previous[r] * n, steps[r], done[r], n, kind) for r in range(len(starts))]
 
 
 def gmm_summary(scored: DataFrame, model: MixtureModel) -> DataFrame:

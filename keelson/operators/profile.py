@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as cfg
 from ..functions.columns import (all_of, count_where, half_even, iso_week_key, month_key,
-                                 null_safe_join, pearson, share, unpivot)
+                                 null_safe_join, share, unpivot)
 from .flags import aggregate_signals, outside_limits
+from .moments import pair_correlations
 from .normalize import signal_profiles
 from .ordered import Ordered, attach
 from .quantiles import quantiles
@@ -44,11 +47,7 @@ def numeric_describe_ext(df: DataFrame, signals=cfg.NUMERIC_COLS, keys=KEYS) ->
 
 def correlation_matrix(df: DataFrame, signals, keys=KEYS) -> DataFrame:
     """Pairwise-complete Pearson for every pair a < b (in list order), all pairs in one aggregate."""
-    pairs = list(combinations(signals, 2))
-    wide = df.groupBy(*keys).agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])))
+    return pair_correlations(df, signals, keys).select(*keys, "signal_a", "signal_b", "corr")
 
 
 def grouped_correlations(df: DataFrame, signals, config: cfg.VesselConfig | None = None, keys=KEYS,
@@ -57,18 +56,14 @@ def grouped_correlations(df: DataFrame, signals, config: cfg.VesselConfig | None
     members = {g: [s for s in signals if cfg.group_of(s, config) == g] for g in cfg.FEATURE_GROUPS}
     both = {g: list(dict.fromkeys([*m, *[a for a in anchors if a in df.columns]])) for g, m in members.items()}
     pairs = sorted({tuple(sorted(p)) for m in both.values() for p in combinations(m, 2)})
-    used = sorted({s for p in pairs for s in p})
-    wide = df.groupBy(*keys).agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-                                 *[F.count(s).alias(f"n_{s}") for s in used])
-
-    def usable(g, s):
-        return F.lit(True) if s in anchors and s not in members[g] else F.col(f"n_{s}") >= at_least
-
-    cells = [F.when(usable(g, a) & usable(g, b), F.struct(
-        F.lit(g).alias("feature_group"), F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"),
-        F.col(f"c{pairs.index((a, b))}").alias("corr")))
-        for g, m in both.items() for a, b in sorted({tuple(sorted(p)) for p in combinations(m, 2)})]
-    return wide.select(*keys, F.inline(F.array_compact(F.array(*cells))))
+    found = pair_correlations(df, sorted({s for p in pairs for s in p}), keys, pairs)
+    # the groups that list a pair, and whether either side there is a guest that need not have enough readings
+    listed = cfg.local_table(df.sparkSession, [
+        (g, a, b, a in anchors and a not in members[g], b in anchors and b not in members[g])
+        for g, m in both.items() for a, b in sorted({tuple(sorted(p)) for p in combinations(m, 2)})],
+        "feature_group string, signal_a string, signal_b string, _free_a boolean, _free_b boolean")
+    usable = (F.col("_free_a") | (F.col("n_a") >= at_least)) & (F.col("_free_b") | (F.col("n_b") >= at_least))
+    return found.join(F.broadcast(listed), ["signal_a", "signal_b"]).where(usable).select(*keys, "feature_group", "signal_a", "signal_b", "corr")
 
 
 def top_correlations(matrix: DataFrame, n: int = 15, keys=KEYS) -> DataFrame:
@@ -79,9 +74,9 @@ def top_correlations(matrix: DataFrame, n: int = 15, keys=KEYS) -> DataFrame:
 def target_correlations(df: DataFrame, target: str, signals, keys=KEYS) -> DataFrame:
     """Correlation of every signal with one target, strongest first."""
     others = [s for s in signals if s != target]
-    wide = df.groupBy(*keys).agg(*[pearson(s, target).alias(s) for s in others])
+    found = pair_correlations(df, [*others, target], keys, [(s, target) for s in others])
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(F.abs("corr")), "signal")
-    return wide.unpivot(list(keys), others, "signal", "corr").withColumn("rank", F.row_number().over(w))
+    return found.select(*keys, F.col("signal_a").alias("signal"), "corr").withColumn("rank", F.row_number().over(w))
 
 
 PROBS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -193,8 +188,8 @@ def roc_histogram(steps: DataFrame, keys=KEYS) -> DataFrame:
 def kde_curve(df: DataFrame, signals, keys=KEYS, points: int = 400, cells: int = 2048) -> DataFrame:
     """Gaussian density estimate (Silverman width) of the 0.1-99.9 % clipped values on an even grid.
 
-    Values are first summed into narrow cells, so the kernel runs over cells and not over rows: the
-    cost after one map-side aggregation does not depend on the table size.
+    Values are first summed into narrow cells, so the kernel runs over the cells of a key and signal, of which there are at most
+    `cells`, and not over rows: the cost after one map-side aggregation does not depend on the table size.
     """
     on = [*keys, "signal"]
     long = unpivot(df, keys, signals).where(F.col("value").isNotNull())
@@ -207,12 +202,18 @@ def kde_curve(df: DataFrame, signals, keys=KEYS, points: int = 400, cells: int =
         F.count(F.lit(1)).alias("c"), F.avg("x").alias("m"))
     spread = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
                                    F.first("_lo").alias("lo"), F.first("_hi").alias("hi"))
-    grid = null_safe_join(binned, spread, on).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    h = F.col("sd") * F.pow(F.col("n") * 0.75, F.lit(-0.2))
-    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1)
-    z = (x - F.col("m")) / h
-    kernel = F.col("c") * F.exp(-0.5 * z * z) / (F.col("n") * h * 2.5066282746310002)
-    return grid.groupBy(*on, "i").agg(F.first(x).alias("x"), F.sum(kernel).alias("density"))
+    grouped = null_safe_join(binned, spread, on).withColumn("h", F.col("sd") * F.pow(F.col("n") * 0.75, F.lit(-0.2)))
+    shape = grouped.select(*on, F.lit(0).alias("i"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).schema
+
+    def smoothed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The kernel over the cells of one signal at every grid point: at most `points` x `cells` numbers, not rows."""
+        pdf, first = pdf.sort_values("cell"), pdf.iloc[0]
+        x = first["lo"] + (first["hi"] - first["lo"]) * np.arange(points) / (points - 1)
+        z = (x[:, None] - pdf["m"].to_numpy()[None]) / first["h"]
+        density = np.exp(-0.5 * z * z) @ pdf["c"].to_numpy(dtype=float) / (first["n"] * first["h"] * np.sqrt(2 * np.pi))
+        return pd.DataFrame({**{k: [first[k]] * points for k in on}, "i": np.arange(points, dtype=np.int32), "x": x, "density": density})
+
+    return grouped.groupBy(*on).applyInPandas(smoothed, shape)
 
 
 def ecdf(df: DataFrame, signals, keys=KEYS, rid="rid", points: int | None = None) -> DataFrame:

@@ -1,71 +1,134 @@
 """Exact quantiles for groups of any size.
 
-Spark's `percentile` keeps every distinct value of a group in one task. `quantiles` narrows first: a
-mergeable sketch brackets every wanted rank with guaranteed error, a second pass counts the rows
-below each bracket and the distinct values inside it (about 1/10,000 of the rows), and the answer is
-read off those. The result is the same linear-interpolated quantile; nothing is approximate in it.
+Spark's `percentile` keeps every distinct value of a group in one task. `quantiles` narrows first: a mergeable sketch brackets
+every wanted rank with guaranteed error, the rows below each bracket are counted, and only the distinct values inside it are
+ranked. Groups so large that a bracket may still hold over MOST_DISTINCT values have it narrowed again, with a sketch of the values
+inside, until it does not. The result is the same linear-interpolated quantile; nothing is approximate in it.
+
+All values and probabilities of a call share the passes: one wide aggregate for the sketches, one for the counts, and one
+for the members, which are few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from ..functions.columns import col, null_safe_join, unpivot
-from .ordered import settled
-
-SKETCH_ACCURACY = 50_000
-
-
-def quantiles(df: DataFrame, keys, values: dict, probs) -> DataFrame:
-    """One row per key with an array of quantiles (in the order of `probs`) per named value column."""
-    keys, probs = list(keys), [float(p) for p in probs]
-    wide = df.select(*keys, *[col(c).cast("double").alias(n) for n, c in values.items()])
-    long = bracketed_quantiles(unpivot(wide, keys, list(values), "_name", "_v"), [*keys, "_name"], "_v", probs)
-    return long.groupBy(*keys).agg(*[
-        F.first(F.when(F.col("_name") == n, F.col("q")), ignorenulls=True).alias(n) for n in values])
-
-
-def bracketed_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Keys plus `q`, the array of exact quantiles of `value`."""
-    keys = list(keys)
-    margin = 2.0 / accuracy
-    bounds = [b for p in probs for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = df.groupBy(*keys).agg(
-        F.count(value).alias("_cnt"),
-        F.percentile_approx(value, F.array(*[F.lit(b) for b in bounds]), accuracy).alias("_b"))
-    sketch = settled(sketch)
-    rows = null_safe_join(df.where(F.col(value).isNotNull()), sketch, keys)
-    # Open brackets hold the extreme ranks, and whole groups too short for the margin to cover two rows.
-    short = F.col("_cnt") * margin < 4
-    low = [F.lit(float("-inf")) if p - margin <= 0 else F.when(short, float("-inf")).otherwise(F.col("_b")[2 * j])
-           for j, p in enumerate(probs)]
-    high = [F.lit(float("inf")) if p + margin >= 1 else F.when(short, float("inf")).otherwise(F.col("_b")[2 * j + 1])
-            for j, p in enumerate(probs)]
-    # one entry per bracket: the value if it is inside, null if it is below
-    places = F.array_compact(F.array(*[
-        F.when(F.col(value) <= high[j], F.struct(F.lit(j).alias("j"), F.when(F.col(value) >= low[j], F.col(value)).alias("v")))
-        for j in range(len(probs))]))
-    kept = (rows.select(*keys, "_cnt", F.explode(places).alias("_p")).groupBy(*keys, F.col("_p.j").alias("_j"), F.col("_p.v").alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c"), F.first("_cnt").alias("_cnt")))
-    upto = Window.partitionBy(*keys, "_j").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumn("_end", F.sum("_c").over(upto)).where(F.col("_v").isNotNull())
-    rank = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_j") + 1) * (F.col("_cnt") - 1)
-    kept = kept.withColumns({"_rank": rank, "_start": F.col("_end") - F.col("_c")})
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.columns import any_of, col, null_safe_join
+from .ordered import measured
+
+SKETCH_ACCURACY = 10_000
+MOST_DISTINCT = 1_000_000
+#: Probabilities of the sketch that narrows a bracket: it is cut into this many parts.
+CUTS = 256
+#: Margins for short groups, as multiples of the sketch's.
+WIDER = (10, 200)
+
+
+def quantiles(df: DataFrame, keys, values: dict, probs, accuracy: int = SKETCH_ACCURACY, most: int = MOST_DISTINCT) -> DataFrame:
+    """One row per key with an array of quantiles (in the order of `probs`) per named value column; NULL where a value is never
+    there."""
+    keys, probs, names = list(keys), [float(p) for p in probs], list(values)
+    on, every = [*keys, "_i"], range(len(probs))
+    wide = df.select(*keys, *[col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(values.values())])
+    first, found = measured(_first_brackets(wide, keys, len(names), probs, accuracy), {"most": F.max("_n")})
+    largest = found["most"] or 0
+    left = largest * 4.0 / accuracy + 2 if largest * 2.0 / accuracy >= 4 else largest
+    long = wide.unpivot(keys, [F.col(f"_v{i}").alias(str(i)) for i in range(len(names))], "_i", "_v").where("_v IS NOT NULL")
+    brackets, before = first, left + 1
+    while most < left < before:
+        brackets, inside = measured(_narrowed(long, on, brackets, probs, accuracy), {"most": F.max("_left")})
+        before, left = left, inside["most"] or 0
+    rows = null_safe_join(long, brackets, on, "inner")
+    below = rows.groupBy(*on).agg(F.array(*[F.count(F.when(F.col("_v") < F.col(f"_lo{j}"), 1)) for j in every]).alias("_below"), F.first("_n").alias("_n"))
+    kept = _members(rows, on, lambda j: F.col("_v").between(F.col(f"_lo{j}"), F.col(f"_hi{j}")), every).groupBy(*on, "_j", "_v").agg(
+        F.count(F.lit(1)).alias("_c"))
+    kept = null_safe_join(kept, below, on)
+    upto = Window.partitionBy(*on, "_j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_j") + 1) * (F.col("_n") - 1)
+    kept = kept.withColumns({"_end": F.sum("_c").over(upto) + F.get("_below", F.col("_j")), "_rank": rank})
+    start = F.col("_end") - F.col("_c")
 
     def at(r):
-        return F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), F.col("_v")))
+        return F.max(F.when((start <= r) & (r < F.col("_end")), F.col("_v")))
 
-    per = kept.groupBy(*keys, "_j").agg(
-        F.first("_rank").alias("_rank"), at(F.floor("_rank")).alias("_lo"), at(F.ceil("_rank")).alias("_hi"))
     down, up = F.floor("_rank"), F.ceil("_rank")
-    answer = F.when(F.col("_lo").isNull() | F.col("_hi").isNull(),
+    per = kept.groupBy(*on, "_j").agg(F.first("_rank").alias("_rank"), at(down).alias("_l"), at(up).alias("_h"))
+    answer = F.when(F.col("_l").isNull() | F.col("_h").isNull(),
                     F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")).when(
-        (down == up) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
-        (up - F.col("_rank")) * F.col("_lo") + (F.col("_rank") - down) * F.col("_hi"))
-    found = per.select(*keys, F.struct("_j", answer.alias("v")).alias("_a")).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list("_a")), lambda s: s["v"]).alias("q"))
+        (down == up) | (F.col("_l") == F.col("_h")), F.col("_l")).otherwise(
+        (up - F.col("_rank")) * F.col("_l") + (F.col("_rank") - down) * F.col("_h"))
+    answers = per.select(*keys, F.struct(F.col("_i").alias("i"), F.col("_j").alias("j"), answer.alias("v")).alias("_a")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_a")).alias("_a"))
+
+    def of(i):
+        own = F.transform(F.filter("_a", lambda s: s["i"] == str(i)), lambda s: s["v"])
+        return F.when(F.size(own) > 0, own)
+
     # keys whose values are all null still get a row, like the plain aggregate gives
-    return null_safe_join(sketch.select(*keys), found, keys)
+    return null_safe_join(first.select(*keys).distinct(), answers, keys).select(*keys, *[of(i).alias(n) for i, n in enumerate(names)])
+
+
+def _first_brackets(wide: DataFrame, keys, n_values: int, probs, accuracy: int) -> DataFrame:
+    """keys, _i (value), _n (its readings), _lo0, _hi0, ...: a bracket for each probability, from one sketch per value.
+
+    A bracket reaches the margin of the sketch to both sides; in groups so short that this does not cover two rows, a multiple of
+    it. Open brackets hold the extreme ranks, and whole groups that are too short for any.
+    """
+    margins = [2.0 * m / accuracy for m in (1, *WIDER) if 2.0 * m / accuracy < 0.5]
+    bounds = F.array(*[F.lit(b) for m in margins for p in probs for b in (max(p - m, 0.0), min(p + m, 1.0))])
+    sketch = wide.groupBy(*keys).agg(*[F.struct(F.lit(str(i)).alias("_i"), F.count(f"_v{i}").alias("_n"),
+                                                F.percentile_approx(f"_v{i}", bounds, accuracy).alias("_b")).alias(f"_s{i}") for i in range(n_values)])
+    long = sketch.select(*keys, F.inline(F.array(*[f"_s{i}" for i in range(n_values)])))
+
+    def end(j, side, beyond):
+        found = F.when(F.col("_b").isNull(), beyond)
+        for at, m in enumerate(margins):
+            p = probs[j] + (m if side else -m)
+            known = F.lit(beyond) if not 0 < p < 1 else F.get("_b", F.lit(2 * (at * len(probs) + j) + side))
+            found = found.when(F.col("_n") * m >= 4, known)
+        return found.otherwise(beyond)
+
+    return long.select(*keys, "_i", "_n", *[e for j in range(len(probs)) for e in (
+        end(j, 0, float("-inf")).alias(f"_lo{j}"), end(j, 1, float("inf")).alias(f"_hi{j}"))])
+
+
+def _members(rows: DataFrame, on, inside, every) -> DataFrame:
+    """on, _j (probability), _v: a row for each reading inside a bracket; most readings are in none."""
+    near = rows.where(any_of([inside(j) for j in every]))
+    return near.select(*on, "_v", F.explode(F.array_compact(F.array(*[F.when(inside(j), F.lit(j)) for j in every]))).alias("_j"))
+
+
+def _narrowed(long: DataFrame, on, brackets: DataFrame, probs, accuracy: int) -> DataFrame:
+    """The brackets, each cut down to the parts of a sketch of the readings between its ends around the wanted rank, and `_left`,
+    a bound on the distinct values in the fullest one. Copies of an end do not count, so a heavy value cannot stop the cutting."""
+    every, slack = range(len(probs)), 1 + -(-2 * CUTS // accuracy)
+    ends = [f"_{side}{j}" for j in every for side in ("lo", "hi")]
+    rows = null_safe_join(long, brackets.select(*on, "_n", *ends), on, "inner")
+    counts = rows.groupBy(*on).agg(*[F.count(F.when(F.col("_v") <= F.col(f"_lo{j}"), 1)).alias(f"_upto{j}") for j in every],
+                                   *[F.first(c).alias(c) for c in ("_n", *ends)])
+    grid = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
+    parts = _members(rows, on, lambda j: (F.col("_v") > F.col(f"_lo{j}")) & (F.col("_v") < F.col(f"_hi{j}")), every).groupBy(*on, "_j").agg(
+        F.count(F.lit(1)).alias("c"), F.percentile_approx("_v", grid, accuracy).alias("g"))
+    own = [F.when(F.col("_j") == j, F.struct("c", "g")) for j in every]
+    parts = parts.groupBy(*on).agg(*[F.first(o, ignorenulls=True).alias(f"_p{j}") for j, o in enumerate(own)])
+    state = null_safe_join(counts, parts, on)
+
+    def cut(j):
+        count, part = F.coalesce(F.col(f"_p{j}.c"), F.lit(0)), F.col(f"_p{j}.g")
+        rank, upto, lo, hi = F.lit(probs[j]) * (F.col("_n") - 1), F.col(f"_upto{j}"), F.col(f"_lo{j}"), F.col(f"_hi{j}")
+        cell = CUTS / F.greatest(count, F.lit(1))
+        low, high = F.floor((rank - upto) * cell).cast("int") - slack, F.ceil((rank - upto + 1) * cell).cast("int") + slack
+        new_lo = F.when(F.floor(rank) >= upto + count, hi).when(low > 0, F.get(part, low)).otherwise(lo)
+        new_hi = F.when(F.ceil(rank) < upto, lo).when(high < CUTS, F.get(part, F.greatest(high, F.lit(0)))).otherwise(hi)
+        share = F.least((F.least(high, F.lit(CUTS)) - F.greatest(low, F.lit(0)) + 2.0 * CUTS / accuracy) / CUTS, F.lit(1.0))
+        return {f"_lo{j}": new_lo, f"_hi{j}": new_hi}, F.when(new_lo >= new_hi, F.lit(1.0)).otherwise(share * count + 2)
+
+    cuts = [cut(j) for j in every]
+    lefts = [c[1] for c in cuts]
+    most: Column = reduce(F.greatest, lefts[1:], lefts[0])
+    return state.select(*on, "_n", *[e.alias(n) for c in cuts for n, e in c[0].items()], most.alias("_left"))
 
 
 def quantile(df: DataFrame, keys, value, p: float, name: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Slices of any size must give what one slice gives, and what numpy gives."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from keelson.operators import audit, metadata, missing, ordered, profile, windows
-from keelson.operators.quantiles import bracketed_quantiles, quantiles
+from keelson.operators.quantiles import quantiles
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -25,11 +26,13 @@ def collect(df):
 def test_quantiles_match_numpy(spark, values):
     df = frame(spark, values)
     probs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
-    out = {r["k"]: r["q"] for r in bracketed_quantiles(df, ["k"], "v", probs, accuracy=40).collect()}
-    for key in {"a", "b"}:
-        own = [v for i, v in enumerate(values) if v is not None and ("a", "b")[i % 3 == 0] == key]
-        if own:
-            assert out[key] == pytest.approx(np.percentile(own, [100 * p for p in probs]), abs=1e-9)
+    for most in (10 ** 6, 8):                       # 8: brackets are narrowed until they hold next to nothing
+        out = {r["k"]: (r["q"], r["w"]) for r in quantiles(df, ["k"], {"q": "v", "w": -F.col("v")}, probs, 40, most).collect()}
+        assert set(out) == {("a", "b")[i % 3 == 0] for i in range(len(values))}
+        for key in out:
+            own = [v for i, v in enumerate(values) if v is not None and ("a", "b")[i % 3 == 0] == key]
+            for found, side in zip(out[key], (1, -1)):
+                assert (found == pytest.approx(np.percentile([side * v for v in own], [100 * p for p in probs]), abs=1e-9)) if own else found is None
 
 
 def test_quantiles_with_hot_values_and_tiny_sketch(spark):
@@ -37,8 +40,17 @@ def test_quantiles_with_hot_values_and_tiny_sketch(spark):
     values = np.concatenate([np.full(4000, 3.0), rng.normal(size=3000), rng.integers(0, 5, 3000).astype(float)])
     df = spark.createDataFrame([("x", float(v)) for v in values], "k string, v double").repartition(8)
     probs = [0.001, 0.05, 0.333, 0.5, 0.77, 0.95, 0.999]
-    got = bracketed_quantiles(df, ["k"], "v", probs, accuracy=100).first()["q"]
-    assert got == pytest.approx(np.percentile(values, [100 * p for p in probs]), abs=1e-12)
+    for most in (10 ** 6, 30):
+        got = quantiles(df, ["k"], {"q": "v"}, probs, 100, most).first()["q"]
+        assert got == pytest.approx(np.percentile(values, [100 * p for p in probs]), abs=1e-12)
+
+
+def test_quantiles_of_many_distinct_values_in_narrow_brackets(spark):
+    """10**6 distinct values beside a heavy one, with brackets cut down to 500 values."""
+    df = spark.range(10 ** 6, numPartitions=8).select((F.col("id") * 1.5 - 7).alias("v")).union(spark.range(400_000).select(F.lit(99.5)))
+    want = np.percentile(np.concatenate([np.arange(10 ** 6) * 1.5 - 7, np.full(400_000, 99.5)]), [0.001, 2, 28.576, 50, 99.9])
+    got = quantiles(df, [], {"q": "v"}, [0.00001, 0.02, 0.28576, 0.5, 0.999], accuracy=1000, most=500).first()["q"]
+    assert got == pytest.approx(want, abs=1e-9)
 
 
 @SLOW
@@ -76,7 +88,7 @@ def test_runs_and_positions_sliced_equal_plain(spark, values):
     lambda v: profile.ecdf(v, ["GPSSpeed_kn"], points=50),
 ])
 def test_reports_do_not_depend_on_the_slices(spark, report):
-    from conftest import SF
+    from oracle_check import SF
     from workload.base import vessel
     plain = collect(report(vessel(spark, SF)))
     spark.conf.set(ordered.SLICE_CONF, "60")
@@ -131,3 +143,84 @@ def test_detectors_do_not_depend_on_the_layout(spark):
         assert found[0] == found[1] and any(flag for _, flag in found[0].values())
     with pytest.raises(Exception, match="rid is null"):
         IsolationForest.fit(df.withColumn("rid", F.lit(None).cast("bigint")), ["a", "b", "c"], modes=modes, trees=3)
+
+
+def blobs(spark, n=3000, centres=((0, 0, 0), (6, 0, 3), (0, 8, -3))):
+    rng = np.random.default_rng(5)
+    data = [(i, *map(float, rng.normal(centres[i % len(centres)], 0.5))) for i in range(n)]
+    return spark.createDataFrame(data, "rid bigint, a double, b double, c double")
+
+
+def test_clustering_does_not_depend_on_the_layout(spark):
+    from keelson.operators.modes import gmm_modes, kmeans_modes
+    df, found = blobs(spark), []
+    for parts in (4, 12):
+        laid = df.repartition(parts)
+        means = kmeans_modes(laid, ["a", "b", "c"], 3)
+        mixtures = [gmm_modes(laid, ["a", "b", "c"], 3, kind, restarts=2) for kind in ("full", "diag", "spherical")]
+        found.append((means.centres, [(m.means.tolist(), m.covariances.tolist(), m.log_likelihood) for m in mixtures]))
+    assert found[0] == found[1]
+    assert np.abs(np.sort(np.array(found[0][0]), axis=0) - np.sort([(0, 0, 0), (6, 0, 3), (0, 8, -3)], axis=0)).max() < 0.1
+    assert all(m.converged and m.weights.max() < 0.36 for m in mixtures)
+
+
+def test_kmeans_equals_plain_iterations(spark):
+    """Every restart ends where plain Lloyd iterations from the same start end, and the cheapest wins."""
+    from keelson.operators import modes
+    df = blobs(spark, 900, ((0, 0, 0), (2, 0, 1), (0, 2, -1), (2, 2, 0)))
+    vectors, lo, hi = modes._scaled_vectors(df, ["a", "b", "c"])
+    x = vectors.select("a", "b", "c").toPandas().to_numpy()
+    starts, variance = modes._starts(vectors, ["a", "b", "c"], 4, 42, 3)
+    assert variance == pytest.approx(x.var(axis=0).mean())
+    for start, (centres, cost) in zip(starts, modes._lloyd(vectors, ["a", "b", "c"], starts, 300, 1e-8)):
+        c = start
+        for _ in range(300):
+            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[own == j].mean(axis=0) for j in range(4)])
+            if ((new - c) ** 2).sum() <= 1e-8:
+                break
+            c = new
+        assert np.allclose(centres, c, atol=1e-9) and np.isclose(cost, ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    with pytest.raises(ValueError, match="no complete row"):
+        modes.kmeans_modes(df.where("false").withColumn("a", F.lit(None).cast("double")), ["a", "b", "c"], 2)
+
+
+def test_one_cluster_and_equal_rows(spark):
+    from keelson.operators.modes import kmeans_modes
+    same = spark.createDataFrame([(i, 1.0, 2.0) for i in range(20)], "rid bigint, a double, b double")
+    assert kmeans_modes(same, ["a", "b"], 3).centres == [[1.0, 2.0]] * 3
+    assert kmeans_modes(blobs(spark, 60), ["a"], 1).centres[0][0] == pytest.approx(blobs(spark, 60).agg({"a": "avg"}).first()[0], abs=1e-8)
+
+
+def test_exact_sums_do_not_depend_on_the_order(spark):
+    from keelson.operators.exact import SCALE, fixed, row_sums
+    rng = np.random.default_rng(1)
+    values = rng.normal(0, 100, 30_000) * 10.0 ** rng.integers(-9, 1, 30_000)
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    sums = [row_sums(df.repartition(p), ["v"], 1, lambda x: np.array([fixed(x[:, 0]).sum()]))[0] for p in (1, 5, 16)]
+    assert sums[0] == sums[1] == sums[2] and abs(sums[0] - values.sum()) < len(values) / SCALE
+
+
+def test_autoencoder_losses_equal_numpy(spark):
+    """The training equals mini-batch Adam in numpy on the same batches, whatever the layout."""
+    from keelson.operators import autoencoder as ae
+    rng = np.random.default_rng(2)
+    data = [(i, i % 2, *map(float, rng.uniform(size=3))) for i in range(1400)] + [(5000 + i, 2, 0.5, 0.5, 0.1 * i / 60) for i in range(60)]
+    df, columns, rows = spark.createDataFrame(data, "rid bigint, cluster_id int, a double, b double, c double"), ["a", "b", "c"], {0: 700, 1: 700, 2: 60}
+    place = ae.placed(df, rows, 32, 42).toPandas()
+    sizes, want = ae.layer_sizes(3), {}
+    for c, n in rows.items():
+        own, steps = place[place.cluster_id == c], ae.steps_of(n, 32)
+        w = ae.initial_weights(sizes, [42, c + 1])
+        state, want[c] = (w, np.zeros(len(w)), np.zeros(len(w)), 0), []
+        for epoch in range(3):
+            for parts in ae.epoch_parts(42, epoch, c, steps):
+                x = own[own.part.isin(parts)][columns].to_numpy()
+                if len(x):
+                    want[c].append(((ae.forward(state[0], sizes, x)[-1] - x) ** 2).mean())
+                    state = ae.adam(state, ae.gradient(state[0], sizes, x), ae.step_rate(1e-3, n, 32, steps))
+    got = [ae.train(df.repartition(p), columns, rows, epochs=3) for p in (4, 12)]
+    assert got[0][1] == got[1][1] and all((got[0][0][c] == got[1][0][c]).all() for c in rows)
+    for c in rows:
+        assert len(want[c]) == 3 * ae.steps_of(rows[c], 32) and np.allclose(got[0][1][c], want[c], rtol=0, atol=1e-8)
+    assert ae.steps_of(10 ** 9, 32) == ae.MAX_STEPS
