@@ -374,6 +374,9 @@ UNIT_CHECKS = (
 
 # ------------------------------------------------------------------------- end of fixed values
 
+#: The fuel signal under either of its names.
+FUEL_COLUMNS = ("Fuel_Consumption_rate", "Fuel_Consumption_t_per_day")
+
 
 def detect_vessel(path: str) -> VesselConfig:
     """Config whose hint occurs in the path (case-insensitive); DEFAULT when none does."""

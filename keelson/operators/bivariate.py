@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .. import config as cfg
 from ..functions.columns import count_where, half_even, month_key, null_safe_join, wrap_angle
 from .ordered import attach, settled
 from .normalize import thin_every_kth
@@ -187,7 +188,7 @@ def bivariate_point_tables(df: DataFrame, keys=KEYS, rid="rid", tables=POINT_TAB
         ok = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()
         for c in {x, y, z}:
             ok = ok & {POWER: (F.col(c) >= 0) if x == SPEED else F.lit(True), SPEED: F.col(c) >= 0, DRAFT: F.col(c) > 0,
-                       WIND: F.col(c) >= 0, FUEL: F.col(c) >= 0}.get(c, F.lit(True))
+                       WIND: F.col(c) >= 0, FUEL: F.col(c) >= 0}.get(FUEL if c in cfg.FUEL_COLUMNS else c, F.lit(True))
         rows = df.where(ok)
         part = attach(rows, with_quantiles(rows, keys, {"z": z}, [lo, hi], ["lo", "hi"]), keys).select(
             F.lit(name).alias("point_table"), *keys, rid, F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"), "z_lo", "z_hi")

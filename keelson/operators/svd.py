@@ -14,7 +14,7 @@ from .ensemble import apply_thresholds, threshold_by_group
 from .flags import complete
 from .modes import ModeModel, kmeans_modes
 from .normalize import fit_minmax, minmax_scale
-from .ordered import settled
+from .ordered import settled, written
 
 CLUSTER = ("cluster_id",)
 UNIT = "_u"          # suffix of scaled feature columns
@@ -96,8 +96,6 @@ def svd_fit(df: DataFrame, columns, n_components: int = 3, keys=CLUSTER) -> Data
 def residual(columns, k: int, v: Column) -> Column:
     """|x|² - Σ (x·v_j)², clamped at 0, with the joined component array `v`."""
     d = len(columns)
-    if d > NARROW:
-        return _wide_residual(F.array(*[F.col(c) for c in columns]), v)
     norm = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in columns])
     for j in range(k):
         dot = reduce(lambda a, b: a + b, [F.col(c) * v[j * d + i] for i, c in enumerate(columns)])
@@ -105,21 +103,62 @@ def residual(columns, k: int, v: Column) -> Column:
     return F.greatest(norm, F.lit(0.0))
 
 
+WIDE_NUMBERS = 2_000_000        # components broadcast as one matrix per key; beyond this they are joined to the rows
+
+
+def _plain(key) -> tuple:
+    return tuple(None if pd.isna(k) else k for k in key)
+
+
+def _block_residual(spark: SparkSession, components: DataFrame, columns, k: int, keys) -> Column | None:
+    """`residual` of wide rows by matrix products: the rows of a batch that share a key against that key's broadcast components.
+
+    None if the components of all keys are more than WIDE_NUMBERS numbers.
+    """
+    most = WIDE_NUMBERS // (k * len(columns))
+    found = components.select(*keys, "v").limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    shared = spark.sparkContext.broadcast({_plain(r[:-1]): np.array(r["v"]).reshape(k, -1) for r in found})
+    n_keys = len(keys)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(*series: pd.Series) -> pd.Series:
+        x = np.column_stack([s.to_numpy(dtype=float) for s in series[n_keys:]])
+        out = np.full(len(x), np.inf)
+        frame = pd.DataFrame({i: s.to_numpy() for i, s in enumerate(series[:n_keys])})
+        for key, rows in frame.groupby(list(frame.columns), dropna=False).indices.items():
+            v = shared.value.get(_plain(key if isinstance(key, tuple) else (key,)))
+            if v is not None:
+                out[rows] = np.maximum((x[rows] ** 2).sum(axis=1) - ((x[rows] @ v.T) ** 2).sum(axis=1), 0.0)
+        return pd.Series(out)
+
+    return score(*[F.col(c) for c in (*keys, *columns)])
+
+
 @F.pandas_udf(T.DoubleType())
-def _wide_residual(x: pd.Series, v: pd.Series) -> pd.Series:
-    """Arrow form of `residual` for wide vectors."""
-    rows = np.stack(x.to_numpy())
-    comps = np.stack(v.to_numpy()).reshape(len(rows), -1, rows.shape[1])
-    dots = np.einsum("nd,nkd->nk", rows, comps)
-    return pd.Series(np.maximum((rows ** 2).sum(axis=1) - (dots ** 2).sum(axis=1), 0.0))
+def _joined_residual(v: pd.Series, *x: pd.Series) -> pd.Series:
+    """The same with the components of each row joined to it."""
+    rows = np.column_stack([c.to_numpy(dtype=float) for c in x])
+    out = np.full(len(rows), np.inf)
+    have = np.flatnonzero(v.notna())
+    if len(have):
+        comps = np.stack(v.iloc[have].to_numpy()).reshape(len(have), -1, rows.shape[1])
+        out[have] = np.maximum((rows[have] ** 2).sum(axis=1) - (np.einsum("nd,nkd->nk", rows[have], comps) ** 2).sum(axis=1), 0.0)
+    return pd.Series(out)
 
 
 def svd_score(df: DataFrame, components: DataFrame, columns, n_components: int = 3, name="score_svd", keys=CLUSTER) -> DataFrame:
     """Score every row; keys without a model score +infinity."""
     k = min(n_components, len(columns) - 1) if len(columns) > 1 else 1
+    if len(columns) > NARROW:
+        score = _block_residual(df.sparkSession, components, columns, k, keys)
+        if score is not None:
+            return df.withColumn(name, score)
     joined = null_safe_join(df, components.select(*keys, "v"), keys)
-    v = F.col("v") if len(columns) <= NARROW else F.coalesce("v", F.array_repeat(F.lit(0.0), k * len(columns)))
-    return joined.withColumn(name, F.when(F.col("v").isNotNull(), residual(columns, k, v)).otherwise(F.lit(float("inf")))).drop("v")
+    if len(columns) > NARROW:
+        return joined.withColumn(name, _joined_residual("v", *[F.col(c) for c in columns])).drop("v")
+    return joined.withColumn(name, F.when(F.col("v").isNotNull(), residual(columns, k, F.col("v"))).otherwise(F.lit(float("inf")))).drop("v")
 
 
 def svd_predict(df: DataFrame, thresholds: DataFrame, score="score_svd", flag="is_svd_anomaly", keys=CLUSTER) -> DataFrame:
@@ -145,7 +184,7 @@ class ClusteredSVD:
     def fit(df: DataFrame, features, n_clusters: int = 4, n_components: int = 3, percentile: float = 95.0, seed: int = 42,
             restarts: int = 10, modes: ModeModel | None = None) -> "ClusteredSVD":
         modes = modes or kmeans_modes(df, features, n_clusters, seed, restarts)
-        rows = modes.assign(df.where(complete(modes.features)))
+        rows = written(modes.assign(df.where(complete(modes.features))).select(*CLUSTER, *modes.features))
         scaler = settled(fit_minmax(rows, modes.features, CLUSTER))
         model = ClusteredSVD(modes, scaler, None, None, n_components)
         scaled = model._scale(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import half_even, seconds
@@ -94,15 +96,12 @@ def rolling_median_by(df: DataFrame, value: str, by: str, keys=("vessel_id",), r
         "clipped", F.least(F.greatest(F.col(value), -F.col("_p99")), F.col("_p99"))).drop("_p99")
     half = rows // 2
 
-    def cols(w):
-        w = w.rowsBetween(-half, half - 1)
-        return {"_near": F.collect_list("clipped").over(w)}
+    def medians(values):
+        # a trailing window that ends half - 1 rows later; its ordered values are kept in a skip list that rows enter and leave
+        ahead = pd.Series(np.concatenate([values, np.full(half - 1, np.nan)]))
+        return ahead.rolling(2 * half, min_periods=at_least).median().to_numpy()[half - 1:]
 
-    # the frame holds at most `rows` values, so each is sorted in place inside the row
-    near, n = F.sort_array("_near"), F.size("_near")
-    middle = (F.get(F.col("_near"), F.floor((n - 1) / 2).cast("int")) + F.get(F.col("_near"), F.floor(n / 2).cast("int"))) / 2
-    framed = Ordered(clipped, keys, [by, rid]).frame(cols, before=half, after=half).result()
-    return (framed.withColumn("_near", near).withColumn(name, F.when(n >= at_least, middle)).drop("_near"))
+    return Ordered(clipped, keys, [by, rid]).sliding(half, half, name, "clipped", medians).result()
 
 
 def leg_direction(df: DataFrame, lat="GPS_LAT", keys=("vessel_id",), order=("rid",)) -> DataFrame:
