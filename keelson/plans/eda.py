@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config as cfg
-from ..operators import audit, bivariate, flags, metadata, missing, profile
+from ..operators import audit, bivariate, flags, metadata, missing, profile, windows
+from ..operators.ordered import durable
 from ..sources.files import load_raw
 
+#: Longer distribution curves are thinned to this many evenly spaced ranks.
+CURVE_POINTS = 1_000
+
 
 def eda_reports(df: DataFrame, config: cfg.VesselConfig) -> dict[str, DataFrame]:
     """Report name -> DataFrame, phases in order. Reports that need absent columns are left out."""
@@ -22,6 +26,7 @@ def eda_reports(df: DataFrame, config: cfg.VesselConfig) -> dict[str, DataFrame]
         out["time_axis_gaps"] = audit.long_gap_catalogue(df, e)
         out["time_axis_missing_by_day"] = audit.coverage_by_day(df, e)
         out["time_axis_monthly"] = audit.monthly_gap_coverage(df, e)
+        out["time_axis_calendar"] = audit.coverage_calendar(df, e)
     report = missing.missing_report(df, every)
     out["missingness_overall"] = report
     ranked = missing.columns_of_interest(report).groupBy("signal").agg(F.min("position").alias("position"))
@@ -29,6 +34,7 @@ def eda_reports(df: DataFrame, config: cfg.VesselConfig) -> dict[str, DataFrame]
     out["missingness_comissing"] = missing.comissing_jaccard(df, interest)
     out["missingness_blocks"] = missing.outage_blocks(df, interest)
     out["missingness_block_summary"] = missing.outage_block_summary(missing.outage_blocks(df, interest))
+    out["missingness_summary"] = missing.missing_audit_summary(df, interest)
     out["missingness_simultaneous"] = flags.simultaneous_failure(df)
     for period in ("day", "week", "month"):
         out[f"missingness_by_{period}"] = missing.missingness_by_period(df, interest, period)
@@ -41,13 +47,66 @@ def eda_reports(df: DataFrame, config: cfg.VesselConfig) -> dict[str, DataFrame]
     out["temporal_coverage"] = audit.temporal_coverage(df)
     out["univariate_report"] = profile.univariate_report(df, signals, config)
     out["grouped_correlations"] = profile.grouped_correlations(df, signals, config)
-    fuel = next((c for c in ("Fuel_Consumption_rate", "Fuel_Consumption_t_per_day") if c in df.columns), None)
-    if fuel and {bivariate.POWER, bivariate.SPEED, bivariate.DRAFT, bivariate.WIND} <= set(df.columns):
-        out["bivariate_report"] = bivariate.bivariate_report(df, fuel=fuel)
+    out["overview"] = profile.series_overview(df, signals)
+    out |= distributions(df, signals, config)
+    out |= signal_pairs(df)
     out["metadata"] = metadata.variable_metadata(df, signals, config)
     return out
 
 
+def distributions(df: DataFrame, signals, config: cfg.VesselConfig) -> dict[str, DataFrame]:
+    """Name -> report on the distribution of every signal, of its rate of change, and per month and week."""
+    out = {
+        "histogram": profile.signal_histogram(df, signals),
+        "grouped_histogram": profile.grouped_histogram(df, signals, config),
+        "kde": profile.kde_curve(df, signals),
+        "ecdf": profile.ecdf(df, signals, points=CURVE_POINTS),
+    }
+    if "Date" in df.columns:
+        out["rate_of_change"] = profile.roc_histogram(windows.signal_steps(df.where(F.col("Date").isNotNull()), signals))
+        out |= {f"period_boxes_{p}": profile.period_box_stats(df, signals, p) for p in ("month", "week")}
+    return out
+
+
+def signal_pairs(df: DataFrame) -> dict[str, DataFrame]:
+    """Name -> report on speed, power, fuel, draft, wind and position, as far as the columns are there."""
+    have, out = set(df.columns), {}
+    fuel = next((c for c in cfg.FUEL_COLUMNS if c in have), None)
+    power, speed, draft, wind, angle = bivariate.POWER, bivariate.SPEED, bivariate.DRAFT, bivariate.WIND, bivariate.ANGLE
+    if {power, speed} <= have:
+        out["power_speed_density"] = profile.density_2d(df)
+        out["cubic_fit"] = bivariate.cubic_fit(df)
+        out["cubic_curve"] = bivariate.cubic_curve(out["cubic_fit"])
+        if draft in have:
+            out["draft_bands"] = bivariate.draft_quartile_bands(df)
+        if "GPS_LAT" in have:
+            out["leg_directions"] = bivariate.leg_direction_split(df)
+        if "Date" in have:
+            out["monthly_split"] = bivariate.monthly_split(df)
+        if wind in have:
+            residuals = durable(bivariate.detrended_residuals(df))
+            out["rolling_residual"] = windows.rolling_median_by(residuals, "residual", wind).select("vessel_id", "rid", wind, "clipped", "rolling_median")
+            if angle in have:
+                out["wind_sectors"] = bivariate.wind_sector_stats(residuals)
+                out["wind_rose"] = bivariate.wind_rose(df)
+    if fuel and power in have:
+        out["fuel_power_fit"] = bivariate.linear_fit(df, power, fuel)
+        if "Date" in have:
+            out["monthly_slopes"] = bivariate.monthly_slopes(df, power, fuel)
+            rows = df.where((F.col(power) >= 0) & (F.col(fuel) >= 0))
+            out["rolling_fuel_power"] = windows.rolling_mean_centered(rows, [fuel, power]).select("vessel_id", "rid", "Date", f"roll_{fuel}", f"roll_{power}")
+    if fuel and {power, speed, draft, wind} <= have:
+        out["bivariate_report"] = bivariate.bivariate_report(df, fuel=fuel)
+    points = {n: tuple(fuel if fuel and c == bivariate.FUEL else c for c in t) for n, t in bivariate.POINT_TABLES.items()}
+    points = {n: t for n, t in points.items() if set(t[:3]) <= have}
+    if points:
+        out["point_tables"] = bivariate.bivariate_point_tables(df, tables=points)
+    if {"GPS_LAT", "GPS_LON"} <= have:
+        out["track"] = bivariate.track_points(df).select("vessel_id", "rid", "GPS_LAT", "GPS_LON")
+        out["track_summary"] = bivariate.track_summary(df)
+    return out
+
+
 def run_eda(spark: SparkSession, path: str, output: str) -> dict:
     """Load once, store the normalised rows, and write every report under <output>/<vessel>."""
     config = cfg.detect_vessel(path)

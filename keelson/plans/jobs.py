@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config as cfg
-from ..operators import classify, ensemble, flags, modes, normalize, profile
+from ..operators import classify, ensemble, flags, modes, normalize, profile, windows
 from ..operators.detectors import DETECTORS
 from ..operators.metadata import refresh_metadata
 from ..sources import store as st
@@ -128,9 +128,32 @@ def stage_detect(spark: SparkSession, run: RunConfig) -> dict:
     }
     for name, table in reports.items():
         table.coalesce(1).write.mode("overwrite").parquet(run.folder(name))
+    for name, table in detect_tables(annotated, features).items():
+        table.write.mode("overwrite").parquet(run.folder(name))
     return {"methods": list(run.methods), "avg_threshold": ensemble.avg_threshold(thresholds).first()[0]}
 
 
+def detect_tables(annotated: DataFrame, features) -> dict[str, DataFrame]:
+    """Name -> table of the reports on the annotated rows, those that the columns allow. Some have a row per reading."""
+    have = set(annotated.columns)
+    runs = windows.anomaly_runs(annotated)
+    out = {
+        "cluster_anomaly_rate": ensemble.cluster_anomaly_rate(annotated),
+        "feature_boxes": ensemble.feature_box_normal_vs_anomaly(annotated, features),
+        "flagged_series": ensemble.flagged_series(annotated, features),
+        "cluster_pairs": ensemble.cluster_pair_table(annotated),
+        "anomaly_runs": runs,
+        "anomaly_run_lengths": windows.run_length_histogram(runs),
+        "rolling_anomaly_rate": windows.rolling_rate(annotated).select("vessel_id", "rid", "Date", "rolling_rate_pct"),
+    }
+    if {"GPS_LAT", "GPS_LON"} <= have:
+        out["spatial_scores"] = ensemble.spatial_score_table(annotated)
+    fuel = next((c for c in cfg.FUEL_COLUMNS if c in have), None)
+    if fuel and {"GPSSpeed_kn", "Main_Engine_Power_kW"} <= have:
+        out["power_speed_fuel"] = ensemble.power_speed_fuel_diag(annotated, fuel=fuel)
+    return out
+
+
 def stage_classify(spark: SparkSession, run: RunConfig) -> dict:
     out = classify.classify_anomalies(spark.read.parquet(run.folder("annotated")))
     out.write.mode("overwrite").parquet(run.folder("classified"))

@@ -88,7 +88,6 @@ def _svd_scored(s, d):
 
 
 SVD_ROWS = ID + ["cluster_id", "score_svd"]
-SMALL = dict(n_clusters=3, restarts=2)
 
 
 def _vectors(s, d):
@@ -97,47 +96,47 @@ def _vectors(s, d):
 
 def _iforest(s, d):
     df = _vectors(s, d)
-    return rounded(IF.IsolationForest.fit(df, FX, trees=20, **SMALL).transform(df).select(*ID, "cluster_id", "score_iforest", "is_iforest_anomaly"))
+    return rounded(IF.IsolationForest.fit(df, FX, 3).transform(df).select(*ID, "cluster_id", "score_iforest", "is_iforest_anomaly"))
 
 
 def _autoencoder(s, d):
     df = _vectors(s, d)
-    return rounded(AE.Autoencoder.fit(df, FX, epochs=3, **SMALL).transform(df).select(*ID, "cluster_id", "score_autoencoder", "is_autoencoder_anomaly"))
+    return rounded(AE.Autoencoder.fit(df, FX, 3).transform(df).select(*ID, "cluster_id", "score_autoencoder", "is_autoencoder_anomaly"))
 
 
 def _clustered(s, d):
     df = _vectors(s, d)
-    return rounded(S.ClusteredSVD.fit(df, FX, **SMALL).transform(df).select(*ID, "cluster_id", "score_svd", "is_svd_anomaly"))
+    return rounded(S.ClusteredSVD.fit(df, FX, 3).transform(df).select(*ID, "cluster_id", "score_svd", "is_svd_anomaly"))
 
 
 def _saved(s, d):
     from .base import scratch
     df, path = _vectors(s, d), scratch(s)
-    S.ClusteredSVD.fit(df, FX, **SMALL).save(s, path)
+    S.ClusteredSVD.fit(df, FX, 3).save(s, path)
     return rounded(detectors.load_detector(s, "svd", path).transform(df).select(*ID, "cluster_id", "score_svd", "is_svd_anomaly"))
 
 
 def _applied(s, d):
-    """A model fitted on one half of the rows, saved, loaded, and applied to all of them."""
+    """A forest fitted on all rows, saved, loaded, and applied to them."""
     from .base import scratch
     df, path = _vectors(s, d), scratch(s)
-    IF.IsolationForest.fit(df.where("l_linenumber <= 3"), FX, trees=10, **SMALL).save(s, path)
+    IF.IsolationForest.fit(df, FX, 3).save(s, path)
     return rounded(detectors.load_detector(s, "iforest", path).transform(df).select(*ID, "cluster_id", "score_iforest", "is_iforest_anomaly"))
 
 
 def _kmeans(s, d):
     df = lines(s, d).drop("cluster_id")
-    return M.kmeans_modes(df, FX, 3, restarts=2).assign(df).select(*ID, "cluster_id")
+    return M.kmeans_modes(df, FX, 3).assign(df).select(*ID, "cluster_id")
 
 
 def _gmm(s, d, kind="full"):
     df = lines(s, d).drop("cluster_id")
-    m = M.gmm_modes(df, FX, 3, kind, restarts=1, max_iter=20)
+    m = M.gmm_modes(df, FX, 3, kind)
     return rounded(M.gmm_summary(m.predict_proba(df), m), 4)
 
 
 def _gmm_scores(s, d):
-    m = M.gmm_modes(lines(s, d).drop("cluster_id"), FX, 3, "diag", restarts=1, max_iter=20)
+    m = M.gmm_modes(lines(s, d).drop("cluster_id"), FX, 3, "diag")
     x = m.scores()
     return cfg.local_table(s, [(float(x["aic"]), float(x["bic"]), bool(x["converged"]), int(x["n_iter"]))],
                            "aic double, bic double, converged boolean, n_iter int")
@@ -261,9 +260,9 @@ QUERIES = {
         SELECT vessel_id, rid, {', '.join(f'round_even({c}, 6) AS {c}' for c in ('GPSSpeed_kn', 'Main_Engine_Power_kW', 'Fuel_Consumption_t_per_day', 'anomaly_score'))},
         is_anomaly, round_even(p.a, 6) AS score_p05, round_even(p.b, 6) AS score_p97 FROM r JOIN p USING (vessel_id)"""),
     "flagged_series": (
-        lambda s, d: rounded(EN.flagged_series(scored(s, d), FEATURES[:3])),
+        lambda s, d: rounded(EN.flagged_series(scored(s, d), FEATURES)),
         f"{VS} " + " UNION ALL ".join(
-            f"SELECT vessel_id, rid, Date, is_anomaly, '{c}' AS signal, round_even({c}, 6) AS value FROM a" for c in FEATURES[:3])),
+            f"SELECT vessel_id, rid, Date, is_anomaly, '{c}' AS signal, round_even({c}, 6) AS value FROM a" for c in FEATURES)),
     "cluster_pair_table": (
         lambda s, d: rounded(EN.cluster_pair_table(scored(s, d))),
         f"{VS} " + " UNION ALL ".join(

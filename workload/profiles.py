@@ -10,9 +10,7 @@ from keelson.operators import windows as W
 
 from .base import FEATURES, SIGNALS, STEP, V, VD, rounded, unpivot_sql, vessel, with_duplicates
 
-FEW = ["GPSSpeed_kn", "Main_Engine_Power_kW", "Fuel_Consumption_t_per_day", "RelWindSpeed_kn"]
 UN = "WITH v AS MATERIALIZED (" + V + " SELECT * FROM v), l AS (" + unpivot_sql(SIGNALS) + ")"
-UF = "WITH v AS MATERIALIZED (" + V + " SELECT * FROM v), l AS (" + unpivot_sql(FEW) + ")"
 
 
 def q(p, x="value"):
@@ -72,7 +70,7 @@ def hist_sql(source, value, bins, lo, hi, keys="vessel_id, signal"):
     h AS (SELECT {', '.join('f.' + x.strip() for x in keys.split(','))}, n, lo, (hi - lo)/k AS w,
       CAST(least(floor((least(greatest({value}, lo), hi) - lo) / ((hi - lo)/k)), k - 1) AS INT) AS bin FROM {source} JOIN f USING ({keys})
       WHERE {value} IS NOT NULL)
-    SELECT {keys}, bin, round_even(any_value(lo + bin * w), 4) AS bin_lo, round_even(any_value(lo + bin * w + w), 4) AS bin_hi,
+    SELECT {keys}, bin, round_even(any_value(lo + bin * w), 5) AS bin_lo, round_even(any_value(lo + bin * w + w), 5) AS bin_hi,
       count(*) AS count, round_even(count(*) / (any_value(n) * any_value(w)), 6) AS density FROM h GROUP BY {keys}, bin"""
 
 
@@ -104,7 +102,7 @@ CASE WHEN rad THEN note_hint WHEN slow AND mx < 15 AND med < 6 THEN note_hint WH
 
 
 def _kde_sql(points=400, cells=2048):
-    return f"""{UF.replace(unpivot_sql(FEW), unpivot_sql(FEW[:2]))},
+    return f"""{UN},
     e AS (SELECT vessel_id, signal, {q(.001)} AS lo, {q(.999)} AS hi FROM l GROUP BY 1, 2),
     x AS (SELECT vessel_id, signal, lo, hi, least(greatest(value, lo), hi) AS x FROM l JOIN e USING (vessel_id, signal)),
     b AS (SELECT vessel_id, signal, least(floor((x-lo)/(hi-lo)*{cells}), {cells - 1}) AS cell, count(*) AS c, avg(x) AS m FROM x GROUP BY 1,2,3),
@@ -156,38 +154,37 @@ QUERIES = {
         FROM l JOIN t USING (vessel_id) JOIN pr USING (signal) JOIN rr USING (vessel_id, signal) GROUP BY 1, 2 HAVING count(*) >= 20"""),
     "unit_sanity_check": (lambda s, d: P.unit_sanity_check(vessel(s, d)), UNITS),
     "period_box_stats": (
-        lambda s, d: rounded(P.period_box_stats(vessel(s, d), FEW, "week")),
-        f"""WITH v AS MATERIALIZED ({V} SELECT * FROM v), l0 AS ({unpivot_sql(FEW)}),
+        lambda s, d: rounded(P.period_box_stats(vessel(s, d), SIGNALS, "week")),
+        f"""WITH v AS MATERIALIZED ({V} SELECT * FROM v), l0 AS ({unpivot_sql(SIGNALS)}),
         l AS (SELECT vessel_id, signal, strftime(Date, '%G-W%V') AS period, value FROM l0), {box_sql('l', 'vessel_id, signal, period')}
         SELECT * FROM bb QUALIFY count(*) OVER (PARTITION BY vessel_id, signal) >= 2"""),
     "period_box_stats_monthly": (
-        lambda s, d: rounded(P.period_box_stats(_two_months(vessel(s, d)), FEW[:2], "month")),
-        f"""WITH v AS MATERIALIZED (SELECT * REPLACE (Date + INTERVAL 15 DAY AS Date) FROM ({V} SELECT * FROM v)), l0 AS ({unpivot_sql(FEW[:2])}),
+        lambda s, d: rounded(P.period_box_stats(_two_months(vessel(s, d)), SIGNALS, "month")),
+        f"""WITH v AS MATERIALIZED (SELECT * REPLACE (Date + INTERVAL 15 DAY AS Date) FROM ({V} SELECT * FROM v)), l0 AS ({unpivot_sql(SIGNALS)}),
         l AS (SELECT vessel_id, signal, strftime(Date, '%Y-%m') AS period, value FROM l0), {box_sql('l', 'vessel_id, signal, period')}
         SELECT * FROM bb QUALIFY count(*) OVER (PARTITION BY vessel_id, signal) >= 2"""),
     "histogram": (
-        lambda s, d: rounded(P.signal_histogram(vessel(s, d), FEW, bins=60, clip=None), bin_lo=4, bin_hi=4),
-        f"{UF}, {hist_sql('l', 'value', '60', 'min(value)', 'max(value)')}"),
+        lambda s, d: rounded(P.signal_histogram(vessel(s, d), SIGNALS, bins=60, clip=None), bin_lo=5, bin_hi=5),
+        f"{UN}, {hist_sql('l', 'value', '60', 'min(value)', 'max(value)')}"),
     "histogram_adaptive": (
-        lambda s, d: rounded(P.signal_histogram(vessel(s, d), FEW), bin_lo=4, bin_hi=4), f"{UF}, {hist_sql('l', 'value', ADAPT, q(.001), q(.999))}"),
+        lambda s, d: rounded(P.signal_histogram(vessel(s, d), SIGNALS), bin_lo=5, bin_hi=5), f"{UN}, {hist_sql('l', 'value', ADAPT, q(.001), q(.999))}"),
     "grouped_histogram": (
-        lambda s, d: rounded(P.grouped_histogram(vessel(s, d), FEW), bin_lo=4, bin_hi=4),
-        f"""WITH gh AS ({UF}, {hist_sql('l', 'value', '50', q(.01), q(.99))}) SELECT gh.*, CASE signal WHEN 'GPSSpeed_kn' THEN 'navigation'
-        WHEN 'RelWindSpeed_kn' THEN 'weather' ELSE 'engine_propulsion' END AS feature_group FROM gh"""),
+        lambda s, d: rounded(P.grouped_histogram(vessel(s, d), SIGNALS), bin_lo=5, bin_hi=5),
+        f"""WITH gh AS ({UN}, {hist_sql('l', 'value', '50', q(.01), q(.99))}) SELECT gh.*, CASE signal {' '.join(f"WHEN '{c}' THEN '{cfg.group_of(c)}'" for c in SIGNALS)} END AS feature_group FROM gh"""),
     "roc_histogram": (
-        lambda s, d: rounded(P.roc_histogram(W.signal_steps(vessel(s, d), FEW, max_step_s=STEP)), bin_lo=4, bin_hi=4),
-        f"{UF}, {roc_sql('Date, rid')}, {hist_sql('rc', 'roc', ADAPT_ROC, q(.005, 'roc'), q(.995, 'roc'))}"),
+        lambda s, d: rounded(P.roc_histogram(W.signal_steps(vessel(s, d), SIGNALS, max_step_s=STEP)), bin_lo=5, bin_hi=5),
+        f"{UN}, {roc_sql('Date, rid')}, {hist_sql('rc', 'roc', ADAPT_ROC, q(.005, 'roc'), q(.995, 'roc'))}"),
     "kde_curve": (
-        lambda s, d: rounded(P.kde_curve(vessel(s, d), FEW[:2]), x=5, density=8), _kde_sql()),
+        lambda s, d: rounded(P.kde_curve(vessel(s, d), SIGNALS), x=5, density=8), _kde_sql()),
     "ecdf": (
-        lambda s, d: rounded(P.ecdf(vessel(s, d).withColumn("vessel_id", F.lit("fleet")), FEW[:2], points=5000)),
-        f"""{UF.replace(unpivot_sql(FEW), unpivot_sql(FEW[:2]))}, r AS (SELECT 'fleet' AS vessel_id, signal, value,
+        lambda s, d: rounded(P.ecdf(vessel(s, d).withColumn("vessel_id", F.lit("fleet")), SIGNALS, points=5000)),
+        f"""{UN}, r AS (SELECT 'fleet' AS vessel_id, signal, value,
         row_number() OVER (PARTITION BY signal ORDER BY value, rid) - 1 AS i, count(*) OVER (PARTITION BY signal) AS n FROM l)
         SELECT vessel_id, signal, round_even(value, 6) AS value, round_even((i+1)/n, 6) AS cumulative FROM r
         WHERE n <= 5000 OR round_even(round_even(i*4999/(n-1), 0)*(n-1)/4999, 0) = i"""),
     "cumulative_distribution": (
-        lambda s, d: rounded(P.ecdf(vessel(s, d), FEW[:2], points=1_000_000_000)),
-        f"""{UF.replace(unpivot_sql(FEW), unpivot_sql(FEW[:2]))} SELECT vessel_id, signal, round_even(value, 6) AS value,
+        lambda s, d: rounded(P.ecdf(vessel(s, d), SIGNALS, points=1_000_000_000)),
+        f"""{UN} SELECT vessel_id, signal, round_even(value, 6) AS value,
         round_even(row_number() OVER (PARTITION BY vessel_id, signal ORDER BY value, rid) / count(*) OVER (PARTITION BY vessel_id, signal), 6) AS cumulative FROM l"""),
     "density_2d": (
         lambda s, d: rounded(P.density_2d(vessel(s, d))),
@@ -202,8 +199,8 @@ QUERIES = {
         CAST({' + '.join(f"(count(*) > count({c}))::INT" for c in SIGNALS)} AS BIGINT) AS n_columns_with_missing FROM c GROUP BY 1)
         UNPIVOT w ON COLUMNS(* EXCLUDE (vessel_id)) INTO NAME metric VALUE value"""),
     "series_overview": (
-        lambda s, d: rounded(P.series_overview(vessel(s, d), FEW)),
-        f"""{UF}, t AS (SELECT vessel_id, count(*) AS nt FROM v GROUP BY 1) SELECT vessel_id, signal, count(*) AS n,
+        lambda s, d: rounded(P.series_overview(vessel(s, d), SIGNALS)),
+        f"""{UN}, t AS (SELECT vessel_id, count(*) AS nt FROM v GROUP BY 1) SELECT vessel_id, signal, count(*) AS n,
         any_value(nt) - count(*) AS n_missing, {re(q(.01), 6)} AS p01, {re(q(.5), 6)} AS median, {re(q(.99), 6)} AS p99
         FROM l JOIN t USING (vessel_id) GROUP BY 1, 2"""),
 }

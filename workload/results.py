@@ -1,21 +1,24 @@
 """Result-store, stage-table, streaming and whole-job queries."""
 
-from pyspark.sql import Window, functions as F
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from keelson import config as cfg
 from keelson.operators import classify as C
 from keelson.operators import flags as L
 from keelson.operators import profile as P
 from keelson.operators.svd import ClusteredSVD
-from keelson.plans import eda, jobs
-from keelson.sources import store as st
+from keelson.plans import jobs
+from keelson.sources import files, store as st
 from keelson.streaming import live
 
 from .base import FEATURES, FLAG_SQL, INTERVAL, V, VS, VESSEL_SELECT, _split, rounded, scored, scratch, table, vessel
 from .detect import ASSIGN, CENTRES, CF, _names
 from .profiles import UN
 from .rules import CL, _checks
-from .sources import raw_folder
+from .sources import LOADED, RAWED, raw_folder
 
 
 def filled(s, d, reviews=False):
@@ -121,6 +124,16 @@ def _report(s, d):
     return st.run_report(scored(s, d), store).where("section <> 'runs' AND key NOT IN ('first_date', 'last_date')")
 
 
+def _cleared(s, d):
+    """Anomalies before and after clearing, the reviews left, and the first id that is given out afterwards."""
+    store = filled(s, d, reviews=True)
+    before = store.read("anomalies").count()
+    store.clear_anomalies(confirm=True)
+    store.append_anomalies(C.classify_anomalies(scored(s, d)).where("is_anomaly").limit(1), 50.0)
+    after = store.read("anomalies").agg(F.min("id").alias("next_id"), (F.count(F.lit(1)) - 1).alias("after"))
+    return after.select(F.lit(before).cast("bigint").alias("before"), "after", F.lit(store.read("reviews").count()).cast("bigint").alias("reviews"), "next_id")
+
+
 def _stream(s, d, columns=()):
     """The events file as a stream, in the vessel projection."""
     raw = table(s, d, "events")
@@ -136,7 +149,7 @@ def _drained(s, stream, schema=None):
 
 def _stream_score(s, d):
     features = ["GPSSpeed_kn", "Avg_draft_m", "Trim_m"]
-    model = ClusteredSVD.fit(vessel(s, d), features, n_clusters=2, n_components=2, restarts=1)
+    model = ClusteredSVD.fit(vessel(s, d), features, n_components=2)
     root = scratch(s)
     model.save(s, root)
     loaded = ClusteredSVD.load(s, root, 2)
@@ -146,34 +159,52 @@ def _stream_score(s, d):
     return live_rows.join(batch, "rid").select("rid", "flag_any_constraint", same.alias("equals_batch"))
 
 
-RUN = dict(n_clusters=3, restarts=1, trees=10, epochs=1)
+_RUNS: dict = {}
 
 
-def _staged_run(s, d):
-    run = jobs.RunConfig(raw_folder(s, d), scratch(s), skip_eda=True, skip_metadata=True, methods=("svd", "iforest", "autoencoder"), **RUN)
-    jobs.run_all(s, run)
-    return s.read.parquet(run.folder("detection_summary"))
+def _done(s, d, *stages):
+    """The one run of all stages over the bound data, with the default parameters and every method; the queries on its stages
+    share it, so each stage runs once in a session."""
+    run, done = _RUNS.setdefault((s.sparkContext.applicationId, d), (jobs.RunConfig(raw_folder(s, d), scratch(s)), set()))
+    for stage in stages:
+        if stage not in done:
+            jobs.run_all(s, replace(run, only_stage=stage))
+            done.add(stage)
+    return run
+
+
+def _stage(name, *stages):
+    return lambda s, d: s.read.parquet(_done(s, d, *stages).folder(name))
 
 
-def _stage(name, table_name, *before):
-    def query(s, d):
-        run = jobs.RunConfig(raw_folder(s, d), scratch(s), methods=("svd",), **RUN)
-        for step in (*before, name):
-            getattr(jobs, f"stage_{step}")(s, run)
-        if table_name == "anomalies":
-            return st.ResultStore(s, run.store_root()).anomaly_summary().drop("first_seen", "last_seen")
-        return s.read.parquet(run.folder(table_name))
-    return query
+def _saved_anomalies(s, d):
+    return rounded(st.ResultStore(s, _done(s, d, "03", "05", "06", "07").store_root()).anomaly_summary())
+
+
+def _staged_run(s, d):
+    """The report that the last of the seven stages writes."""
+    run = _done(s, d, "01", "02", "03", "04", "05", "06", "07")
+    return s.read.text(run.folder("report")).select(F.split("value", "\t").alias("p")).select(
+        F.col("p")[0].alias("section"), F.col("p")[1].alias("key"), F.get("p", F.lit(2)).alias("value"))
 
 
 def _eda_run(s, d):
-    """All reports of the exploratory run; the row counts of each."""
-    reports = eda.eda_reports(vessel(s, d), cfg.DEFAULT)
-    out = None
-    for name, df in reports.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("report"), "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All reports of the exploratory run, row by row as JSON."""
+    folder, fs = files.file_system(s, f"{_done(s, d, '01').folder('eda')}/stenaline")
+    names = sorted(status.getPath().getName() for status in fs.listStatus(folder))
+    reports = [s.read.parquet(f"{folder.toString()}/{n}").select(F.lit(n).alias("report"), F.to_json(F.struct("*")).alias("row"))
+               for n in names if n != "normalised"]
+    return reduce(DataFrame.unionByName, reports)
+
+
+CLEANED = [c for c in cfg.STENALINE.feature_cols if c in LOADED]
+CLEAN_SQL = f"""{RAWED}, f AS (SELECT *, {' AND '.join(f'{c} IS NOT NULL' for c in CLEANED)} AS ok, coalesce(Main_Engine_Power_kW < 0, false) AS flag_negative_power,
+ coalesce(abs(Trim_m) > 5, false) AS flag_extreme_trim, coalesce(Avg_draft_m <= 0, false) AS flag_invalid_draft FROM r),
+ w AS (SELECT 'stenaline' AS vessel_id, count(*) AS total_records, count(*) FILTER (ok) AS valid_records, count(*) FILTER (NOT ok) AS missing_records,
+ CAST({len(CLEANED)} AS BIGINT) AS n_features, count(*) FILTER (ok AND flag_negative_power) AS flag_negative_power,
+ count(*) FILTER (ok AND flag_extreme_trim) AS flag_extreme_trim, count(*) FILTER (ok AND flag_invalid_draft) AS flag_invalid_draft,
+ count(*) FILTER (ok AND (flag_negative_power OR flag_extreme_trim OR flag_invalid_draft)) AS flag_any_constraint FROM f)
+ UNPIVOT w ON COLUMNS(* EXCLUDE (vessel_id)) INTO NAME metric VALUE value"""
 
 
 QUERIES = {
@@ -210,7 +241,8 @@ QUERIES = {
     "mark_reviewed": (
         lambda s, d: rounded(filled(s, d, True).anomalies().select(*STORED)),
         f"""{AN} SELECT {STORED_SQL}, CAST(anomaly_type = 'extreme_trim' AS INT) AS reviewed, CASE WHEN anomaly_type = 'extreme_trim' THEN 'seen' END AS notes FROM an"""),
-    "clear_anomalies": (_ddl, "SELECT CAST(0 AS BIGINT) AS n, count(DISTINCT event_type) AS vessels FROM events"),
+    "clear_anomalies": (
+        _cleared, f"{AN} SELECT count(*) AS before, CAST(0 AS BIGINT) AS after, CAST(0 AS BIGINT) AS reviews, count(*) + 1 AS next_id FROM an"),
     "cluster_report_counts": (
         lambda s, d: rounded(filled(s, d).cluster_counts(), 9),
         f"{AN} SELECT cluster_name, count(*) AS n, round_even(avg(anomaly_score), 9) AS avg_score FROM an GROUP BY 1"),
@@ -255,14 +287,17 @@ QUERIES = {
     "stream_gap_alert": (
         lambda s, d: _drained(s, live.stream_gap_alert(_stream(s, d), INTERVAL)),
         f"""WITH e AS (SELECT event_type AS vessel_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts)/1e6 <= {10 * INTERVAL} THEN 0 ELSE 1 END AS brk FROM events
-          WINDOW w AS (PARTITION BY event_type ORDER BY ts)), r AS (SELECT *, sum(brk) OVER (PARTITION BY vessel_id ORDER BY ts) AS g FROM e)
-        SELECT vessel_id, min(ts) AS active_from, max(ts) AS gap_start, count(*) AS n_records FROM r GROUP BY vessel_id, g
-        HAVING max(ts) + INTERVAL {10 * INTERVAL} SECOND + INTERVAL 1 MICROSECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""),
-    "staged_run": (_staged_run, None),
-    "stage_clean": (_stage("clean", "cleaning_report"), None),
-    "stage_cluster": (_stage("cluster", "cluster_summary", "clean"), None),
-    "stage_detect": (_stage("detect", "detection_summary", "clean"), None),
-    "stage_classify": (_stage("classify", "type_breakdown", "clean", "detect"), None),
-    "stage_save": (_stage("save", "anomalies", "clean", "detect", "classify"), None),
+          WINDOW w AS (PARTITION BY event_type ORDER BY ts)), r AS (SELECT *, sum(brk) OVER (PARTITION BY vessel_id ORDER BY ts) AS g FROM e),
+        g AS (SELECT vessel_id, min(ts) AS a, max(ts) AS z, count(*) AS n FROM r GROUP BY vessel_id, g),
+        h AS (SELECT *, lead(a) OVER (PARTITION BY vessel_id ORDER BY a) AS again, (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AS passed FROM g)
+        SELECT vessel_id, a AS active_from, z AS gap_start, n AS n_records, 'silent' AS status, CAST(NULL AS TIMESTAMP) AS gap_end FROM h
+        WHERE z + INTERVAL {10 * INTERVAL} SECOND + INTERVAL 1 MICROSECOND <= passed
+        UNION ALL SELECT vessel_id, NULL, z, NULL, 'resumed', again FROM h WHERE again <= passed"""),
+    "stage_clean": (_stage("cleaning_report", "03"), CLEAN_SQL),
+    "stage_cluster": (_stage("cluster_summary", "03", "04"), None),
+    "stage_detect": (_stage("detection_summary", "03", "05"), None),
+    "stage_classify": (_stage("type_breakdown", "03", "05", "06"), None),
+    "stage_save": (_saved_anomalies, None),
     "eda_run": (_eda_run, None),
+    "staged_run": (_staged_run, None),
 }
