@@ -179,6 +179,7 @@ def tokens(text):
 def test_base_scores_are_exact(spark, docs, head, monkeypatch):
     monkeypatch.setattr(bloom_lm, "HEAD", head)
     monkeypatch.setattr(bloom_lm, "CHUNK_TOKENS", 500)
+    monkeypatch.setattr(bloom_lm, "SCORE_TOKENS", 300)
     train = docs.where("doc_id % 2 = 0 OR doc_id IS NULL")
     model, singles = bloom_lm.train(train.select(train.text.cast("binary")))
     counts = Counter(t for r in train.collect() for t in tokens(r.text))
