@@ -93,7 +93,7 @@ def rolling_median_by(df: DataFrame, value: str, by: str, keys=("vessel_id",), r
     """Centred rolling median of `value` in the order of `by`, after clipping it to ± p99 of its size."""
     p99 = quantile(df, keys, F.abs(F.col(value)), 0.99, "_p99")
     clipped = attach(df, p99, keys).withColumn(
-        "clipped", F.least(F.greatest(F.col(value), -F.col("_p99")), F.col("_p99"))).drop("_p99")
+        "clipped", F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), -F.col("_p99")), F.col("_p99")))).drop("_p99")
     half = rows // 2
 
     def medians(values):
