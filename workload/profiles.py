@@ -70,7 +70,7 @@ def hist_sql(source, value, bins, lo, hi, keys="vessel_id, signal"):
     h AS (SELECT {', '.join('f.' + x.strip() for x in keys.split(','))}, n, lo, (hi - lo)/k AS w,
       CAST(least(floor((least(greatest({value}, lo), hi) - lo) / ((hi - lo)/k)), k - 1) AS INT) AS bin FROM {source} JOIN f USING ({keys})
       WHERE {value} IS NOT NULL)
-    SELECT {keys}, bin, round_even(any_value(lo + bin * w), 5) AS bin_lo, round_even(any_value(lo + bin * w + w), 5) AS bin_hi,
+    SELECT {keys}, bin, round_even(any_value(lo + bin * w) + 1e-9, 5) AS bin_lo, round_even(any_value(lo + bin * w + w) + 1e-9, 5) AS bin_hi,
       count(*) AS count, round_even(count(*) / (any_value(n) * any_value(w)), 6) AS density FROM h GROUP BY {keys}, bin"""
 
 
@@ -164,15 +164,15 @@ QUERIES = {
         l AS (SELECT vessel_id, signal, strftime(Date, '%Y-%m') AS period, value FROM l0), {box_sql('l', 'vessel_id, signal, period')}
         SELECT * FROM bb QUALIFY count(*) OVER (PARTITION BY vessel_id, signal) >= 2"""),
     "histogram": (
-        lambda s, d: rounded(P.signal_histogram(vessel(s, d), SIGNALS, bins=60, clip=None), bin_lo=5, bin_hi=5),
+        lambda s, d: _bins(P.signal_histogram(vessel(s, d), SIGNALS, bins=60, clip=None)),
         f"{UN}, {hist_sql('l', 'value', '60', 'min(value)', 'max(value)')}"),
     "histogram_adaptive": (
-        lambda s, d: rounded(P.signal_histogram(vessel(s, d), SIGNALS), bin_lo=5, bin_hi=5), f"{UN}, {hist_sql('l', 'value', ADAPT, q(.001), q(.999))}"),
+        lambda s, d: _bins(P.signal_histogram(vessel(s, d), SIGNALS)), f"{UN}, {hist_sql('l', 'value', ADAPT, q(.001), q(.999))}"),
     "grouped_histogram": (
-        lambda s, d: rounded(P.grouped_histogram(vessel(s, d), SIGNALS), bin_lo=5, bin_hi=5),
+        lambda s, d: _bins(P.grouped_histogram(vessel(s, d), SIGNALS)),
         f"""WITH gh AS ({UN}, {hist_sql('l', 'value', '50', q(.01), q(.99))}) SELECT gh.*, CASE signal {' '.join(f"WHEN '{c}' THEN '{cfg.group_of(c)}'" for c in SIGNALS)} END AS feature_group FROM gh"""),
     "roc_histogram": (
-        lambda s, d: rounded(P.roc_histogram(W.signal_steps(vessel(s, d), SIGNALS, max_step_s=STEP)), bin_lo=5, bin_hi=5),
+        lambda s, d: _bins(P.roc_histogram(W.signal_steps(vessel(s, d), SIGNALS, max_step_s=STEP))),
         f"{UN}, {roc_sql('Date, rid')}, {hist_sql('rc', 'roc', ADAPT_ROC, q(.005, 'roc'), q(.995, 'roc'))}"),
     "kde_curve": (
         lambda s, d: rounded(P.kde_curve(vessel(s, d), SIGNALS), x=5, density=8), _kde_sql()),
@@ -206,5 +206,10 @@ QUERIES = {
 }
 
 
+def _bins(df):
+    """Bin ends a hair higher, on both sides of the comparison: many are ties of the rounding otherwise."""
+    return rounded(df.withColumns({c: F.col(c) + 1e-9 for c in ("bin_lo", "bin_hi")}), bin_lo=5, bin_hi=5)
+
+
 def _two_months(df):
     return df.withColumn("Date", F.col("Date") + F.expr("INTERVAL 15 DAYS"))
