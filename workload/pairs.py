@@ -131,9 +131,8 @@ QUERIES = {
     "bivariate_point_tables": (lambda s, d: rounded(B.bivariate_point_tables(vessel(s, d))), f"{V} {_points()}"),
     "track_points": (
         lambda s, d: rounded(B.track_points(vessel(s, d)).select("vessel_id", "rid", "GPS_LAT", "GPS_LON")),
-        f"""{V}, r AS (SELECT vessel_id, rid, GPS_LAT, GPS_LON, row_number() OVER (PARTITION BY vessel_id ORDER BY rid) - 1 AS i,
-        greatest(floor(count(*) OVER (PARTITION BY vessel_id)/400), 1) AS k FROM v)
-        SELECT vessel_id, rid, round_even(GPS_LAT, 6) AS GPS_LAT, round_even(GPS_LON, 6) AS GPS_LON FROM r WHERE i % k = 0"""),
+        f"""{V} SELECT vessel_id, rid, round_even(GPS_LAT, 6) AS GPS_LAT, round_even(GPS_LON, 6) AS GPS_LON FROM v
+        WHERE GPS_LAT IS NOT NULL AND GPS_LON IS NOT NULL"""),
     "track_summary": (
         lambda s, d: rounded(B.track_summary(vessel(s, d))),
         f"""{V} SELECT vessel_id, count(*) AS n_points, {', '.join(f'round_even({e}, 6) AS {n}' for e, n in (
