@@ -185,7 +185,7 @@ def _staged_run(s, d):
     """The report that the last of the seven stages writes."""
     run = _done(s, d, "01", "02", "03", "04", "05", "06", "07")
     return s.read.text(run.folder("report")).select(F.split("value", "\t").alias("p")).select(
-        F.col("p")[0].alias("section"), F.col("p")[1].alias("key"), F.get("p", F.lit(2)).alias("value"))
+        *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("section", "key", "value"))])
 
 
 def _eda_run(s, d):
