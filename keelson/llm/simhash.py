@@ -25,6 +25,7 @@ SEED = 42
 MAX_BITS = 3
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 VOTE_CHUNK = 1 << 15
+KEY_ROWS = 1024
 KEYS = "key bigint, fp bigint"
 
 
@@ -90,8 +91,8 @@ def keyed(nodes: DataFrame, nearest_only: bool) -> DataFrame:
     def make(batches):
         for b in batches:
             values = b.column(0).to_numpy()
-            for at in range(0, len(values), 1024):
-                part = values[at:at + 2048]
+            for at in range(0, len(values), KEY_ROWS):
+                part = values[at:at + KEY_ROWS]
                 keys, rows = fuzzy_keys(part.view(np.uint64), nearest_only)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
 
