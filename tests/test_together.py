@@ -5,7 +5,7 @@ import threading
 import pytest
 
 from keelson import config as cfg
-from keelson.plans import eda
+from keelson.plans import eda, jobs
 from keelson.plans.together import together
 
 
@@ -47,3 +47,21 @@ def test_every_report_has_a_group_of_its_own_name(spark):
     names = [n for n in cfg.STENALINE.column_map.values() if n != "Date"]
     df = spark.createDataFrame([], "vessel_id string, rid bigint, " + ", ".join(f"`{n}` double" for n in dict.fromkeys(names)))
     assert len(eda.report_groups(df, cfg.STENALINE)) > 10
+
+
+class Met(Exception):
+    pass
+
+
+def test_the_detectors_are_fitted_side_by_side(spark, tmp_path, monkeypatch):
+    meet = threading.Barrier(2, timeout=30)
+
+    def fit(*_):
+        meet.wait()
+        raise Met
+
+    monkeypatch.setattr(jobs, "_cleaned", lambda s, run: (s.range(1), ["id"]))
+    monkeypatch.setattr(jobs.modes, "kmeans_modes", lambda *_: None)
+    monkeypatch.setattr(jobs, "fit_detector", fit)
+    with pytest.raises(Met):
+        jobs.stage_detect(spark, jobs.RunConfig("stenaline", str(tmp_path), methods=("svd", "iforest")))
