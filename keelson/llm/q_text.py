@@ -27,7 +27,7 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_mod(F.col("doc_id"), 7) == 2
     model, singles = bloom_lm.train(docs.where(~held_out).select(F.col("text").cast("binary")))
-    return bloom_lm.score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model, singles)
+    return bloom_lm.score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model, singles, learned=~F.col("held_out"))
 
 
 def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
