@@ -106,7 +106,8 @@ def linked_fingerprints(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame
     left = keyed(nodes, True).withColumnRenamed("fp", "a")
     right = keyed(nodes, False).withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return left.join(right, "key").where(near).select("a", "b").distinct()
+    # Spark sizes the keys of a fingerprint, some 200 rows, as the fingerprint alone and would broadcast them
+    return left.join(right.hint("merge"), "key").where(near).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
@@ -120,16 +121,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = stored(fingerprints(df.select(F.col(id_col), F.col(text_col)), text_col, words), "fingerprints")
     named = component_least(docs, F.col(id_col), max_bits).select("fp", F.col("least").alias("component_id"))
-    return docs.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(named.hint("merge"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def component_least(docs: DataFrame, value, max_bits: int) -> DataFrame:
     """fp and `least`: for every fingerprint of `docs` the smallest `value` (a column of docs) in its component."""
     nodes = stored(docs.groupBy("fp").agg(F.min(value).alias("least")), "nodes")
     roots = connected_components(linked_fingerprints(nodes, max_bits))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    return rooted.drop("least").join(ids, "root").select("fp", "least")
+    return rooted.drop("least").join(ids.hint("merge"), "root").select("fp", "least")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
@@ -145,5 +146,5 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     order = F.struct(F.col("_s_id").isNull().alias("absent"), F.col("_s_id").alias("id"), F.col("_s_hash").alias("hash"))
     least = component_least(docs, order, max_bits)
     stays = F.col("least.id").eqNullSafe(F.col("_s_id")) & (F.col("least.hash") == F.col("_s_hash"))
-    gone = docs.join(least, "fp").where(~stays).select("_s_id", "_s_hash").distinct()
+    gone = docs.join(least.hint("merge"), "fp").where(~stays).select("_s_id", "_s_hash").distinct()
     return df.join(gone, F.col(id_col).eqNullSafe(F.col("_s_id")) & (text_hash == F.col("_s_hash")), "left_anti")

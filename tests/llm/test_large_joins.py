@@ -31,3 +31,11 @@ def test_tiles_and_narrow_weights_equal_plain_products(spark):
     for q in range(0, 600, 50):
         want = sorted((-int(scores[q, i]), i) for i in range(600) if i != q)[:4]
         assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_fingerprint_keys_are_not_broadcast(spark):
+    """They are sized as the fingerprints, which have some 200 keys each."""
+    values = np.random.default_rng(3).integers(-2 ** 63, 2 ** 63 - 1, 50)
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": np.concatenate([values, values ^ 5])}))
+    links = simhash.linked_fingerprints(nodes)
+    assert "Broadcast" not in plan(links) and links.count() == 50
